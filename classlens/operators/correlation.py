@@ -19,6 +19,7 @@ from classlens.operators.ranked import (
     running_counts,
     with_bucket,
 )
+from classlens.sources.workdir import stage
 
 METHODS = ("pearson", "spearman", "kendall")
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
@@ -69,22 +70,27 @@ def _r_from_sums() -> Column:
     return F.when(varies, F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
 
 
-def pearson_pairs(df: DataFrame, columns: Sequence[str], group: str | None = None) -> DataFrame:
+def pearson_pairs(
+    df: DataFrame, columns: Sequence[str], group: str | None = None, centre: bool = True
+) -> DataFrame:
     """``([group,] col_a, col_b, n, r)`` for all pairs, ``col_a`` before ``col_b`` in column order.
 
     Columns are shifted by their mean (one aggregate; one value per column on the driver), then every
-    task reduces its rows to one cross-product row per pair.
+    task reduces its rows to one cross-product row per pair. ``centre=False`` saves the first pass where
+    the mean is no larger than the spread, as for ranks.
     """
     columns = list(columns)
     wide = df.select(
         *([F.col(group).cast("int").alias("grp")] if group else []),
         *[clean_double(c).alias(c) for c in columns],
     )
-    means = wide.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    shifted = wide.select(
-        *(["grp"] if group else []),
-        *[(F.col(c) - F.lit(means[c] or 0.0)).alias(c) for c in columns],
-    )
+    shifted = wide
+    if centre:
+        means = wide.agg(*[F.avg(c).alias(c) for c in columns]).first()
+        shifted = wide.select(
+            *(["grp"] if group else []),
+            *[(F.col(c) - F.lit(means[c] or 0.0)).alias(c) for c in columns],
+        )
     schema = "grp int, a int, b int, " + ", ".join(f"{s} double" for s in SUMS)
     partial = shifted.mapInPandas(_gram_sums(columns, "grp" if group else None), schema)
     sums = partial.groupBy("grp", "a", "b").agg(*[F.sum(s).alias(s) for s in SUMS])
@@ -124,29 +130,33 @@ def attach_ranks(
 ) -> DataFrame:
     """``(key, <column> ...)`` with every value replaced by its rank; nulls stay null.
 
-    Values that hold more than a thousandth of a feature's rows (at most 1,000 per feature) are looked up
-    by broadcast, so no join key is hot; the rest meets its rank in a shuffle join. ``key`` must be unique.
+    Values that hold more than a thousandth of a column's rows (fewer than 1,000 per column) are looked up
+    by broadcast, so no join key is hot and a column of few values needs no shuffle at all. The other values
+    meet their rank in a shuffle join, and one aggregation by ``key``, which must be unique, reassembles
+    the rows.
     """
-    ranks = value_ranks(df, columns)
+    ranks = stage(value_ranks(df, columns), "ranks")
     hot = F.col("t") * HOT_SHARE > F.col("n")
-    frequent = ranks.where(hot).select("feature", "value", F.col(rank).alias("hot_rank"))
     rare = ranks.where(~hot).select("feature", "value", F.col(rank).alias("rank"))
-    rows = long_form(df, columns, keep=[key]).join(
-        F.broadcast(frequent), ["feature", "value"], "left"
-    )
-    done = rows.where(F.col("hot_rank").isNotNull()).select(
-        key, "feature", F.col("hot_rank").alias("rank")
-    )
-    looked_up = (
-        rows.where(F.col("hot_rank").isNull())
-        .join(rare, ["feature", "value"])
-        .select(key, "feature", "rank")
-    )
-    return (
-        done.unionByName(looked_up)
-        .groupBy(key)
-        .agg(*[F.max(F.when(F.col("feature") == c, F.col("rank"))).alias(c) for c in columns])
+    rare_columns = {r["feature"] for r in rare.select("feature").distinct().collect()}
+    wide = df.select(key, *[clean_double(c).alias(c) for c in columns])
+    for c in columns:
+        frequent = ranks.where(hot & (F.col("feature") == c))
+        found = frequent.select(F.col("value").alias(c), F.col(rank).alias(f"rank_{c}"))
+        wide = wide.join(F.broadcast(found), c, "left")
+    known = wide.select(key, *[F.col(f"rank_{c}").cast("double").alias(c) for c in columns])
+    left = [c for c in columns if c in rare_columns]
+    if not left:
+        return known
+    unknown = wide.select(
+        key, *[F.when(F.col(f"rank_{c}").isNull(), F.col(c)).alias(c) for c in left]
+    ).unpivot([key], left, "feature", "value")
+    looked_up = unknown.where(F.col("value").isNotNull()).join(rare, ["feature", "value"])
+    placed = looked_up.select(
+        key,
+        *[F.when(F.col("feature") == c, F.col("rank")).cast("double").alias(c) for c in columns],
     )
+    return known.unionByName(placed).groupBy(key).agg(*[F.max(c).alias(c) for c in columns])
 
 
 def _has_nulls(df: DataFrame, columns: Sequence[str]) -> bool:
@@ -161,7 +171,7 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame
     """
     columns = list(columns)
     if not _has_nulls(df, columns):
-        return pearson_pairs(attach_ranks(df, columns, key), columns)
+        return pearson_pairs(attach_ranks(df, columns, key), columns, centre=False)
     masked, pairs = [F.col(key)], []
     for i, a in enumerate(columns):
         for j in range(i + 1, len(columns)):
@@ -171,7 +181,7 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame
             pairs.append((f"p{i}_{j}_a", f"p{i}_{j}_b", a, columns[j]))
     wide = df.select(*masked)
     names = [n for p in pairs for n in p[:2]]
-    found = pearson_pairs(attach_ranks(wide, names, key), names)
+    found = pearson_pairs(attach_ranks(wide, names, key), names, centre=False)
     wanted = df.sparkSession.createDataFrame(
         pairs, "side_a string, side_b string, name_a string, name_b string"
     )
@@ -187,72 +197,64 @@ def kendall_pairs(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
     The dense rank of ``col_a`` is read as a binary number. At each of its bits, two rows that agree on all
     higher bits and differ in this one are ordered by ``col_a``; whether ``col_b`` orders them the same way
     is a two-class rank count between bit 0 and bit 1. Every untied pair is counted at exactly one bit, so
-    the counts add up to concordant minus discordant. Equal (rank, value) cells collapse first.
+    the counts add up to concordant minus discordant. Equal (rank, rank) cells collapse first.
     """
     columns = list(columns)
-    pair_ids = F.array(
+    pair = ["col_a", "col_b"]
+    pairs = F.array(
         *[
             F.struct(
                 F.lit(a).alias("col_a"),
                 F.lit(b).alias("col_b"),
-                F.col(f"rank_{a}").alias("ra"),
-                F.col(b).alias("value"),
+                F.col(a).cast("bigint").alias("ra"),
+                F.col(b).cast("bigint").alias("rb"),
             )
             for i, a in enumerate(columns)
             for b in columns[i + 1 :]
         ]
     )
-    dense = attach_ranks(df, columns, key, "dense_rank").withColumnsRenamed(
-        {c: f"rank_{c}" for c in columns}
+    cells = stage(
+        attach_ranks(df, columns, key, "dense_rank")
+        .select(F.inline(pairs))
+        .where(F.col("ra").isNotNull() & F.col("rb").isNotNull())
+        .groupBy(*pair, "ra", "rb")
+        .agg(F.count(F.lit(1)).alias("c")),
+        "cells",
     )
-    values = df.select(key, *[clean_double(c).alias(c) for c in columns])
-    cells = (
-        values.join(dense, key)
-        .select(F.inline(pair_ids))
-        .where(F.col("ra").isNotNull() & F.col("value").isNotNull())
-        .groupBy("col_a", "col_b", "ra", "value")
-        .agg(F.count(F.lit(1)).alias("c"))
+    sizes = cells.groupBy(*pair).agg(
+        F.sum("c").alias("n"), F.max("ra").alias("top_a"), F.max("rb").alias("top_b")
     )
-    pair = ["col_a", "col_b"]
-    c = F.col("c").cast("double")
-    sizes = cells.groupBy(*pair).agg(F.sum("c").alias("n"), F.max("ra").alias("top"))
-
-    def ties(*by: str) -> DataFrame:
-        grouped = cells.groupBy(*pair, *by).agg(F.sum("c").cast("double").alias("t"))
-        name = "ties_" + "_".join(by)
-        return grouped.groupBy(*pair).agg(
-            F.sum(F.col("t") * (F.col("t") - 1.0) / 2.0).alias(name)
-        )
 
-    bits = F.ceil(F.log2(F.col("top") + 1.0)).cast("int")
-    levels = F.when(F.col("top") > 0, F.sequence(F.lit(0), bits - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    exploded = (
+    def ties(side: str) -> DataFrame:
+        grouped = cells.groupBy(*pair, side).agg(F.sum("c").cast("double").alias("t"))
+        tied = F.sum(F.col("t") * (F.col("t") - 1.0) / 2.0)
+        return grouped.groupBy(*pair).agg(tied.alias(f"ties_{side}"))
+
+    buckets = bucket_count(df)
+    bits = F.ceil(F.log2(F.col("top_a") + 1.0)).cast("int")
+    levels = F.when(F.col("top_a") > 0, F.sequence(F.lit(0), bits - 1))
+    bucket = F.floor(F.col("rb") * buckets / (F.col("top_b") + 1.0)).cast("int")
+    group = [*pair, "level", "prefix"]
+    counts = (
         cells.join(F.broadcast(sizes), pair)
-        .select(*pair, "ra", "value", "c", F.explode(levels).alias("level"))
+        .select(*pair, "ra", "rb", "c", bucket.alias("bucket"), F.explode(levels).alias("level"))
         .withColumn("bit", F.expr("shiftright(ra, level) & 1"))
         .withColumn("prefix", F.expr("shiftright(ra, level + 1)"))
+        .groupBy(*group, "bucket", "rb")
+        .agg(
+            F.sum(F.when(F.col("bit") == 0, F.col("c")).otherwise(0)).alias("low"),
+            F.sum(F.when(F.col("bit") == 1, F.col("c")).otherwise(0)).alias("high"),
+        )
     )
-    group = [*pair, "level", "prefix"]
-    counts = exploded.groupBy(*group, "value").agg(
-        F.sum(F.when(F.col("bit") == 0, F.col("c")).otherwise(0)).alias("low"),
-        F.sum(F.when(F.col("bit") == 1, F.col("c")).otherwise(0)).alias("high"),
-    )
-    buckets = bucket_count(df)
-    cuts = bucket_cuts(df, columns, buckets)
-    bucketed = with_bucket(
-        counts.withColumnRenamed("col_b", "feature"), cuts, buckets
-    ).withColumnRenamed("feature", "col_b")
-    ranked = running_counts(bucketed, group, ["bucket"], ["low", "high"])
+    ranked = running_counts(counts, group, ["bucket"], ["low", "high"], "rb")
     above = F.col("total_low") - F.col("before_low") - F.col("low")
     score = F.sum(F.col("high").cast("double") * (F.col("before_low") - above).cast("double"))
     scores = ranked.groupBy(*pair).agg(score.alias("score"))
     n = F.col("n").cast("double")
     possible = n * (n - 1.0) / 2.0
-    untied = (possible - F.col("ties_ra")) * (possible - F.col("ties_value"))
+    untied = (possible - F.col("ties_ra")) * (possible - F.col("ties_rb"))
     out = sizes
-    for part in (ties("ra"), ties("value"), scores):
+    for part in (ties("ra"), ties("rb"), scores):
         out = out.join(F.broadcast(part), pair, "left")
     return out.select(
         *pair, "n", F.when(untied > 0, F.try_divide(F.col("score"), F.sqrt(untied))).alias("r")

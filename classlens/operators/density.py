@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from classlens.operators.longform import long_form
+from classlens.operators.longform import long_form, spread
 
 GRID = 200
 CUT = 3.0
@@ -22,7 +22,7 @@ def kernel_density(
     grid: int = GRID,
     cut: float = CUT,
 ) -> DataFrame:
-    """``(feature[, label], point, x, density)`` with Scott's bandwidth, per class when ``label``.
+    """``(feature[, label], point, x, step, density)`` with Scott's bandwidth, per class when ``label``.
 
     The grid runs from ``cut`` bandwidths below the smallest to ``cut`` above the largest value. A value
     is expanded only to the grid points its kernel reaches in double precision, and the sums collapse on
@@ -49,7 +49,8 @@ def kernel_density(
     first = F.greatest(F.ceil((offset - REACH * F.col("bw")) / F.col("step")), F.lit(0))
     last = F.least(F.floor((offset + REACH * F.col("bw")) / F.col("step")), F.lit(grid - 1))
     points = F.when(first <= last, F.sequence(first.cast("int"), last.cast("int")))
-    reached = long.join(F.broadcast(shape), keys).select(
+    narrow = spread(df.select(*([label] if label else []), *features))
+    reached = long_form(narrow, features, label).join(F.broadcast(shape), keys).select(
         *keys, "value", "bw", "start", "step", F.explode(points).alias("point")
     )
     u = (F.col("start") + F.col("step") * F.col("point") - F.col("value")) / F.col("bw")
@@ -64,5 +65,6 @@ def kernel_density(
         *keys,
         "point",
         (F.col("start") + F.col("step") * F.col("point")).alias("x"),
+        "step",
         (F.coalesce("k", F.lit(0.0)) / norm).alias("density"),
     )

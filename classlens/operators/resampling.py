@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from classlens.functions.numeric import clean_double, hash_digits
-from classlens.operators.longform import long_form
+from classlens.operators.longform import long_form, spread
 from classlens.operators.quantile import values_at_ranks
 from classlens.operators.ranked import bucket_count, bucket_cuts, running_counts, with_bucket
 
@@ -118,9 +118,11 @@ def bootstrap_ci_mean(
     task, whatever the number of rows.
     """
     digest = [(hash_digits(F.col(key), seed, part) % PRIME) for part in range(4)]
-    rows = df.select(
-        *[d.alias(f"_h{i}") for i, d in enumerate(digest)],
-        *[clean_double(f).alias(f) for f in features],
+    rows = spread(
+        df.select(
+            *[d.alias(f"_h{i}") for i, d in enumerate(digest)],
+            *[clean_double(f).alias(f) for f in features],
+        )
     ).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
     draw = replicate_draw([F.col(f"_h{i}") for i in range(4)], F.col("b"))
     drawn = rows.select("b", *features, draw.alias("u")).select(

@@ -163,7 +163,7 @@ def kde(source: str, key: str) -> str:
     CAST(unnest(range(200)) AS INTEGER) AS point FROM sh),
   wv AS (SELECT {key}, value, count(*) AS c FROM {source} GROUP BY {key}, value),
   kd AS (SELECT {key}, point, any_value(st + step * point) AS x,
-    sum(c * exp(-0.5 * power((st + step * point - value) / bw, 2))) / any_value(n * bw * sqrt(2 * pi())) AS density
+    sum(c * exp(-0.5 * power((st + step * point - value) / bw, 2))) / any_value(n * bw * sqrt(2 * pi())) AS density, any_value(step) AS step
     FROM gr JOIN wv USING ({key}) GROUP BY {key}, point)"""
 
 
@@ -443,7 +443,7 @@ def oracles() -> dict[str, str]:
     sql["cache_roundtrip"] = f"""WITH {LINE}, {split()}, {fitted("parted", FEATURES, robust=True)}
   SELECT k, split, y, {scaled(FEATURES)}, {outlier(FEATURES)} AS is_outlier FROM parted s"""
     sql["params_roundtrip"] = f"""WITH {LINE}, {fitted("line", FEATURES)}
-  SELECT feature, CAST(ordinal AS INTEGER) AS ordinal, {rnd("center")} AS center, {rnd("scale")} AS scale, kept FROM fit"""
+  SELECT feature, CAST(ordinal AS INTEGER) AS ordinal, {rnd("center", 7)} AS center, {rnd("scale", 7)} AS scale, kept FROM fit"""
 
     sql["dedupe_rows"] = f"WITH {LINE} SELECT DISTINCT quantity, discount, tax, y FROM line"
     sql["dedupe_keyed"] = (
@@ -492,7 +492,7 @@ def oracles() -> dict[str, str]:
         "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag ORDER BY n DESC, l_returnflag"
     )
     sql["feature_basic_stats"] = f"WITH {DIRT} " + " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, count(*) AS n, {rnd(f'avg({c})')} AS mean, {rnd(f'stddev_samp({c})')} AS std FROM dirt"
+        f"SELECT '{c}' AS feature, count(*) AS n, {rnd(f'avg({c})', 7)} AS mean, {rnd(f'stddev_samp({c})', 7)} AS std FROM dirt"
         for c in DIRTY
     )
     sql["dataset_fingerprint"] = "WITH " + digest(
@@ -586,11 +586,11 @@ def oracles() -> dict[str, str]:
   SELECT feature, y AS label, {hist_columns} FROM hist"""
     values = "long AS (SELECT 'value' AS feature, value FROM events)"
     sql["distribution_histogram"] = f"WITH {values}, {histogram('long', 'feature')} SELECT feature, {hist_columns} FROM hist"
-    kde_columns = f"point, {rnd('x')} AS x, {rnd('density', 10)} AS density"
+    kde_columns = f"point, {rnd('x')} AS x, {rnd('density * step', 10)} AS mass"
     sql["class_kde"] = f"WITH {LINE}, {lines}, {kde('long', 'feature, y')} SELECT feature, y AS label, {kde_columns} FROM kd"
     sql["distribution_kde"] = f"WITH {values}, {kde('long', 'feature')} SELECT feature, {kde_columns} FROM kd"
-    sql["class_location"] = f"""WITH {LINE}, {lines} SELECT feature, y AS label, {rnd("avg(value)")} AS mean,
-  {rnd("median(value)")} AS median FROM long GROUP BY feature, y"""
+    sql["class_location"] = f"""WITH {LINE}, {lines} SELECT feature, y AS label, {rnd("avg(value)", 7)} AS mean,
+  {rnd("median(value)", 7)} AS median FROM long GROUP BY feature, y"""
     sql["significance_stars"] = f"""WITH {VECS}, {long("vecs", VECTOR_FEATURES)}, {rank_stats()}
   SELECT feature, {rnd("p_mw", 8)} AS p_value, {STARS.format(p="p_mw")} AS stars FROM mwp"""
     sql["corr_pearson"] = f"WITH {LINE} {pearson('line', [*FEATURES, 'y'])}"

@@ -140,7 +140,7 @@ def params_roundtrip(spark, sf):
     fitted = preparation.fit(items(spark, sf), FEATURES)
     path = sinks.write_params(fitted, shared_folder(spark, "params"))
     loaded = sinks.read_params(spark, path)
-    return rounded(loaded.select("feature", "ordinal", "center", "scale", "kept"))
+    return rounded(loaded.select("feature", "ordinal", "center", "scale", "kept"), 7)
 
 
 @register("lineage")
@@ -240,7 +240,7 @@ def class_distribution(spark, sf):
 
 @register("feature_basic_stats")
 def feature_basic_stats(spark, sf):
-    return rounded(profiling.basic_stats(dirty_items(spark, sf), DIRTY))
+    return rounded(profiling.basic_stats(dirty_items(spark, sf), DIRTY), 7)
 
 
 @register("dataset_fingerprint")
@@ -516,19 +516,25 @@ def distribution_histogram(spark, sf):
     return rounded(histogram.distribution_histogram(events(spark, sf), "value"), 6, density=10)
 
 
+def _kde_rows(curve: DataFrame) -> DataFrame:
+    """Density as probability mass per grid step, which has the same size for every feature."""
+    mass = curve.withColumn("mass", F.col("density") * F.col("step")).drop("density", "step")
+    return rounded(mass, 6, mass=10)
+
+
 @register("class_kde")
 def class_kde(spark, sf):
-    return rounded(density.kernel_density(items(spark, sf), FEATURES, "y"), 6, density=10)
+    return _kde_rows(density.kernel_density(items(spark, sf), FEATURES, "y"))
 
 
 @register("distribution_kde")
 def distribution_kde(spark, sf):
-    return rounded(density.kernel_density(events(spark, sf), ["value"]), 6, density=10)
+    return _kde_rows(density.kernel_density(events(spark, sf), ["value"]))
 
 
 @register("class_location")
 def class_location(spark, sf):
-    return rounded(histogram.class_location(items(spark, sf), FEATURES, "y"))
+    return rounded(histogram.class_location(items(spark, sf), FEATURES, "y"), 7)
 
 
 @register("significance_stars")
