@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from classlens.operators.ranked import running_counts
 
 ACCURACY = 10_000
-EXACT_BELOW = 100 * ACCURACY
+EXACT_BELOW = 2 * ACCURACY
 SUB_BUCKETS = 256
 
 
@@ -31,7 +31,8 @@ def exact_quantiles(
 
     Linear interpolation between order statistics, nulls ignored; there is one result row per key, so the
     number of keys must be small (features, or features by class). Keys with at most ``exact_below``
-    values keep all of their values.
+    values keep all of their values; from there on a bracket of twice the sketch's error on each side
+    holds the wanted rank and its neighbour.
     """
     keys, probs = list(keys), list(probs)
     ranks = sorted(set(probs))

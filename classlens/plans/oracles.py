@@ -612,4 +612,9 @@ def oracles() -> dict[str, str]:
   t AS (SELECT *, sum(c) OVER () AS n FROM c)
   SELECT CASE WHEN value = 0 THEN 'Background' ELSE 'Signal' END AS label, value, CAST(c AS BIGINT) AS n,
   {rnd("c / n")} AS share, {rnd("sqrt(n * (c / n) * (1 - c / n))")} AS error FROM t"""
+    sql["knn_graph"] = f"""WITH {VECS}, {fitted("vecs", VECTOR_FEATURES)},
+  zs AS MATERIALIZED (SELECT vec_id, [{", ".join(f"(s.{c} - (SELECT center FROM fit WHERE feature = '{c}')) / (SELECT scale FROM fit WHERE feature = '{c}')" for c in VECTOR_FEATURES)}] AS v FROM vecs s),
+  ds AS (SELECT a.vec_id, b.vec_id AS nbr, list_distance(a.v, b.v) AS dist FROM zs a JOIN zs b ON a.vec_id <> b.vec_id),
+  rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY dist, nbr) AS INTEGER) AS rank FROM ds)
+  SELECT vec_id, nbr, {rnd("dist")} AS dist, rank FROM rk WHERE rank <= 15"""
     return sql

@@ -13,6 +13,7 @@ from classlens.operators import (
     density,
     histogram,
     multitest,
+    neighbours,
     preparation,
     profiling,
     projection,
@@ -622,3 +623,8 @@ def pca_scores(spark, sf):
 @register("pca_explained_variance")
 def pca_explained_variance(spark, sf):
     return projection.pca_explained_variance(vectors(spark, sf), VECTOR_FEATURES)
+
+
+@register("knn_graph")
+def knn_graph(spark, sf):
+    return rounded(neighbours.knn_graph(vectors(spark, sf), "vec_id", VECTOR_FEATURES, 15))
