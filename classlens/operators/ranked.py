@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from classlens.operators.longform import long_form
 
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 1024
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -31,7 +31,7 @@ def bucket_cuts(df: DataFrame, features: Sequence[str], buckets: int) -> DataFra
     cuts = [[] for _ in features]
     if probs:
         wide = df.select(*[F.col(f).cast("double").alias(f) for f in features])
-        cuts = wide.approxQuantile(list(features), probs, 1.0 / (4 * buckets))
+        cuts = wide.approxQuantile(list(features), probs, 1.0 / (2 * buckets))
     rows = [(f, c if c else [0.0] * len(probs)) for f, c in zip(features, cuts)]
     return df.sparkSession.createDataFrame(rows, "feature string, cuts array<double>")
 

@@ -137,14 +137,12 @@ def feature_auc(
     """``(feature, auc, n_null)``; with ``strict_nulls`` a feature that has nulls gets NULL."""
     stats = rank_statistics(ranked_values(df, features, label))
     two_class = df.where(F.col(label).isin(0, 1))
-    rows = two_class.agg(F.count(F.lit(1)).alias("n_rows"))
-    filled = F.col("n_background") + F.col("n_signal")
+    n_rows = two_class.agg(F.count(F.lit(1)).alias("n_rows")).scalar()
+    filled = F.coalesce(F.col("n_background") + F.col("n_signal"), F.lit(0))
     joined = (
         feature_list(df, features)
-        .withColumn("one", F.lit(1))
         .join(F.broadcast(stats), "feature", "left")
-        .join(F.broadcast(rows.withColumn("one", F.lit(1))), "one")
-        .withColumn("n_null", F.col("n_rows") - F.coalesce(filled, F.lit(0)))
+        .withColumn("n_null", n_rows - filled)
     )
     auc = F.when(F.col("n_null") == 0, F.col("auc")) if strict_nulls else F.col("auc")
     return joined.select("feature", auc.alias("auc"), "n_null")

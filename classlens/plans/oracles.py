@@ -433,6 +433,8 @@ def oracles() -> dict[str, str]:
     sql["expand_vector"] = f"WITH {VECS} SELECT * FROM vecs"
     sql["label_first_n"] = """WITH r AS (SELECT row_number() OVER () - 1 AS row_number, l_orderkey, l_partkey FROM lineitem)
   SELECT row_number, l_orderkey, l_partkey, CAST(row_number < 2500 AS INTEGER) AS signal FROM r"""
+    sql["label_first_n_by_file"] = """SELECT l_orderkey, l_partkey, l_extendedprice,
+  CAST(row_number() OVER () <= 2500 AS INTEGER) AS signal FROM lineitem"""
     sql["label_first_n_csv"] = """WITH r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_number FROM orders)
   SELECT CAST(o_orderkey AS DOUBLE) AS feature_0, o_totalprice AS feature_1, row_number,
   CAST(row_number < 500 AS INTEGER) AS signal FROM r"""

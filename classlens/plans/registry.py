@@ -100,6 +100,12 @@ def label_first_n(spark, sf):
     return labelled.select("row_number", "l_orderkey", "l_partkey", "signal")
 
 
+@register("label_first_n_by_file")
+def label_first_n_by_file(spark, sf):
+    labelled = readers.label_first_rows(table(spark, sf, "lineitem"), 2500)
+    return labelled.select("l_orderkey", "l_partkey", "l_extendedprice", "signal")
+
+
 @register("label_first_n_csv")
 def label_first_n_csv(spark, sf):
     path = shared_folder(spark, "csv")

@@ -62,48 +62,71 @@ def expand_vector(
     )
 
 
-def with_row_number(df: DataFrame, name: str = "row_number") -> DataFrame:
-    """Add the 0-based position of each row in a CSV or Parquet table, files in path order.
+BROADCAST_BLOCKS = 200_000
+
 
-    A position is the rows of earlier files (or file blocks) plus the position inside: Parquet knows the
-    latter, a CSV block is numbered in reading order. Blocks are bounded in size, and the prefix sums run
-    over one row per file or block.
+def _located(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Add the file (and block) of each row and its position in reading order, as ``_read``.
+
+    Parquet knows the position inside the file. Rows of a CSV block are read one after the other by one
+    task, so their running ids are consecutive.
     """
     known = df.select("_metadata").schema["_metadata"].dataType.fieldNames()
+    file = F.col("_metadata.file_path").alias("_file")
     if "row_index" in known:
-        place = ["_file"]
-        located = df.select(
-            "*",
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.row_index").alias("_index"),
-        )
-    else:
-        place = ["_file", "_block"]
-        located = df.select(
-            "*",
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_read"),
-        )
-        inside = Window.partitionBy(*place).orderBy("_read")
-        located = located.withColumn("_index", F.row_number().over(inside).cast("bigint") - 1)
-    sizes = located.groupBy(*place).agg(F.count(F.lit(1)).alias("c"))
+        return df.select("*", file, F.col("_metadata.row_index").alias("_read")), ["_file"]
+    block = F.col("_metadata.file_block_start").alias("_block")
+    read = F.monotonically_increasing_id().alias("_read")
+    return df.select("*", file, block, read), ["_file", "_block"]
+
+
+def _blocks(located: DataFrame, place: list[str]) -> DataFrame:
+    """``(*place, first, rows, before)``: one row per file or block, with the rows of earlier ones."""
     upto = Window.partitionBy(F.lit(1)).orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *place, F.coalesce(F.sum("c").over(upto), F.lit(0).cast("bigint")).alias("_offset")
+    return (
+        located.groupBy(*place)
+        .agg(F.min("_read").alias("first"), F.count(F.lit(1)).alias("rows"))
+        .withColumn("before", F.coalesce(F.sum("rows").over(upto), F.lit(0).cast("bigint")))
     )
+
+
+def with_row_number(df: DataFrame, name: str = "row_number") -> DataFrame:
+    """Add the 0-based position of each row of a CSV or Parquet table, files in path order.
+
+    A position is the rows of earlier files or blocks plus the position inside. The rows themselves are
+    not shuffled while the block table is small enough to broadcast.
+    """
+    located, place = _located(df)
+    offsets = _blocks(located, place).select(
+        *place, (F.col("before") - F.col("first")).alias("_offset")
+    )
+    if located.select(*place).distinct().count() <= BROADCAST_BLOCKS:
+        offsets = F.broadcast(offsets)
     return located.join(offsets, place).select(
-        *df.columns, (F.col("_offset") + F.col("_index")).alias(name)
+        *df.columns, (F.col("_offset") + F.col("_read")).alias(name)
     )
 
 
 def label_first_rows(
     df: DataFrame, n_signal: int, target: str = "signal", index: str | None = None
 ) -> DataFrame:
-    """Label the first ``n_signal`` rows 1 and the rest 0, by file order or by an index column."""
-    numbered = df if index else with_row_number(df, "_row")
-    flag = (F.col(index or "_row") < n_signal).cast("int")
-    return numbered.withColumn(target, flag).drop("_row")
+    """Label the first ``n_signal`` rows 1 and the rest 0, by file order or by an index column.
+
+    In file order only the block in which the count is reached has to be known: rows before it are
+    signal, rows after it are not, and rows in it are compared by position.
+    """
+    if index:
+        return df.withColumn(target, (F.col(index) < n_signal).cast("int"))
+    located, place = _located(df)
+    reached = (F.col("before") <= n_signal) & (n_signal < F.col("before") + F.col("rows"))
+    last = _blocks(located, place).where(reached).first()
+    if last is None:
+        return df.withColumn(target, F.lit(1))
+    own = F.struct(*place)
+    limit = F.struct(*[F.lit(last[c]).alias(c) for c in place])
+    inside = F.col("_read") < last["first"] + n_signal - last["before"]
+    flag = F.when(own < limit, 1).when((own == limit) & inside, 1).otherwise(0)
+    return located.select(*df.columns, flag.alias(target))
 
 
 def load_features(spark: SparkSession, path: str, params: JobParams) -> DataFrame:
