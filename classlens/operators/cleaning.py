@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from classlens.functions.numeric import clean_double
-from classlens.operators.longform import feature_list, long_form, numeric_columns
+from classlens.operators.longform import feature_list, long_form, numeric_columns, spread
 from classlens.operators.quantile import exact_quantiles
 
 
@@ -20,7 +20,7 @@ def dedupe(df: DataFrame, key: str | None = None) -> DataFrame:
     if key is None:
         return df.dropDuplicates()
     content = [c for c in df.columns if c != key]
-    return df.groupBy(*content).agg(F.min(key).alias(key)).select(*df.columns)
+    return spread(df, *content).groupBy(*content).agg(F.min(key).alias(key)).select(*df.columns)
 
 
 def sentinel_to_null(

@@ -32,13 +32,13 @@ def validate_frame(df: DataFrame, required: Sequence[str] = ()) -> DataFrame:
     return df
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *by: str) -> DataFrame:
     """Redistribute the rows of a table that is stored in fewer files than there are shuffle tasks.
 
-    Meant for narrow rows ahead of work that multiplies them; a table of many files is left as it is.
+    Meant for narrow rows ahead of expensive work; a table of many files is left as it is.
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df if len(df.inputFiles()) >= tasks else df.repartition(tasks)
+    return df if len(df.inputFiles()) >= tasks else df.repartition(tasks, *by)
 
 
 def long_form(

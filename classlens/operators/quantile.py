@@ -64,9 +64,12 @@ def exact_quantiles(
     counts = banded.groupBy(*keys, "band", "sub", "value").agg(F.count(F.lit(1)).alias("c"))
     ranked = running_counts(counts, keys, ["band", "sub"], ["c"])
 
+    missed = F.raise_error(F.lit("a quantile bracket does not hold its rank"))
+
     def at(rank):
         covers = (F.col("before_c") <= rank) & (rank < F.col("before_c") + F.col("c"))
-        return F.max(F.when(covers, F.col("value")))
+        found = F.max(F.when(covers, F.col("value")))
+        return F.when(found.isNull(), missed.cast("double")).otherwise(found)
 
     picked = []
     for i, p in enumerate(ranks):

@@ -11,9 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from classlens.functions.numeric import clean_double
 from classlens.operators.longform import long_form
 
 MAX_BUCKETS = 1024
@@ -26,13 +27,22 @@ def bucket_count(df: DataFrame) -> int:
 
 
 def bucket_cuts(df: DataFrame, features: Sequence[str], buckets: int) -> DataFrame:
-    """Table ``(feature, cuts)`` with ``buckets - 1`` ascending cuts: one row per feature."""
+    """Table ``(feature, cuts)`` with ``buckets - 1`` ascending cuts: one row per feature.
+
+    One pass of mergeable sketches; the driver sees ``buckets - 1`` numbers per feature.
+    """
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = [[] for _ in features]
+    cuts = {f: None for f in features}
     if probs:
-        wide = df.select(*[F.col(f).cast("double").alias(f) for f in features])
-        cuts = wide.approxQuantile(list(features), probs, 1.0 / (2 * buckets))
-    rows = [(f, c if c else [0.0] * len(probs)) for f, c in zip(features, cuts)]
+        size = max(200, 4 * buckets)
+
+        def quantiles(feature: str) -> Column:
+            sketch = F.kll_sketch_agg_double(clean_double(feature), F.lit(size))
+            found = F.kll_sketch_get_quantile_double(sketch, F.lit(probs))
+            return F.when(F.count(clean_double(feature)) > 0, found).alias(feature)
+
+        cuts = df.agg(*[quantiles(f) for f in features]).first().asDict()
+    rows = [(f, cuts[f] or [0.0] * len(probs)) for f in features]
     return df.sparkSession.createDataFrame(rows, "feature string, cuts array<double>")
 
 

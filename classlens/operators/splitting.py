@@ -2,33 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 COARSE_DIGITS = 4
+MAX_CLASSES = 1_000
+
+
+def class_quotas(counts: Mapping, test_size: float) -> dict:
+    """Test rows per class: ceil(test_size * n) in total, proportional, by largest remainder."""
+    if any(n < 2 for n in counts.values()):
+        raise ValueError("every class needs at least 2 rows to be split")
+    total = sum(counts.values())
+    draws = math.ceil(test_size * total)
+    quotas = {c: n * draws // total for c, n in counts.items()}
+    by_rest = sorted(counts, key=lambda c: (-(counts[c] * draws % total), c))
+    for c in by_rest[: draws - sum(quotas.values())]:
+        quotas[c] += 1
+    return quotas
+
 
+def _digest(key: str, seed: int) -> Column:
+    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
 
-def class_quotas(counts: DataFrame, label: str, test_size: float) -> DataFrame:
-    """``(label, n, quota)``: test rows per class, ceil(test_size * n) in total.
 
-    Quotas are proportional to class size and rounded by largest remainder. The counts are one row per
-    class.
+def split_limits(df: DataFrame, key: str, label: str, test_size: float, seed: int) -> list:
+    """``(label, digest, key)`` of the last test row of each class, as rows on the driver.
+
+    The first hex digits of the digest give equal-sized buckets; only the bucket in which a class reaches
+    its quota is ranked.
     """
-    whole = Window.partitionBy(F.lit(1))
-    total = F.sum("n").over(whole)
-    sized = counts.withColumn("total", total).withColumn(
-        "draws", F.ceil(F.lit(test_size) * F.col("total").cast("double"))
+    totals = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    counts = {r[label]: r["n"] for r in totals.limit(MAX_CLASSES + 1).collect()}
+    if len(counts) > MAX_CLASSES:
+        raise ValueError(f"'{label}' has more than {MAX_CLASSES} classes")
+    quotas = {c: q for c, q in class_quotas(counts, test_size).items() if q}
+    if not quotas:
+        return []
+    wanted = df.sparkSession.createDataFrame(
+        list(quotas.items()), df.select(label).schema.add("quota", LongType())
     )
-    wide = F.col("n").cast("decimal(19,0)") * F.col("draws").cast("decimal(19,0)")
-    parts = sized.withColumn("rest", wide % F.col("total").cast("decimal(19,0)")).withColumn(
-        "floor", ((wide - F.col("rest")) / F.col("total").cast("decimal(19,0)")).cast("bigint")
+    hashed = df.select(
+        label, F.col(key).alias("key"), _digest(key, seed).alias("digest")
+    ).withColumn("bucket", F.substring("digest", 1, COARSE_DIGITS))
+    upto = Window.partitionBy(label).orderBy("bucket")
+    reached = (
+        hashed.groupBy(label, "bucket")
+        .agg(F.count(F.lit(1)).alias("c"))
+        .withColumn("upto", F.sum("c").over(upto))
+        .join(F.broadcast(wanted), label)
+        .where((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("c") < F.col("quota")))
+        .select(label, "bucket", (F.col("quota") - F.col("upto") + F.col("c")).alias("place"))
     )
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("rest"), label)
-    open_draws = F.col("draws") - F.sum("floor").over(whole)
-    quota = F.col("floor") + F.when(F.row_number().over(order) <= open_draws, 1).otherwise(0)
-    too_small = F.raise_error(F.lit("a class needs at least 2 rows to be split"))
-    return parts.withColumn("quota", quota).select(
-        label, "n", F.when(F.col("n") < 2, too_small).otherwise(F.col("quota")).alias("quota")
+    within = Window.partitionBy(label).orderBy("digest", "key")
+    return (
+        hashed.join(F.broadcast(reached), [label, "bucket"])
+        .withColumn("row", F.row_number().over(within))
+        .where(F.col("row") == F.col("place"))
+        .select(label, "digest", "key")
+        .collect()
     )
 
 
@@ -37,34 +73,15 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split`` = 'train' or 'test' with exact class quotas.
 
-    In each class the rows with the smallest md5 of key and seed form the test set. The first hex digits
-    of the digest give equal-sized buckets: only the bucket in which a class reaches its quota is ranked,
-    all other rows are decided by a comparison with the class's limit. The key must be unique.
+    In each class the rows with the smallest md5 of key and seed form the test set. The limits are found
+    first, so the split itself is a projection. The key must be unique.
     """
-    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
-    hashed = df.select(label, F.col(key).alias("_key"), digest.alias("_digest"))
-    bucket = F.substring("_digest", 1, COARSE_DIGITS)
-    buckets = hashed.groupBy(label, bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy(label).orderBy("_bucket")
-    quotas = class_quotas(buckets.groupBy(label).agg(F.sum("c").alias("n")), label, test_size)
-    reached = (
-        buckets.withColumn("upto", F.sum("c").over(upto))
-        .join(F.broadcast(quotas), label)
-        .where((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("c") < F.col("quota")))
-        .select(label, "_bucket", (F.col("quota") - F.col("upto") + F.col("c")).alias("_place"))
-    )
-    within = Window.partitionBy(label).orderBy("_digest", "_key")
-    limits = (
-        hashed.withColumn("_bucket", bucket)
-        .join(F.broadcast(reached), [label, "_bucket"])
-        .withColumn("_row", F.row_number().over(within))
-        .where(F.col("_row") == F.col("_place"))
-        .select(label, F.struct("_digest", "_key").alias("_limit"))
-    )
-    own = F.struct(digest.alias("_digest"), F.col(key).alias("_key"))
-    is_test = F.coalesce(own <= F.col("_limit"), F.lit(False))
-    return (
-        df.join(F.broadcast(limits), label, "left")
-        .withColumn("split", F.when(is_test, "test").otherwise("train"))
-        .select(*df.columns, "split")
-    )
+    own = F.struct(_digest(key, seed).alias("digest"), F.col(key).alias("key"))
+    kind = df.schema[key].dataType
+    is_test = F.lit(False)
+    for limit in split_limits(df, key, label, test_size, seed):
+        last = F.struct(
+            F.lit(limit["digest"]).alias("digest"), F.lit(limit["key"]).cast(kind).alias("key")
+        )
+        is_test = is_test | ((F.col(label) == limit[label]) & (own <= last))
+    return df.withColumn("split", F.when(is_test, "test").otherwise("train"))

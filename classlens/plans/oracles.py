@@ -500,6 +500,8 @@ def oracles() -> dict[str, str]:
     sql["dataset_fingerprint"] = "WITH " + digest(
         ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"], "lineitem"
     )
+    sql["lineage"] = f"""SELECT fingerprint AS data_hash, n_rows, 'False' AS clean
+  FROM (WITH {digest(["l_orderkey", "l_partkey", "l_suppkey"], "lineitem")})"""
     sql["dataset_fingerprint_ordered"] = (
         "WITH num AS (SELECT *, row_number() OVER () - 1 AS rn FROM lineitem), "
         + digest(["l_orderkey", "l_returnflag", "rn"], "num")

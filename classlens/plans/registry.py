@@ -155,7 +155,8 @@ def lineage(spark, sf):
     source = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     row = sinks.lineage(source, f"{sf}/lineitem.parquet", clean=False)
     path = sinks.write_lineage(row, shared_folder(spark, "lineage"))
-    return spark.read.schema(row.schema).json(path)
+    loaded = spark.read.schema(row.schema).json(path)
+    return loaded.select("data_hash", "n_rows", F.col("facts")["clean"].alias("clean"))
 
 
 # ---------------------------------------------------------------- cleaning and profiling

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from classlens.params import JobParams
+from classlens.sources.workdir import stage
 
 
 def _missing_path(error: AnalysisException) -> bool:
@@ -97,10 +98,9 @@ def with_row_number(df: DataFrame, name: str = "row_number") -> DataFrame:
     not shuffled while the block table is small enough to broadcast.
     """
     located, place = _located(df)
-    offsets = _blocks(located, place).select(
-        *place, (F.col("before") - F.col("first")).alias("_offset")
-    )
-    if located.select(*place).distinct().count() <= BROADCAST_BLOCKS:
+    blocks = stage(_blocks(located, place), "blocks")
+    offsets = blocks.select(*place, (F.col("before") - F.col("first")).alias("_offset"))
+    if blocks.count() <= BROADCAST_BLOCKS:
         offsets = F.broadcast(offsets)
     return located.join(offsets, place).select(
         *df.columns, (F.col("_offset") + F.col("_read")).alias(name)
