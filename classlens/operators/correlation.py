@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from classlens.functions.numeric import clean_double
-from classlens.operators.longform import feature_list, long_form, validate_frame
+from classlens.operators.longform import feature_list, long_form, melt, validate_frame
 from classlens.operators.ranked import (
     bucket_count,
     bucket_cuts,
@@ -148,9 +148,11 @@ def attach_ranks(
     left = [c for c in columns if c in rare_columns]
     if not left:
         return known
-    unknown = wide.select(
-        key, *[F.when(F.col(f"rank_{c}").isNull(), F.col(c)).alias(c) for c in left]
-    ).unpivot([key], left, "feature", "value")
+    unknown = melt(
+        wide.select(key, *[F.when(F.col(f"rank_{c}").isNull(), F.col(c)).alias(c) for c in left]),
+        [key],
+        left,
+    )
     looked_up = unknown.where(F.col("value").isNotNull()).join(rare, ["feature", "value"])
     placed = looked_up.select(
         key,
@@ -306,16 +308,18 @@ def target_correlations(
     if method != "pearson":
         raise ValueError(f"unknown method: {method}")
     y = clean_double(target)
-    long = df.select(y.alias("y"), *[clean_double(f).alias(f) for f in features]).unpivot(
-        ["y"], list(features), "feature", "x"
-    )
-    paired = long.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    sums = paired.groupBy("feature").agg(
-        F.covar_pop("x", "y").alias("c"),
-        F.stddev_pop("x").alias("sx"),
-        F.stddev_pop("y").alias("sy"),
-        (F.max("x") > F.min("x")).alias("vx"),
-        (F.max("y") > F.min("y")).alias("vy"),
+    wide = df.select(y.alias("_y"), *[clean_double(f).alias(f) for f in features])
+    long = melt(wide.where(F.col("_y").isNotNull()), ["_y"], features)
+    sums = (
+        long.where(F.col("value").isNotNull())
+        .groupBy("feature")
+        .agg(
+            F.covar_pop("value", "_y").alias("c"),
+            F.stddev_pop("value").alias("sx"),
+            F.stddev_pop("_y").alias("sy"),
+            (F.max("value") > F.min("value")).alias("vx"),
+            (F.max("_y") > F.min("_y")).alias("vy"),
+        )
     )
     r = F.try_divide(F.col("c"), F.col("sx") * F.col("sy"))
     return sums.select("feature", F.when(F.col("vx") & F.col("vy"), r).alias("r"))

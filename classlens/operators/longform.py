@@ -41,6 +41,16 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     return df if len(df.inputFiles()) >= tasks else df.repartition(tasks, *by)
 
 
+def melt(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """``(*ids, feature, value)`` with one row per feature column, nulls included.
+
+    An array is inlined rather than calling ``unpivot``: two copies of the result in one plan then compare
+    as equal, so an aggregate that is read twice is computed and shuffled once.
+    """
+    cells = [F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in features]
+    return df.select(*ids, F.inline(F.array(*cells)))
+
+
 def long_form(
     df: DataFrame,
     features: Sequence[str],
@@ -55,7 +65,7 @@ def long_form(
         columns.append(F.col(label).cast("int").alias("label"))
         ids.append("label")
     wide = df.select(*columns, *[clean_double(f).alias(f) for f in features])
-    return wide.unpivot(ids, list(features), "feature", "value").where(F.col("value").isNotNull())
+    return melt(wide, ids, features).where(F.col("value").isNotNull())
 
 
 def feature_list(df: DataFrame, features: Sequence[str]) -> DataFrame:

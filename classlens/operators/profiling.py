@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from classlens.functions.numeric import clean_double, sample_skewness
-from classlens.operators.longform import feature_list, long_form
+from classlens.operators.longform import feature_list, long_form, melt
 
 # Limits of the scale recommendation.
 ONE_SIGN_RANGE = 1000
@@ -88,7 +88,7 @@ def basic_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """``(feature, n, mean, std)``: rows including nulls, mean and sample standard deviation."""
     wide = df.select(*[clean_double(f).alias(f) for f in features])
     return (
-        wide.unpivot([], list(features), "feature", "value")
+        melt(wide, [], features)
         .groupBy("feature")
         .agg(
             F.count(F.lit(1)).alias("n"),

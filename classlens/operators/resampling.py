@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from classlens.functions.numeric import clean_double, hash_digits
-from classlens.operators.longform import long_form, spread
+from classlens.operators.longform import long_form, melt, spread
 from classlens.operators.quantile import values_at_ranks
 from classlens.operators.ranked import bucket_count, bucket_cuts, running_counts, with_bucket
 
@@ -136,7 +136,7 @@ def bootstrap_ci_mean(
         )
     )
     means = sums.select(*[F.try_divide(F.col(f"sum_{f}"), F.col(f"n_{f}")).alias(f) for f in features])
-    return _interval(means.unpivot([], list(features), "feature", "stat"), ci)
+    return _interval(melt(means, [], features).withColumnRenamed("value", "stat"), ci)
 
 
 def _interval(replicates: DataFrame, ci: float) -> DataFrame:
