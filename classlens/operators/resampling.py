@@ -250,23 +250,44 @@ def bootstrap_ci_median(
     )
 
 
+def bootstrap_ci(
+    df: DataFrame,
+    features: Sequence[str],
+    key: str,
+    stat: str = "mean",
+    n_boot: int = 1000,
+    ci: float = 95.0,
+    seed: int = 42,
+) -> DataFrame:
+    """``(feature, lower, upper)``: percentile bootstrap interval of the mean or the median."""
+    if stat == "mean":
+        return bootstrap_ci_mean(df, features, key, n_boot, ci, seed)
+    if stat == "median":
+        return bootstrap_ci_median(df, features, n_boot, ci, seed)
+    raise ValueError(f"unknown statistic: {stat}")
+
+
 def target_distribution(df: DataFrame, column: str, stat: str = "count") -> DataFrame:
     """``(label, value, n, share, error)`` of a two-valued column; ``share`` is in [0, 1].
 
     The smaller value is the background, the larger one the signal. Any other number of distinct values
     is an error.
     """
+    _stat_checked(stat)
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("c"))
-    table = counts.agg(
-        F.sum("c").alias("n"),
-        F.count("value").alias("distinct"),
-        F.array_sort(
-            F.collect_list(F.when(F.col("value").isNotNull(), F.struct("value", "c")))
-        ).alias("cells"),
-    ).withColumn("filled", F.aggregate("cells", F.lit(0).cast("bigint"), lambda a, x: a + x["c"]))
+    filled = counts.where(F.col("value").isNotNull())
+    sizes = counts.agg(F.sum("c").alias("n"))
+    first_three = filled.orderBy("value").limit(3)
+    cells = F.array_sort(F.collect_list(F.struct("value", "c")))
     wrong = F.raise_error(F.lit(f"column '{column}' must have exactly 2 distinct values"))
+    table = first_three.agg(cells.alias("cells")).select(
+        sizes.scalar().alias("n"),
+        F.when(F.size("cells") != 2, wrong).otherwise(F.col("cells")).alias("cells"),
+    )
     checked = table.select(
-        "n", "filled", F.posexplode(F.when(F.col("distinct") != 2, wrong).otherwise(F.col("cells")))
+        "n",
+        (F.col("cells")[0]["c"] + F.col("cells")[1]["c"]).alias("filled"),
+        F.posexplode("cells"),
     )
     c = F.col("col.c")
     return checked.select(

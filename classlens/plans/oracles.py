@@ -616,6 +616,15 @@ def oracles() -> dict[str, str]:
   t AS (SELECT *, sum(c) OVER () AS n FROM c)
   SELECT CASE WHEN value = 0 THEN 'Background' ELSE 'Signal' END AS label, value, CAST(c AS BIGINT) AS n,
   {rnd("c / n")} AS share, {rnd("sqrt(n * (c / n) * (1 - c / n))")} AS error FROM t"""
+    sql["target_distribution_percent"] = f"""WITH {LINE}, c AS (SELECT y AS value, CAST(count(*) AS DOUBLE) AS c FROM line GROUP BY y),
+  t AS (SELECT *, sum(c) OVER () AS n FROM c)
+  SELECT CASE WHEN value = 0 THEN 'Background' ELSE 'Signal' END AS label, value, CAST(c AS BIGINT) AS n,
+  {rnd("c / n", 9)} AS share, {rnd("sqrt((c / n) * (1 - c / n) / n)", 9)} AS error FROM t"""
+    ev_long = long("ev", ["value_", "shifted"]).replace("SELECT y, feature, value FROM", "SELECT y, rtrim(feature, '_') AS feature, value FROM")
+    sql["summary_csv_roundtrip"] = f"""WITH {ev}, {ev_long}, {rank_stats()}, {moments()}, {histogram("long", "feature, y")}, {JSD}
+  SELECT feature, {rnd("auc", 8)} AS auc, {rnd(COHEN, 8)} AS effect_size, {rnd("p_ks", 8)} AS p_value,
+  {STARS.format(p="p_ks")} AS stars, {rnd("js_divergence", 8)} AS js_divergence
+  FROM ksp JOIN mo USING (feature) JOIN jsd USING (feature)"""
     sql["knn_graph"] = f"""WITH {VECS}, {fitted("vecs", VECTOR_FEATURES)},
   zs AS MATERIALIZED (SELECT vec_id, [{", ".join(f"(s.{c} - (SELECT center FROM fit WHERE feature = '{c}')) / (SELECT scale FROM fit WHERE feature = '{c}')" for c in VECTOR_FEATURES)}] AS v FROM vecs s),
   ds AS (SELECT a.vec_id, b.vec_id AS nbr, list_distance(a.v, b.v) AS dist FROM zs a JOIN zs b ON a.vec_id <> b.vec_id),

@@ -68,14 +68,18 @@ def process(
 
 
 def process_cached(
-    df: DataFrame, params: JobParams, base: str, key: str | None = None
+    df: DataFrame,
+    params: JobParams,
+    base: str,
+    key: str | None = None,
+    clean_first: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """``process`` with its result stored under ``base``, keyed by parameters and table content."""
     spark = df.sparkSession
     entry = sinks.cache_key(df, params)
     found = sinks.load_from_cache(spark, base, entry) if params.use_cache else None
     if found is None:
-        splits, fitted = process(df, params, key)
+        splits, fitted = process(df, params, key, clean_first)
         sinks.save_to_cache(base, entry, splits, fitted, params)
         found = sinks.load_from_cache(spark, base, entry)
     return found

@@ -622,6 +622,18 @@ def target_distribution(spark, sf):
     return rounded(resampling.target_distribution(items(spark, sf), "y", "count"))
 
 
+@register("target_distribution_percent")
+def target_distribution_percent(spark, sf):
+    return rounded(resampling.target_distribution(items(spark, sf), "y", "percent"), 9)
+
+
+@register("summary_csv_roundtrip")
+def summary_csv_roundtrip(spark, sf):
+    summary = separation_summary(events(spark, sf), ["value", "shifted"], "y", "ks")
+    path = sinks.write_summary_csv(summary, shared_folder(spark, "summary"))
+    return rounded(spark.read.schema(summary.schema).csv(path, header=True), 8)
+
+
 @register("pca_scores")
 def pca_scores(spark, sf):
     return projection.pca_scores(vectors(spark, sf), VECTOR_FEATURES, ["vec_id", "y"])
