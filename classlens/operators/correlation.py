@@ -199,7 +199,8 @@ def kendall_pairs(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
     The dense rank of ``col_a`` is read as a binary number. At each of its bits, two rows that agree on all
     higher bits and differ in this one are ordered by ``col_a``; whether ``col_b`` orders them the same way
     is a two-class rank count between bit 0 and bit 1. Every untied pair is counted at exactly one bit, so
-    the counts add up to concordant minus discordant. Equal (rank, rank) cells collapse first.
+    the counts add up to concordant minus discordant. Equal (rank, rank) cells collapse first, and the
+    column with fewer distinct values of a pair is the one that is read bit by bit.
     """
     columns = list(columns)
     pair = ["col_a", "col_b"]
@@ -233,22 +234,32 @@ def kendall_pairs(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
         return grouped.groupBy(*pair).agg(tied.alias(f"ties_{side}"))
 
     buckets = bucket_count(df)
-    bits = F.ceil(F.log2(F.col("top_a") + 1.0)).cast("int")
-    levels = F.when(F.col("top_a") > 0, F.sequence(F.lit(0), bits - 1))
-    bucket = F.floor(F.col("rb") * buckets / (F.col("top_b") + 1.0)).cast("int")
+    fewer = F.col("top_a") <= F.col("top_b")
+    oriented = cells.join(F.broadcast(sizes), pair).select(
+        *pair,
+        "c",
+        F.least("top_a", "top_b").alias("top"),
+        F.greatest("top_a", "top_b").alias("top_other"),
+        F.when(fewer, F.col("ra")).otherwise(F.col("rb")).alias("rank"),
+        F.when(fewer, F.col("rb")).otherwise(F.col("ra")).alias("other"),
+    )
+    bits = F.ceil(F.log2(F.col("top") + 1.0)).cast("int")
+    levels = F.when(F.col("top") > 0, F.sequence(F.lit(0), bits - 1))
+    bucket = F.floor(F.col("other") * buckets / (F.col("top_other") + 1.0)).cast("int")
     group = [*pair, "level", "prefix"]
     counts = (
-        cells.join(F.broadcast(sizes), pair)
-        .select(*pair, "ra", "rb", "c", bucket.alias("bucket"), F.explode(levels).alias("level"))
-        .withColumn("bit", F.expr("shiftright(ra, level) & 1"))
-        .withColumn("prefix", F.expr("shiftright(ra, level + 1)"))
-        .groupBy(*group, "bucket", "rb")
+        oriented.select(
+            *pair, "rank", "other", "c", bucket.alias("bucket"), F.explode(levels).alias("level")
+        )
+        .withColumn("bit", F.expr("shiftright(rank, level) & 1"))
+        .withColumn("prefix", F.expr("shiftright(rank, level + 1)"))
+        .groupBy(*group, "bucket", "other")
         .agg(
             F.sum(F.when(F.col("bit") == 0, F.col("c")).otherwise(0)).alias("low"),
             F.sum(F.when(F.col("bit") == 1, F.col("c")).otherwise(0)).alias("high"),
         )
     )
-    ranked = running_counts(counts, group, ["bucket"], ["low", "high"], "rb")
+    ranked = running_counts(counts, group, ["bucket"], ["low", "high"], "other")
     above = F.col("total_low") - F.col("before_low") - F.col("low")
     score = F.sum(F.col("high").cast("double") * (F.col("before_low") - above).cast("double"))
     scores = ranked.groupBy(*pair).agg(score.alias("score"))

@@ -578,6 +578,11 @@ def oracles() -> dict[str, str]:
     sql["separation_summary"] = f"""WITH {LINE}, {lines}, {rank_stats()}, {moments()}, {histogram("long", "feature, y")}, {JSD}
   SELECT feature, {rnd("auc", 8)} AS auc, {rnd(COHEN, 8)} AS effect_size, {rnd("p_mw", 8)} AS p_value,
   {STARS.format(p="p_mw")} AS stars, {rnd("js_divergence", 8)} AS js_divergence
+  FROM mwp JOIN mo USING (feature) JOIN jsd USING (feature) WHERE n_distinct > 1"""
+    vec_long = long("vecs", VECTOR_FEATURES)
+    sql["separation_vectors"] = f"""WITH {VECS}, {vec_long}, {rank_stats()}, {moments()}, {histogram("long", "feature, y")}, {JSD}
+  SELECT feature, {rnd("auc", 8)} AS auc, {rnd(COHEN, 8)} AS effect_size, {rnd("p_mw", 8)} AS p_value,
+  {STARS.format(p="p_mw")} AS stars, {rnd("js_divergence", 8)} AS js_divergence
   FROM mwp JOIN mo USING (feature) JOIN jsd USING (feature) WHERE n_distinct > 1"""
     sql["separation_summary_ttest"] = f"""WITH {DIRT}, {dirty}, {rank_stats()}, {moments()}, {histogram("long", "feature, y", shared=True)}, {JSD}
   SELECT feature, {rnd("auc", 8)} AS auc, {rnd(COHEN, 8)} AS effect_size, {rnd("p_t", 8)} AS p_value,
@@ -593,6 +598,7 @@ def oracles() -> dict[str, str]:
     kde_columns = f"point, {rnd('x')} AS x, {rnd('density * step', 10)} AS mass"
     sql["class_kde"] = f"WITH {LINE}, {lines}, {kde('long', 'feature, y')} SELECT feature, y AS label, {kde_columns} FROM kd"
     sql["distribution_kde"] = f"WITH {values}, {kde('long', 'feature')} SELECT feature, {kde_columns} FROM kd"
+    sql["class_kde_vectors"] = f"WITH {VECS}, {vec_long}, {kde('long', 'feature, y')} SELECT feature, y AS label, {kde_columns} FROM kd"
     sql["class_location"] = f"""WITH {LINE}, {lines} SELECT feature, y AS label, {rnd("avg(value)", 7)} AS mean,
   {rnd("median(value)", 7)} AS median FROM long GROUP BY feature, y"""
     sql["significance_stars"] = f"""WITH {VECS}, {long("vecs", VECTOR_FEATURES)}, {rank_stats()}

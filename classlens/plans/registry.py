@@ -509,6 +509,16 @@ def separation_ttest(spark, sf):
     return rounded(found, 8)
 
 
+@register("separation_vectors")
+def separation_vectors(spark, sf):
+    return rounded(separation_summary(vectors(spark, sf), VECTOR_FEATURES, "y"), 8)
+
+
+@register("class_kde_vectors")
+def class_kde_vectors(spark, sf):
+    return _kde_rows(density.kernel_density(vectors(spark, sf), VECTOR_FEATURES, "y"))
+
+
 @register("trim_percentiles")
 def trim_percentiles(spark, sf):
     return rounded(histogram.trim_percentiles(items(spark, sf), FEATURES, "y"))
