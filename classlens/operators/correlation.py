@@ -24,6 +24,7 @@ from classlens.sources.workdir import stage
 METHODS = ("pearson", "spearman", "kendall")
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 HOT_SHARE = 1_000
+JOINED_COLUMNS = 3
 CONSTANT = 1e-12
 
 
@@ -125,6 +126,23 @@ def value_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def _join_rare(wide: DataFrame, rare: DataFrame, column: str, key: str) -> DataFrame:
+    """Fill ``rank_<column>`` from a shuffle join; rows that need no look-up are spread by a salt."""
+    known = F.col(f"rank_{column}").isNotNull() | F.col(column).isNull()
+    salt = F.when(known, 1 + F.pmod(F.xxhash64(key), F.lit(2**30))).otherwise(0)
+    probe = wide.withColumn("_salt", salt).withColumn(
+        "_value", F.when(known, 0.0).otherwise(F.col(column))
+    )
+    table = rare.select(
+        F.lit(0).cast("bigint").alias("_salt"), F.col("value").alias("_value"), "rank"
+    )
+    return (
+        probe.join(table, ["_salt", "_value"], "left")
+        .withColumn(f"rank_{column}", F.coalesce(f"rank_{column}", "rank"))
+        .drop("_salt", "_value", "rank")
+    )
+
+
 def attach_ranks(
     df: DataFrame, columns: Sequence[str], key: str, rank: str = "avg_rank"
 ) -> DataFrame:
@@ -132,8 +150,9 @@ def attach_ranks(
 
     Values that hold more than a thousandth of a column's rows (fewer than 1,000 per column) are looked up
     by broadcast, so no join key is hot and a column of few values needs no shuffle at all. The other values
-    meet their rank in a shuffle join, and one aggregation by ``key``, which must be unique, reassembles
-    the rows.
+    meet their rank in a shuffle join: for up to ``JOINED_COLUMNS`` columns whole rows are joined one column
+    after the other, beyond that all values at once, with one aggregation by ``key`` to reassemble the
+    rows. ``key`` must be unique.
     """
     ranks = stage(value_ranks(df, columns), "ranks")
     hot = F.col("t") * HOT_SHARE > F.col("n")
@@ -144,9 +163,12 @@ def attach_ranks(
         frequent = ranks.where(hot & (F.col("feature") == c))
         found = frequent.select(F.col("value").alias(c), F.col(rank).alias(f"rank_{c}"))
         wide = wide.join(F.broadcast(found), c, "left")
-    known = wide.select(key, *[F.col(f"rank_{c}").cast("double").alias(c) for c in columns])
     left = [c for c in columns if c in rare_columns]
-    if not left:
+    if len(left) <= JOINED_COLUMNS:
+        for c in left:
+            wide = _join_rare(wide, rare.where(F.col("feature") == c), c, key)
+    known = wide.select(key, *[F.col(f"rank_{c}").cast("double").alias(c) for c in columns])
+    if len(left) <= JOINED_COLUMNS:
         return known
     unknown = melt(
         wide.select(key, *[F.when(F.col(f"rank_{c}").isNull(), F.col(c)).alias(c) for c in left]),
