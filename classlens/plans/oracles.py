@@ -617,6 +617,9 @@ def oracles() -> dict[str, str]:
     sql["top_correlations_positive"] = top("AND r > 0")
     sql["top_correlations_negative"] = top("AND r < 0")
     sql["top_correlations_spearman"] = top(method="spearman")
+    tau = "(2 * auc - 1) * n0 * n1 / sqrt(((n0 + n1) * (n0 + n1 - 1) / 2 - tied_pairs) * n0 * n1)"
+    sql["top_correlations_kendall"] = f"""WITH {VECS}, {vec_long}, {rank_stats()}, found AS (SELECT feature, {tau} AS r FROM st)
+  SELECT feature, {rnd("r", 9)} AS r FROM found ORDER BY abs(r) DESC, feature LIMIT 10"""
     sql["correlation_submatrix"] = submatrix()
     sql["target_distribution"] = f"""WITH {LINE}, c AS (SELECT y AS value, CAST(count(*) AS DOUBLE) AS c FROM line GROUP BY y),
   t AS (SELECT *, sum(c) OVER () AS n FROM c)
@@ -631,6 +634,15 @@ def oracles() -> dict[str, str]:
   SELECT feature, {rnd("auc", 8)} AS auc, {rnd(COHEN, 8)} AS effect_size, {rnd("p_ks", 8)} AS p_value,
   {STARS.format(p="p_ks")} AS stars, {rnd("js_divergence", 8)} AS js_divergence
   FROM ksp JOIN mo USING (feature) JOIN jsd USING (feature)"""
+    # eigenvalues of a symmetric 3 x 3 matrix with unit diagonal, by the trigonometric formula
+    sql["pca_explained_variance_items"] = f"""WITH {LINE},
+  c AS (SELECT corr(quantity, price) AS a, corr(quantity, discount) AS b, corr(price, discount) AS d FROM line),
+  p AS (SELECT *, sqrt((a * a + b * b + d * d) / 3) AS p FROM c),
+  f AS (SELECT p, acos(least(greatest(a * b * d / (p * p * p), -1.0), 1.0)) / 3 AS phi FROM p),
+  e AS (SELECT unnest([1, 2, 3]) AS component,
+    unnest([1 + 2 * p * cos(phi), 1 + 2 * p * cos(phi - 2 * pi() / 3), 1 + 2 * p * cos(phi + 2 * pi() / 3)]) / 3 AS ratio FROM f)
+  SELECT CAST(component AS INTEGER) AS component, {rnd("ratio")} AS ratio,
+  {rnd("sum(ratio) OVER (ORDER BY component)")} AS cumulative FROM e"""
     sql["knn_graph"] = f"""WITH {VECS}, {fitted("vecs", VECTOR_FEATURES)},
   zs AS MATERIALIZED (SELECT vec_id, [{", ".join(f"(s.{c} - (SELECT center FROM fit WHERE feature = '{c}')) / (SELECT scale FROM fit WHERE feature = '{c}')" for c in VECTOR_FEATURES)}] AS v FROM vecs s),
   ds AS (SELECT a.vec_id, b.vec_id AS nbr, list_distance(a.v, b.v) AS dist FROM zs a JOIN zs b ON a.vec_id <> b.vec_id),

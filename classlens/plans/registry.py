@@ -620,6 +620,7 @@ QUERIES["top_correlations"] = _top()
 QUERIES["top_correlations_positive"] = _top(positive_only=True)
 QUERIES["top_correlations_negative"] = _top(negative_only=True)
 QUERIES["top_correlations_spearman"] = _top(method="spearman")
+QUERIES["top_correlations_kendall"] = _top(method="kendall")
 
 
 @register("correlation_submatrix")
@@ -654,6 +655,12 @@ def pca_explained_variance(spark, sf):
     return projection.pca_explained_variance(vectors(spark, sf), VECTOR_FEATURES)
 
 
+@register("pca_explained_variance_items")
+def pca_explained_variance_items(spark, sf):
+    features = ["quantity", "price", "discount"]
+    return rounded(projection.pca_explained_variance(items(spark, sf), features, 3))
+
+
 @register("knn_graph")
 def knn_graph(spark, sf):
     return rounded(neighbours.knn_graph(vectors(spark, sf), "vec_id", VECTOR_FEATURES, 15))

@@ -13,7 +13,7 @@ def session() -> SparkSession:
     spark = (
         SparkSession.builder.master("local[8]")
         .appName("classlens-tests")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", os.environ.get("TEST_PARTITIONS", "8"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
