@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Text bytes of a batch; its work arrays are about eight times as large. Executors with more memory take more,
 #: which keeps the number of blobs (batches times parts) low for very large corpora.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def batch_count(docs: DataFrame, text: str, batch_bytes: int = BATCH_BYTES) -> int:

@@ -20,3 +20,101 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
     sha256(coalesce(t, '')) AS kept_sha256
 FROM docs d LEFT JOIN kept USING (doc_id)
 """
+
+EXACT_DEDUP = """
+WITH docs AS (
+    SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+    FROM documents),
+named AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS n FROM docs)
+SELECT doc_id, keep_id, n AS group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM named
+"""
+
+QUALITY_RULES = rf"""
+WITH docs AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, coalesce({WORDS}, []) AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM docs),
+windows AS (SELECT doc_id, p, array_to_string(w[p:p + 7], ' ') AS x FROM starts),
+twice AS (
+    SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, x) AS n FROM windows) WHERE n > 1),
+covered AS (
+    SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, p + unnest(range(0, 8)) AS i FROM twice) GROUP BY doc_id),
+base AS (
+    SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
+        CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+        CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+    FROM docs LEFT JOIN covered USING (doc_id)),
+counted AS (
+    SELECT * EXCLUDE (lines), CAST(len(lines) AS BIGINT) AS n_lines,
+        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
+    FROM base),
+shares AS (
+    SELECT *, CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END AS symbols,
+        CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS lines,
+        CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeats
+    FROM counted),
+levels AS (
+    SELECT grouping(lang, source) AS g, lang, source, count(*) AS n,
+        quantile_disc(symbols, 0.25) AS a1, quantile_disc(symbols, 0.75) AS a3,
+        quantile_disc(lines, 0.25) AS b1, quantile_disc(lines, 0.75) AS b3,
+        quantile_disc(repeats, 0.25) AS c1, quantile_disc(repeats, 0.75) AS c3
+    FROM shares GROUP BY GROUPING SETS ((lang, source), (lang), ())),
+used AS (
+    SELECT o.lang, o.source,
+        CASE WHEN o.n >= 50 THEN [o.a1, o.a3, o.b1, o.b3, o.c1, o.c3]
+             WHEN l.n >= 50 THEN [l.a1, l.a3, l.b1, l.b3, l.c1, l.c3]
+             ELSE [e.a1, e.a3, e.b1, e.b3, e.c1, e.c3] END AS q
+    FROM levels o JOIN levels l ON l.g = 1 AND l.lang IS NOT DISTINCT FROM o.lang JOIN levels e ON e.g = 3
+    WHERE o.g = 0)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND symbols <= q[2] + 3.0 * greatest(q[2] - q[1], 0.01)
+        AND lines <= q[4] + 3.0 * greatest(q[4] - q[3], 0.04)
+        AND repeats <= q[6] + 3.0 * greatest(q[6] - q[5], 0.04) AS kept
+FROM shares s JOIN used u ON u.lang IS NOT DISTINCT FROM s.lang AND u.source IS NOT DISTINCT FROM s.source
+"""
+
+MIXING = rf"""
+WITH docs AS (
+    SELECT doc_id, source, CAST(coalesce(len({WORDS}), 0) AS BIGINT) AS size,
+        (CAST('0x' || substr(md5('20240601|' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) + 0.5::DOUBLE)
+            / 4503599627370496::DOUBLE AS u
+    FROM documents),
+sizes AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n
+    FROM docs GROUP BY source),
+weighted AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + (n - 1) % 3] AS w, 3 * source_size AS most FROM sizes),
+levelled AS (
+    SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / w, n
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+        / sum(w) OVER (ORDER BY most / w, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+    FROM weighted),
+aimed AS (
+    SELECT source, source_size, least(most::DOUBLE,
+        w * (SELECT arg_min(level, n) FROM (SELECT row_number() OVER (ORDER BY most / w, n) AS n, level
+             FROM levelled WHERE most / w >= level))) AS target
+    FROM levelled),
+plan AS (
+    SELECT *, CAST(floor(target / greatest(source_size, 1)) AS BIGINT) AS whole,
+        least(target - floor(target / greatest(source_size, 1)) * source_size, source_size) AS rest FROM aimed),
+placed AS (
+    SELECT d.doc_id, d.size, p.*, (u / (1 - u)) / (least(greatest(rest / greatest(source_size, 1), 1e-12), 1 - 1e-12)
+        / (1 - least(greatest(rest / greatest(source_size, 1), 1e-12), 1 - 1e-12))) AS odds
+    FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
+ranked AS (
+    SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id) - size / 2 AS half FROM placed)
+SELECT doc_id, size, source_size, target,
+    CAST(size * (whole + CASE WHEN rest > 0 AND half <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM ranked
+"""
+
+WARC = """
+WITH p AS (
+    SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+    FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""

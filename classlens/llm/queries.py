@@ -3,12 +3,24 @@
 from __future__ import annotations
 
 from classlens.llm import oracles
+from classlens.llm.exact_dedup import op2_exact_dedup
+from classlens.llm.mixing import op6_mixing
+from classlens.llm.quality_rules import op4_quality_rules
 from classlens.llm.substring_dedup import op1_substring_dedup
+from classlens.llm.warc import op7_warc
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op4_quality_rules": op4_quality_rules,
+    "op6_mixing": op6_mixing,
+    "op7_warc": op7_warc,
 }
 
 ORACLES = {
     "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op2_exact_dedup": oracles.EXACT_DEDUP,
+    "op4_quality_rules": oracles.QUALITY_RULES,
+    "op6_mixing": oracles.MIXING,
+    "op7_warc": oracles.WARC,
 }
