@@ -69,16 +69,17 @@ class Words:
         return np.arange(self.n) - np.repeat(self.first[:-1], np.diff(self.first))
 
     def hashes(self, k: int, which: int = 0) -> np.ndarray:
-        """64-bit hash of the k words from each word on (of fewer at the end of the batch)."""
+        """64-bit hash of the k words from each word on, of fewer at the end of its text."""
         out = np.empty(self.n, np.uint64)
         base, table = _BASES[which], _TABLES[which]
         inverse = pow(base, -1, 1 << 64)
         data = np.frombuffer(self.buffer, np.uint8)
+        last = np.repeat(self.first[1:], np.diff(self.first))
         with np.errstate(over="ignore"):
             for a in range(0, self.n, CHUNK_WORDS):
                 b = min(a + CHUNK_WORDS, self.n)
-                upto = np.minimum(np.arange(a, b) + k, self.n)
-                low, high = self.cuts[a], self.cuts[upto[-1]]
+                upto = np.minimum(np.arange(a, b) + k, last[a:b])
+                low, high = self.cuts[a], self.cuts[upto.max()]
                 part = table[data[low:high]] * _power(base, high - low)
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part, dtype=np.uint64)])
                 start, end = self.cuts[a:b] - low, self.cuts[upto] - low

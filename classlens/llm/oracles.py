@@ -69,8 +69,8 @@ used AS (
     WHERE o.g = 0)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND symbols <= q[2] + 3.0 * greatest(q[2] - q[1], 0.01)
-        AND lines <= q[4] + 3.0 * greatest(q[4] - q[3], 0.04)
-        AND repeats <= q[6] + 3.0 * greatest(q[6] - q[5], 0.04) AS kept
+        AND lines <= q[4] + 3.0 * greatest(q[4] - q[3], 0.15)
+        AND repeats <= q[6] + 3.0 * greatest(q[6] - q[5], 0.09) AS kept
 FROM shares s JOIN used u ON u.lang IS NOT DISTINCT FROM s.lang AND u.source IS NOT DISTINCT FROM s.source
 """
 
@@ -118,3 +118,25 @@ SELECT page_id, payload_bytes, payload_digest,
     CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
 FROM f
 """
+
+JACCARD_JOIN = rf"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, coalesce({WORDS}, []) AS w FROM (
+        SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+        FROM documents)),
+lists AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END AS s
+    FROM docs),
+shingles AS (SELECT DISTINCT doc_id, unnest(s) AS s FROM lists),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+    SELECT x.a, x.b FROM (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+        FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL) x
+    JOIN sizes p ON p.doc_id = x.a JOIN sizes q ON q.doc_id = x.b
+    WHERE 100 * both >= 75 * (p.n + q.n - both)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM docs UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT a AS doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(b) AS component_id
+FROM reach LEFT JOIN sizes ON doc_id = a GROUP BY a
+"""

@@ -26,7 +26,7 @@ MIN_ROWS = 50
 #: A fence lies this many spreads above the upper quartile; the spread is the distance of the quartiles, or the
 #: least spread of the measure where most texts have the same value.
 REACH = 3.0
-MEASURES = {"symbols": 0.01, "lines": 0.04, "repeats": 0.04}
+MEASURES = {"symbols": 0.01, "lines": 0.15, "repeats": 0.09}
 #: The table of thresholds is broadcast up to so many groups (about 100 bytes each), else joined by shuffle.
 BROADCAST_GROUPS = 100_000
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from classlens.llm import oracles
 from classlens.llm.exact_dedup import op2_exact_dedup
+from classlens.llm.jaccard_join import op9_jaccard_join
 from classlens.llm.mixing import op6_mixing
+from classlens.llm.packing import op8_packing
 from classlens.llm.quality_rules import op4_quality_rules
 from classlens.llm.substring_dedup import op1_substring_dedup
 from classlens.llm.warc import op7_warc
@@ -15,6 +17,8 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
+    "op8_packing": op8_packing,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 
 ORACLES = {
@@ -23,4 +27,5 @@ ORACLES = {
     "op4_quality_rules": oracles.QUALITY_RULES,
     "op6_mixing": oracles.MIXING,
     "op7_warc": oracles.WARC,
+    "op9_jaccard_join": oracles.JACCARD_JOIN,
 }
