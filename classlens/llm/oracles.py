@@ -132,10 +132,10 @@ shingles AS (SELECT DISTINCT doc_id, unnest(s) AS s FROM lists),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 links AS (
     SELECT x.a, x.b FROM (
-        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
         FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL) x
     JOIN sizes p ON p.doc_id = x.a JOIN sizes q ON q.doc_id = x.b
-    WHERE 100 * both >= 75 * (p.n + q.n - both)),
+    WHERE 100 * common >= 75 * (p.n + q.n - common)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM docs UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT a AS doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(b) AS component_id
 FROM reach LEFT JOIN sizes ON doc_id = a GROUP BY a

@@ -5,6 +5,7 @@ from __future__ import annotations
 from classlens.llm import oracles
 from classlens.llm.exact_dedup import op2_exact_dedup
 from classlens.llm.jaccard_join import op9_jaccard_join
+from classlens.llm.line_dedup import op10_line_dedup
 from classlens.llm.mixing import op6_mixing
 from classlens.llm.packing import op8_packing
 from classlens.llm.quality_rules import op4_quality_rules
@@ -19,6 +20,7 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op8_packing": op8_packing,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES = {
