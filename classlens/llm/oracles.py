@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from classlens.llm.licenses import COPYRIGHT_LINE, KNOWN, OTHER, SPELLINGS
+
 WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
 SUBSTRING_DEDUP = rf"""
@@ -140,3 +142,26 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM docs UNION SELECT r.a, l.b FROM r
 SELECT a AS doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(b) AS component_id
 FROM reach LEFT JOIN sizes ON doc_id = a GROUP BY a
 """
+
+
+def _canonical(text: str) -> str:
+    out = f"' ' || trim(regexp_replace(lower(regexp_replace({text}, '{COPYRIGHT_LINE}', ' ', 'g')), '{OTHER}', ' ', 'g')) || ' '"
+    for variant, word in SPELLINGS:
+        out = f"replace({out}, ' {variant} ', ' {word} ')"
+    return f"trim({out})"
+
+
+def license_scan() -> str:
+    known = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in KNOWN)
+    return f"""
+WITH known AS (
+    SELECT sha256({_canonical("t")}) AS digest, min(n) AS license FROM (VALUES {known}) k(n, t)
+    WHERE {_canonical("t")} <> '' GROUP BY 1),
+lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+matched AS (
+    SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses, count(*) AS n
+    FROM lines JOIN known ON digest = sha256({_canonical("line")}) GROUP BY doc_id),
+texts AS (SELECT doc_id, sha256({_canonical("coalesce(text, '')")}) AS digest FROM documents)
+SELECT doc_id, digest, license, coalesce(line_licenses, '') AS line_licenses, coalesce(n, 0) AS n_license_lines
+FROM texts LEFT JOIN known USING (digest) LEFT JOIN matched USING (doc_id)
+"""
