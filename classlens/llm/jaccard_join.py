@@ -30,6 +30,8 @@ SHINGLE = 5
 NUM, DEN = 3, 4
 #: Groups beyond the least number, so that few sets have too few filled cells.
 SLACK = 1.1
+#: Holders of one signature that are compared in one unit of work.
+BLOCK = 4096
 _SHIFT, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
@@ -207,8 +209,8 @@ def _conflicts(key, table):
     other = ~first & np.concatenate([[False], e["group"][1:] != e["group"][:-1]])
     of = np.cumsum(first) - 1
     e = e[np.bincount(of, other, of[-1] + 1)[of] > 0]
-    sig = e["sig"].astype(np.int64) | (np.int64(key[0].as_py()) << np.int64(32))
-    return pa.table([pa.array(sig), pa.array(e["rep"])], names=["sig", "rep"])
+    part = pa.array(np.full(len(e), key[0].as_py(), np.int32))
+    return pa.table([part, pa.array(e["sig"].astype(np.int64)), pa.array(e["rep"])], names=["part", "sig", "rep"])
 
 
 def _sketch(batches):
@@ -225,25 +227,48 @@ def _sketch(batches):
 
 def _admitted(num: int, den: int):
     def admitted(key, table):
-        """Pairs of different components whose sizes and sketches allow a link."""
-        table = table.sort_by("rep")
-        rep, group, n = (table.column(c).to_numpy() for c in ("rep", "group", "n"))
+        """Pairs of different components whose sizes and sketches allow a link.
+
+        Holders stand sorted by signature; pairs at growing distance are looked at for all signatures at once. A unit of
+        two blocks of one signature pairs the blocks only.
+        """
+        table = table.sort_by([("sig", "ascending"), ("rep", "ascending")])
+        sig, rep, group, n, block = (table.column(c).to_numpy() for c in ("sig", "rep", "group", "n", "block"))
         bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, 8)
-        a, b = [], []
-        for i in range(len(rep) - 1):
-            at = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
-            small, big = np.minimum(n[at], n[i]), np.maximum(n[at], n[i])
-            at = at[den * small >= num * big]
-            apart = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1)
-            at = at[apart * (den + num) <= (den - num) * (n[at] + n[i])]
-            a.append(np.full(len(at), rep[i]))
-            b.append(rep[at])
-        none = [np.zeros(0, np.int64)]
-        return pa.table([pa.array(np.concatenate(a + none)), pa.array(np.concatenate(b + none))], names=["a", "b"])
+        across = key[1].as_py() != key[2].as_py()
+        found, at, lag = [np.zeros((0, 2), np.int64)], np.arange(len(sig)), 0
+        while len(at):
+            lag += 1
+            at = at[at + lag < len(sig)]
+            at = at[sig[at] == sig[at + lag]]
+            to = at + lag
+            some = group[at] != group[to]
+            if across:
+                some &= block[at] != block[to]
+            i, j = at[some], to[some]
+            some = den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])
+            i, j = i[some], j[some]
+            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1)
+            some = apart * (den + num) <= (den - num) * (n[i] + n[j])
+            if some.any():
+                found.append(np.unique(np.stack([rep[i[some]], rep[j[some]]], axis=1), axis=0))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return admitted
 
 
+def _units(holders: DataFrame) -> DataFrame:
+    """Holders by unit of work: a part, or for a signature with many holders each pair of its blocks."""
+    m = holders.groupBy("sig", "part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    large = m.where("blocks > 1")
+    out = holders.join(large, ["sig", "part"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    out = out.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = F.when(F.col("blocks") > 1, F.concat_ws(".", "part", "sig")).otherwise(F.col("part").cast("string"))
+    return out.select("sig", "rep", "block", unit.alias("unit"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
 def _compared(num: int, den: int):
     def compared(batches):
         """The pairs that link."""
@@ -307,10 +332,11 @@ def join_components(
     grouped = sets.join(near, F.col("rep") == F.col("node"), "left")
     grouped = stage(grouped.select("rep", F.coalesce("component", "rep").alias("group"), "set"), "grouped")
     signed = grouped.mapInArrow(_sign(n, num, den), "part int, blob binary")
-    open_ = stage(signed.groupBy("part").applyInArrow(_conflicts, "sig long, rep long"), "open")
+    open_ = stage(signed.groupBy("part").applyInArrow(_conflicts, "part int, sig long, rep long"), "open")
     held = grouped.join(open_.select("rep").distinct(), "rep", "left_semi")
     sketches = held.mapInArrow(_sketch, "rep long, group long, n long, sketch binary")
-    pairs = open_.join(sketches, "rep").groupBy("sig").applyInArrow(_admitted(num, den), "a long, b long").distinct()
+    units = _units(open_).join(sketches, "rep").groupBy("unit", "i", "j")
+    pairs = units.applyInArrow(_admitted(num, den), "a long, b long").distinct()
     second = _links(pairs, sets, num, den)
     found = stage(components(first.unionByName(second)), "components")
 

@@ -1,9 +1,9 @@
 """Toxicity as graded severity: cumulative-link ordinal regression on sparse text features.
 
 A text's features are its words and their first letters, hashed. Labelled documents, up to a documented number, choose the
-features whose presence depends on the label and fit one weight per feature, shared by all ordered thresholds:
+features that toxic documents have far more often and fit one weight per feature, shared by all ordered thresholds:
 P(grade > k) = logistic(w x - t_k). Every document is then scored, to its expected grade. Labels say toxic or not; the
-grades of toxic training documents are thirds of the share of their words that carry features of toxic texts.
+grades of toxic training documents are thirds by the number of such features that they hold.
 """
 
 from __future__ import annotations
@@ -26,7 +26,10 @@ SPACE = 1 << 20
 CHOSEN = 4096
 #: Least chi-square statistic of a chosen feature.
 CHI2 = 15.0
-GRADES = 4
+#: And how many times as common it is in toxic documents at least; common words of the corpus say little.
+LIFT = 8.0
+#: Share of the toxic documents that hold it, and how many at least.
+HOLDERS, LEAST = 0.01, 3
 PREFIXES = (4, 5, 6)
 #: Distinct words whose features a worker remembers.
 KNOWN_WORDS = 1_000_000
@@ -53,14 +56,9 @@ class _Found(dict):
         self[word] = own
         return own
 
-    def of(self, text: str | None) -> tuple[dict[int, int], int]:
-        """How many words carry each feature, and the number of words."""
-        counts: dict[int, int] = {}
-        words = _WORD.findall(text.lower()) if text else []
-        for features in map(self.__getitem__, words):
-            for f in features:
-                counts[f] = counts.get(f, 0) + 1
-        return counts, len(words)
+    def of(self, text: str | None) -> set[int]:
+        """The features that the text holds."""
+        return set().union(*map(self.__getitem__, _WORD.findall(text.lower()))) if text else set()
 
 
 def _presence(batches):
@@ -68,7 +66,7 @@ def _presence(batches):
     found, counts = _Found(None), np.zeros((2, SPACE), np.int64)
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            counts[int(toxic), list(found.of(text)[0])] += 1
+            counts[int(toxic), list(found.of(text))] += 1
     some = np.flatnonzero(counts.sum(axis=0))
     columns = [pa.array(some), pa.array(counts[0, some]), pa.array(counts[1, some])]
     yield pa.RecordBatch.from_arrays(columns, ["feature", "clean", "bad"])
@@ -82,11 +80,9 @@ def _examples(chosen: dict[int, int]):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("toxic").cast(pa.int32()),
-                    pa.array([n for _, n in rows], pa.int64()),
-                    pa.array([list(c) for c, _ in rows], pa.list_(pa.int64())),
-                    pa.array([list(c.values()) for c, _ in rows], pa.list_(pa.int64())),
+                    pa.array([sorted(x) for x in rows], pa.list_(pa.int64())),
                 ],
-                ["toxic", "n", "features", "counts"],
+                ["toxic", "features"],
             )
 
     return examples
@@ -105,8 +101,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.cuts, -60, 60)))
 
 
-def _by_third(shares: np.ndarray) -> np.ndarray:
-    return 1 + np.searchsorted(np.quantile(shares, [1 / 3, 2 / 3]), shares, side="left")
+def _by_third(numbers: np.ndarray) -> np.ndarray:
+    return 1 + np.searchsorted(np.quantile(numbers, [1 / 3, 2 / 3]), numbers, side="left")
 
 
 def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, steps: int = 400, l2: float = 1e-4):
@@ -161,14 +157,14 @@ def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: str
     a, b, p, q = F.col("a"), F.col("b"), float(sizes[0]), float(sizes[1])
     n = p + q
     chi2 = n * F.pow(a * (q - b) - b * (p - a), 2) / ((a + b) * (n - a - b + 0.5) * p * q)
-    best = counts.withColumn("chi2", chi2).where(f"chi2 >= {CHI2}").orderBy(F.desc("chi2"), "feature").limit(CHOSEN)
+    lift = (b + 0.5) / q / ((a + 0.5) / p)
+    best = counts.withColumn("chi2", chi2).where((F.col("chi2") >= CHI2) & (lift >= LIFT) & (b >= max(LEAST, HOLDERS * q))).orderBy(F.desc("chi2"), "feature").limit(CHOSEN)
     best = best.collect()
     chosen = {r["feature"]: i for i, r in enumerate(best)}
     if not chosen:
         return None
-    rows = train.mapInArrow(_examples(chosen), "toxic int, n long, features array<long>, counts array<long>").collect()
-    bad = np.array([r["b"] / q > r["a"] / p for r in best])
-    marked = [sum(c for f, c in zip(r["features"], r["counts"]) if bad[f]) / max(r["n"], 1) for r in rows]
+    rows = train.mapInArrow(_examples(chosen), "toxic int, features array<long>").collect()
+    marked = [len(r["features"]) for r in rows]
     grades, is_bad = np.zeros(len(rows), np.int64), np.array([r["toxic"] == 1 for r in rows])
     grades[is_bad] = _by_third(np.array(marked)[is_bad])
     grades = np.unique(grades, return_inverse=True)[1]  # without gaps where shares coincide
@@ -180,7 +176,7 @@ def _score(model: Model):
     def score(batches):
         found = _Found(model.chosen)
         for batch in batches:
-            sums = [model.weights[sorted(found.of(t)[0])].sum() for t in batch.column("text").to_pylist()]
+            sums = [model.weights[sorted(found.of(t))].sum() for t in batch.column("text").to_pylist()]
             over = model.above(np.array(sums))
             columns = [
                 batch.column("key"),

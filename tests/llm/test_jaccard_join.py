@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 
+from classlens.llm import jaccard_join
 from classlens.llm.components import components
 from classlens.llm.jaccard_join import Bands, first_of_each, join_components, signatures
 
@@ -79,6 +80,19 @@ def test_matches_all_pairs(spark, batch_bytes):
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
 
 
+@pytest.mark.parametrize("block", [3, 4096])
+def test_common_signatures_in_blocks(spark, monkeypatch, block):
+    """Sets that share signatures without linking, so that the second round has pairs to look at."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rnd, rows = random.Random(3), []
+    core = [f"c{i}" for i in range(90)]
+    for i in range(40):
+        own = [f"o{i}x{j}" for j in range(rnd.choice([8, 14, 20, 26, 30]))]
+        rows += [(2 * i, " ".join(own + core)), (2 * i + 1, " ".join(own[3:] + core + own[:3]))]
+    got = join_components(frame(spark, rows)).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
+
+
 def test_one_of_each_stays(spark):
     rows = [(d, t) for d, t in fixture()[:120]]
     kept = first_of_each(frame(spark, rows))
