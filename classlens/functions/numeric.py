@@ -23,8 +23,3 @@ def hash_digits(key: Column, seed: int, part: int = 0) -> Column:
     """32 hash bits of ``key`` and ``seed`` as a bigint; ``part`` 0..3 picks which of the digest."""
     digest = F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}")))
     return F.conv(F.substring(digest, 1 + 8 * part, 8), 16, 10).cast("bigint")
-
-
-def hash_uniform(key: Column, seed: int) -> Column:
-    """A uniform number in [0, 1) that depends only on ``key`` and ``seed``."""
-    return hash_digits(key, seed) / F.lit(float(2**32))

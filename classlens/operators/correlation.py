@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from classlens.functions.numeric import clean_double
-from classlens.operators.longform import feature_list, long_form, melt, validate_frame
+from classlens.operators.longform import (
+    every_feature,
+    feature_list,
+    long_form,
+    melt,
+    numeric_columns,
+    validate_frame,
+)
 from classlens.operators.ranked import (
     bucket_count,
     bucket_cuts,
@@ -333,13 +341,22 @@ def spearman_with_label(df: DataFrame, features: Sequence[str], label: str) -> D
 def target_correlations(
     df: DataFrame, features: Sequence[str], target: str, method: str = "pearson"
 ) -> DataFrame:
-    """``(feature, r)`` of every feature with the binary target; no feature pairs are formed."""
-    if method == "kendall":
-        return kendall_with_label(df, features, target)
-    if method == "spearman":
-        return spearman_with_label(df, features, target)
-    if method != "pearson":
+    """``(feature, r)`` of every feature with the target; no feature pairs are formed.
+
+    Rank methods use closed forms for a target of 0 and 1; any other numeric target is ranked as well, feature by
+    feature. A feature without a defined correlation gets NULL.
+    """
+    if method not in ("pearson", *METHODS):
         raise ValueError(f"unknown method: {method}")
+    if method != "pearson":
+        other = df.where(F.col(target).isNotNull() & ~F.col(target).isin(0, 1)).isEmpty()
+        if other:
+            closed = kendall_with_label if method == "kendall" else spearman_with_label
+            return every_feature(df, features, closed(df, features, target))
+        rows = stage(df.select(F.monotonically_increasing_id().alias("_row"), target, *features), "ranked-target")
+        pairs = [correlation_pairs(rows, [f, target], method, "_row") for f in features]
+        found = reduce(DataFrame.unionByName, pairs).select(F.col("col_a").alias("feature"), "r")
+        return every_feature(df, features, found)
     y = clean_double(target)
     wide = df.select(y.alias("_y"), *[clean_double(f).alias(f) for f in features])
     long = melt(wide.where(F.col("_y").isNotNull()), ["_y"], features)
@@ -355,7 +372,7 @@ def target_correlations(
         )
     )
     r = F.try_divide(F.col("c"), F.col("sx") * F.col("sy"))
-    return sums.select("feature", F.when(F.col("vx") & F.col("vy"), r).alias("r"))
+    return every_feature(df, features, sums.select("feature", F.when(F.col("vx") & F.col("vy"), r).alias("r")))
 
 
 def top_correlations(
@@ -369,7 +386,7 @@ def top_correlations(
 ) -> DataFrame:
     """The ``top_n`` features by |r| with the target, sign kept; ties in order of the name."""
     validate_frame(df, [target])
-    if dict(df.dtypes)[target] in ("string", "boolean"):
+    if target not in numeric_columns(df):
         raise ValueError(f"target column '{target}' must be numeric")
     found = target_correlations(df, features, target, method).where(F.col("r").isNotNull())
     if positive_only:

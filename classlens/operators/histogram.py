@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from classlens.operators.longform import long_form
+from classlens.operators.longform import every_feature, long_form
 from classlens.operators.quantile import exact_quantiles
 
 BINNINGS = ("own", "shared")
@@ -123,7 +123,8 @@ def js_divergence(
     summed = both.withColumn("sm", total("m"))
     with_p = summed.withColumn("s", total("p")).withColumn("ep", entropy("p"))
     with_q = with_p.withColumn("s", total("q")).withColumn("eq", entropy("q"))
-    return with_q.select("feature", ((F.col("ep") + F.col("eq")) / 2.0).alias("js_divergence"))
+    found = with_q.select("feature", ((F.col("ep") + F.col("eq")) / 2.0).alias("js_divergence"))
+    return every_feature(df, features, found)
 
 
 def trim_percentiles(
@@ -131,11 +132,12 @@ def trim_percentiles(
 ) -> DataFrame:
     """``(feature, lower, upper)``: exact percentiles of both classes together."""
     found = exact_quantiles(long_form(df, features, label), [p / 100.0 for p in limits])
-    return found.select(
+    found = found.select(
         "feature",
         F.col("quantiles")[0].alias("lower"),
         F.col("quantiles")[1].alias("upper"),
     )
+    return every_feature(df, features, found)
 
 
 def class_location(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:

@@ -33,12 +33,12 @@ def validate_frame(df: DataFrame, required: Sequence[str] = ()) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Redistribute the rows of a table that is stored in fewer files than there are shuffle tasks.
+    """Redistribute the rows of a table that is scanned by fewer tasks than a shuffle has.
 
-    Meant for narrow rows ahead of work that multiplies them; a table of many files is left as it is.
+    Meant for narrow rows ahead of work that multiplies them; a table of many splits is left as it is.
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df if len(df.inputFiles()) >= tasks else df.repartition(tasks)
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
 
 
 def melt(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -73,3 +73,8 @@ def feature_list(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(
         [(name, i) for i, name in enumerate(features)], "feature string, ordinal int"
     )
+
+
+def every_feature(df: DataFrame, features: Sequence[str], found: DataFrame) -> DataFrame:
+    """``found`` with a row for every feature, NULL where it has none; one row per feature on either side."""
+    return feature_list(df, features).select("feature").join(F.broadcast(found), "feature", "left").select(*found.columns)

@@ -22,25 +22,49 @@ METHODS = (
     "fdr_tsbky",
     "fdr_gbs",
 )
+#: Other names of the methods, as statistics packages use them. Fixed values.
+ALIASES = {
+    "b": "bonferroni",
+    "bonf": "bonferroni",
+    "s": "sidak",
+    "h": "holm",
+    "hs": "holm-sidak",
+    "sh": "simes-hochberg",
+    "ho": "hommel",
+    "fdr_i": "fdr_bh",
+    "fdr_p": "fdr_bh",
+    "fdri": "fdr_bh",
+    "fdrp": "fdr_bh",
+    "fdr_n": "fdr_by",
+    "fdr_c": "fdr_by",
+    "fdrn": "fdr_by",
+    "fdrcorr": "fdr_by",
+    "fdr_2sbh": "fdr_tsbh",
+    "fdr_2sbky": "fdr_tsbky",
+    "fdr_twostage": "fdr_tsbky",
+}
 
 
 def _sidak(p: Column, tests: Column) -> Column:
     return F.when(p >= 1.0, 1.0).otherwise(-F.expm1(tests * F.log1p(-F.least(p, F.lit(1.0 - 1e-16)))))
 
 
-def _hommel(ps: Column, i: Column, m: Column) -> Column:
-    """Hommel's closure from the ascending array of all p-values; ``i`` is the 1-based rank."""
+def _smallest(ps: Column) -> Column:
+    """For j = 1 .. m the least j p_(m-j+k) / k over k = 1 .. j, from the ascending p-values of a family."""
+    m = F.size(ps)
 
-    def smallest(j: Column) -> Column:
-        ratios = F.transform(
-            F.sequence(F.lit(1), j), lambda k: j * F.element_at(ps, (m - j + k).cast("int")) / k
+    def least(j: Column) -> Column:
+        return F.array_min(
+            F.transform(F.sequence(F.lit(1), j), lambda k: j.cast("double") * F.element_at(ps, m - j + k) / k)
         )
-        return F.array_min(ratios)
 
-    own = F.element_at(ps, i.cast("int"))
+    return F.transform(F.sequence(F.lit(1), m), least)
+
+
+def _hommel(own: Column, smallest: Column, i: Column, m: Column) -> Column:
+    """Hommel's closure for one p-value of 1-based rank ``i``."""
     raised = F.transform(
-        F.sequence(F.lit(1), m.cast("int")),
-        lambda j: F.when(i > m - j, smallest(j)).otherwise(F.least(j * own, smallest(j))),
+        smallest, lambda s, j: F.when(i > m - (j + 1), s).otherwise(F.least((j + 1) * own, s))
     )
     return F.greatest(own, F.array_max(raised))
 
@@ -52,13 +76,14 @@ def adjust_pvalues(
     family: str | None = None,
     alpha: float = 0.05,
 ) -> DataFrame:
-    """Add ``p_adjusted``; an unknown method returns the raw p-values.
+    """Add ``p_adjusted``; an unknown method returns the raw p-values and says so in ``corrected`` (false).
 
     ``family`` names a column whose values are corrected separately. ``alpha`` matters to the two-stage
     methods only, which estimate the number of true nulls at that level.
     """
+    method = ALIASES.get(method, method)
     if method not in METHODS:
-        return df.withColumn("p_adjusted", F.col(p))
+        return df.withColumn("p_adjusted", F.col(p)).withColumn("corrected", F.lit(False))
     group = F.struct(
         F.col(p).isNotNull().alias("tested"),
         (F.col(family) if family else F.lit(1)).alias("family"),
@@ -89,8 +114,11 @@ def adjust_pvalues(
     elif method == "simes-hochberg":
         adjusted = step_up(raw * left)
     elif method == "hommel":
-        work = work.withColumn("_ps", F.array_sort(F.collect_list(raw).over(whole)))
-        adjusted = _hommel(F.col("_ps"), i, m)
+        families = df.where(raw.isNotNull()).groupBy((F.col(family) if family else F.lit(1)).alias("_family"))
+        families = families.agg(F.sort_array(F.collect_list(raw)).alias("_ps"))  # one value per test
+        families = families.select("_family", _smallest(F.col("_ps")).alias("_smallest"))
+        work = work.join(families, group["family"].eqNullSafe(F.col("_family")), "left")
+        adjusted = _hommel(raw, F.col("_smallest"), i, m)
     elif method == "fdr_gbs":
         work = work.withColumn("_q", step_down(F.try_divide(left / i * raw, 1.0 - raw)))
         adjusted = step_up(F.col("_q"))

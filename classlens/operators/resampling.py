@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from classlens.functions.numeric import clean_double, hash_digits
-from classlens.operators.longform import long_form, melt, spread
+from classlens.operators.longform import every_feature, long_form, melt, spread
 from classlens.operators.quantile import values_at_ranks
 from classlens.operators.ranked import bucket_count, bucket_cuts, running_counts, with_bucket
 
@@ -243,11 +243,12 @@ def bootstrap_ci_median(
         values_at_ranks(ranked, targets).groupBy("feature", "b").agg(F.avg("value").alias("stat"))
     )
     if n_boot is not None:
-        return _interval(medians.select("feature", "stat"), ci)
-    return medians.groupBy("feature").agg(
+        return every_feature(df, features, _interval(medians.select("feature", "stat"), ci))
+    limits = medians.groupBy("feature").agg(
         F.max(F.when(F.col("b") == 0, F.col("stat"))).alias("lower"),
         F.max(F.when(F.col("b") == 1, F.col("stat"))).alias("upper"),
     )
+    return every_feature(df, features, limits)
 
 
 def bootstrap_ci(

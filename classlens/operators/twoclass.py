@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from classlens.functions.tails import kolmogorov_tail, normal_two_sided, student_two_sided
-from classlens.operators.longform import feature_list, long_form
+from classlens.operators.longform import every_feature, feature_list, long_form
 from classlens.operators.ranked import rank_statistics, ranked_values
 
 METHODS = ("mannwhitney", "ks", "ttest")
@@ -47,10 +47,12 @@ def effect_size(
     """``(feature, effect_size)`` by Cohen's d or Cliff's delta."""
     if method == "cohen_d":
         moments = class_moments(df, features, label)
-        return moments.select("feature", cohen_d_expression().alias("effect_size"))
+        found = moments.select("feature", cohen_d_expression().alias("effect_size"))
+        return every_feature(df, features, found)
     if method == "cliffs_delta":
         stats = rank_statistics(ranked_values(df, features, label))
-        return stats.select("feature", (1.0 - 2.0 * F.col("auc")).alias("effect_size"))
+        found = stats.select("feature", (1.0 - 2.0 * F.col("auc")).alias("effect_size"))
+        return every_feature(df, features, found)
     raise ValueError(f"unknown method: {method}")
 
 
@@ -134,7 +136,10 @@ def feature_separation(
 def feature_auc(
     df: DataFrame, features: Sequence[str], label: str, strict_nulls: bool = False
 ) -> DataFrame:
-    """``(feature, auc, n_null)``; with ``strict_nulls`` a feature that has nulls gets NULL."""
+    """``(feature, auc, n_null)``; with ``strict_nulls`` a feature that has nulls gets NULL.
+
+    All are NULL unless the label has exactly two values.
+    """
     stats = rank_statistics(ranked_values(df, features, label))
     two_class = df.where(F.col(label).isin(0, 1))
     n_rows = two_class.agg(F.count(F.lit(1)).alias("n_rows")).scalar()
@@ -144,5 +149,7 @@ def feature_auc(
         .join(F.broadcast(stats), "feature", "left")
         .withColumn("n_null", n_rows - filled)
     )
-    auc = F.when(F.col("n_null") == 0, F.col("auc")) if strict_nulls else F.col("auc")
+    classes = df.agg(F.count_distinct(F.col(label)).alias("classes")).scalar()
+    auc = F.when(classes == 2, F.col("auc"))
+    auc = F.when(F.col("n_null") == 0, auc) if strict_nulls else auc
     return joined.select("feature", auc.alias("auc"), "n_null")

@@ -21,8 +21,8 @@ class JobParams:
     variance_threshold: float = 1e-6
     add_outlier_flag: bool = True
     z_thresh: float = 4.0
-    number_of_signals: int = 36499
-    number_of_background: int = 93565
+    number_of_signals: int | None = None
+    number_of_background: int | None = None
     sentinel: float = -999.0
     use_cache: bool = True
 
@@ -33,7 +33,7 @@ class JobParams:
         if self.test_size + self.val_size > 0.5:
             raise ValueError("test_size + val_size cannot exceed 0.5")
         for name in ("seed", "variance_threshold", "number_of_signals", "number_of_background"):
-            if getattr(self, name) < 0:
+            if (getattr(self, name) or 0) < 0:
                 raise ValueError(f"{name} cannot be negative")
         if self.n_features < 1:
             raise ValueError("n_features must be positive")

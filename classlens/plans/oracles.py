@@ -438,8 +438,8 @@ def oracles() -> dict[str, str]:
     sql["label_first_n_csv"] = """WITH r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_number FROM orders)
   SELECT CAST(o_orderkey AS DOUBLE) AS feature_0, o_totalprice AS feature_1, row_number,
   CAST(row_number < 500 AS INTEGER) AS signal FROM r"""
-    sql["class_count_check"] = f"""WITH {LINE}, c AS (SELECT 1 AS label, count(*) FILTER (y = 1) AS n, CAST(36499 AS BIGINT) AS expected FROM line
-  UNION ALL SELECT 0, count(*) FILTER (y = 0), 93565 FROM line)
+    sql["class_count_check"] = f"""WITH {LINE}, c AS (SELECT 1 AS label, count(*) FILTER (y = 1) AS n, CAST(20000 AS BIGINT) AS expected FROM line
+  UNION ALL SELECT 0, count(*) FILTER (y = 0), 40000 FROM line)
   SELECT CAST(label AS INTEGER) AS label, n, expected, n = expected AS matches FROM c"""
     sql["splits_csv_roundtrip"] = f"WITH {LINE}, {split()} SELECT * FROM parted"
     sql["cache_roundtrip"] = f"""WITH {LINE}, {split()}, {fitted("parted", FEATURES, robust=True)}

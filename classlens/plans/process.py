@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from classlens.operators import cleaning, preparation, splitting
@@ -33,6 +33,21 @@ def clean(
     return cleaning.median_impute(cleaning.sentinel_to_null(unique, sentinel, columns), columns)
 
 
+COPY_PARTS = 64
+
+
+def with_row_key(df: DataFrame, name: str) -> DataFrame:
+    """Add md5 of the row and its number among equal rows; copies are numbered in parts, so none is hot."""
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(COPY_PARTS))
+    rows = stage(df.select(F.struct(*df.columns).alias("row"), row_digest(df.columns).alias("d"), salt.alias("s")), "rows")
+    upto = Window.partitionBy("d").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("d", "s").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("d", "s", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("d", "s").orderBy(F.lit(0)))
+    number = (F.col("before") + F.col("own")).cast("string")
+    return rows.withColumn("own", own).join(before, ["d", "s"]).select("row.*", F.concat_ws("|", "d", number).alias(name))
+
+
 def process(
     df: DataFrame,
     params: JobParams,
@@ -43,16 +58,16 @@ def process(
     """``(splits, fitted parameters)`` of a labelled feature table.
 
     ``splits`` has the columns key, split, target, kept features and, if asked for, ``is_outlier``. Without
-    a key column the md5 of the row's content serves as ``row_key``; it is unique once duplicates are
-    gone. ``fit_on="train"`` fits on the training rows only.
+    a key column the md5 of the row as it came, and its number among equal rows, serve as ``row_key``.
+    ``fit_on="train"`` fits on the training rows only.
     """
     if fit_on not in FIT_ON:
         raise ValueError(f"fit_on must be one of {FIT_ON}")
-    if clean_first:
-        df = clean(df, params.target, key, params.sentinel)
     if key is None:
         key = "row_key"
-        df = df.withColumn(key, row_digest(df.columns))
+        df = df.withColumn(key, row_digest(df.columns)) if clean_first else with_row_key(df, key)
+    if clean_first:
+        df = clean(df, params.target, key, params.sentinel)
     prepared = preparation.prepare_features(df, params.target, key)
     features = [c for c in prepared.columns if c not in (key, params.target)]
     parted = splitting.stratified_split(

@@ -119,7 +119,7 @@ def label_first_n_csv(spark, sf):
 
 @register("class_count_check")
 def class_count_check(spark, sf):
-    params = JobParams()
+    params = JobParams(number_of_signals=20_000, number_of_background=40_000)
     return profiling.class_count_check(
         items(spark, sf), "y", params.number_of_signals, params.number_of_background
     )

@@ -64,13 +64,15 @@ def expand_vector(
 
 
 BROADCAST_BLOCKS = 200_000
+BLOCK_PARTS = 64
 
 
 def _located(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """Add the file (and block) of each row and its position in reading order, as ``_read``.
 
     Parquet knows the position inside the file. Rows of a CSV block are read one after the other by one
-    task, so their running ids are consecutive.
+    task, so their running ids are consecutive. How files are cut into blocks depends on the session and
+    its executors, so the rows are staged with their place and only read from there.
     """
     known = df.select("_metadata").schema["_metadata"].dataType.fieldNames()
     file = F.col("_metadata.file_path").alias("_file")
@@ -78,17 +80,25 @@ def _located(df: DataFrame) -> tuple[DataFrame, list[str]]:
         return df.select("*", file, F.col("_metadata.row_index").alias("_read")), ["_file"]
     block = F.col("_metadata.file_block_start").alias("_block")
     read = F.monotonically_increasing_id().alias("_read")
-    return df.select("*", file, block, read), ["_file", "_block"]
+    return stage(df.select("*", file, block, read), "located"), ["_file", "_block"]
 
 
 def _blocks(located: DataFrame, place: list[str]) -> DataFrame:
-    """``(*place, first, rows, before)``: one row per file or block, with the rows of earlier ones."""
-    upto = Window.partitionBy(F.lit(1)).orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        located.groupBy(*place)
-        .agg(F.min("_read").alias("first"), F.count(F.lit(1)).alias("rows"))
-        .withColumn("before", F.coalesce(F.sum("rows").over(upto), F.lit(0).cast("bigint")))
-    )
+    """``(*place, first, rows, before)``: one row per file or block, with the rows of earlier ones.
+
+    Blocks are dealt in order over a fixed number of parts; sums of whole parts go over the driver.
+    """
+    counts = located.groupBy(*place).agg(F.min("_read").alias("first"), F.count(F.lit(1)).alias("rows"))
+    parted = counts.repartitionByRange(BLOCK_PARTS, *place).withColumn("_part", F.spark_partition_id())
+    parted = stage(parted, "blocks")
+    sums = {r["_part"]: r["n"] for r in parted.groupBy("_part").agg(F.sum("rows").alias("n")).collect()}
+    earlier = F.lit(0).cast("bigint")
+    for part in sums:
+        before = sum(n for p, n in sums.items() if p < part)
+        earlier = F.when(F.col("_part") == part, F.lit(before).cast("bigint")).otherwise(earlier)
+    upto = Window.partitionBy("_part").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("rows").over(upto), F.lit(0))
+    return parted.withColumn("before", earlier + inside).drop("_part")
 
 
 def with_row_number(df: DataFrame, name: str = "row_number") -> DataFrame:
@@ -102,9 +112,9 @@ def with_row_number(df: DataFrame, name: str = "row_number") -> DataFrame:
     offsets = blocks.select(*place, (F.col("before") - F.col("first")).alias("_offset"))
     if blocks.count() <= BROADCAST_BLOCKS:
         offsets = F.broadcast(offsets)
-    return located.join(offsets, place).select(
-        *df.columns, (F.col("_offset") + F.col("_read")).alias(name)
-    )
+    unknown = F.raise_error(F.lit("a row of a file or block that was not counted")).cast("bigint")
+    number = F.coalesce(F.col("_offset") + F.col("_read"), unknown)
+    return located.join(offsets, place, "left").select(*df.columns, number.alias(name))
 
 
 def label_first_rows(

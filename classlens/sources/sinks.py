@@ -54,7 +54,7 @@ def save_to_cache(
     spark = splits.sparkSession
     splits.write.mode("overwrite").partitionBy("split").parquet(f"{path}/splits")
     write_params(fitted, f"{path}/params")
-    features = [c for c in splits.columns if c not in ("split", params.target)]
+    features = [r["feature"] for r in fitted.select("feature").collect()]  # one per feature column
     row = (datetime.now(timezone.utc).isoformat(), params.to_json(), json.dumps(features))
     metadata = spark.createDataFrame([row], "created_at string, config string, features string")
     metadata.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
@@ -67,7 +67,8 @@ def load_from_cache(
     """``(splits, fitted parameters)`` of a complete entry, else ``None``."""
     path = f"{base.rstrip('/')}/processed_{key}"
     try:
-        spark.read.schema("created_at string").json(f"{path}/metadata")
+        if spark.read.schema("created_at string").json(f"{path}/metadata").isEmpty():
+            return None  # written last: without its row the entry is not complete
         return spark.read.parquet(f"{path}/splits"), spark.read.parquet(f"{path}/params")
     except AnalysisException:
         return None

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from classlens.operators import correlation, multitest, neighbours, projection
+from classlens.operators import correlation, multitest, neighbours, projection, twoclass
 
 
 @pytest.fixture(scope="module")
@@ -244,3 +244,30 @@ def test_adjusted_properties(spark, method):
     assert ordered == sorted(ordered)
     if method not in ("fdr_tsbh", "fdr_tsbky", "fdr_gbs"):  # adaptive methods may go below
         assert all(a[i] >= p[i] - 1e-15 for i in range(30))
+
+
+def test_other_names_of_corrections(spark):
+    df = spark.createDataFrame([(i, p) for i, p in enumerate([0.004, 0.03, 0.2, 0.6])], "i int, p_value double")
+    for alias, method in multitest.ALIASES.items():
+        pair = [multitest.adjust_pvalues(df, method=x).orderBy("i").collect() for x in (alias, method)]
+        assert pair[0] == pair[1]
+    unknown = multitest.adjust_pvalues(df, method="none").collect()
+    assert all(r["p_adjusted"] == r["p_value"] and r["corrected"] is False for r in unknown)
+
+
+def test_rank_correlation_with_any_numeric_target(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=200), rng.integers(0, 5, 200)
+    df = spark.createDataFrame([(float(a + b), int(b), None) for a, b in zip(x, y)], "x double, y int, void double")
+    frame = pd.DataFrame({"x": x + y, "y": y})
+    for method in ("spearman", "kendall"):
+        found = {r["feature"]: r["r"] for r in correlation.target_correlations(df, ["x", "void"], "y", method).collect()}
+        assert found["void"] is None
+        if method == "spearman":
+            want = frame["x"].rank().corr(frame["y"].rank())
+        else:
+            a, b = np.triu_indices(200, 1)
+            dx, dy = np.sign(frame["x"].to_numpy()[a] - frame["x"].to_numpy()[b]), np.sign(y[a] - y[b])
+            want = (dx * dy).sum() / np.sqrt((dx != 0).sum() * (dy != 0).sum())
+        assert abs(found["x"] - want) < 1e-9
+    assert [r["auc"] for r in twoclass.feature_auc(df, ["x"], "y").collect()] == [None]

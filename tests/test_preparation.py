@@ -186,3 +186,23 @@ def test_params_bounds():
             JobParams().with_changes(**bad)
     with pytest.raises(AttributeError):
         JobParams().seed = 3
+
+
+def test_split_of_many_classes_and_null_classes(spark):
+    df = spark.range(9000).select(F.col("id").alias("k"), (F.col("id") % 1500).alias("y"))
+    counts = splitting.stratified_split(df, "k", "y", 0.25, 1).groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in counts} == {"test": 2250, "train": 6750}
+    missing = df.where("k < 20").withColumn("y", F.when(F.col("k") > 3, F.col("k") % 2))
+    with pytest.raises(Exception, match="is null in some rows"):
+        splitting.stratified_split(missing, "k", "y", 0.25, 1).collect()
+
+
+def test_quota_holds_without_a_key(spark):
+    rows = [(float(i % 40), -999.0 if i % 3 else 1.0 * (i // 40), i % 2) for i in range(240)]
+    df = spark.createDataFrame(rows, "a double, b double, signal int")
+    for clean_first in (True, False):
+        params = JobParams(n_features=2, test_size=0.15)
+        splits, _ = process(df, params, clean_first=clean_first)
+        n = splits.count()
+        assert splits.select("row_key").distinct().count() == n
+        assert splits.where("split = 'test'").count() == -(-n * 15 // 100)

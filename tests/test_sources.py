@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from classlens.operators.fingerprint import fingerprint
 from classlens.params import JobParams
 from classlens.sources import readers, sinks
-from classlens.sources.workdir import shared_folder, stage
+from classlens.sources.workdir import job_scope, shared_folder, stage
 
 
 @pytest.fixture()
@@ -122,3 +122,32 @@ def test_shared_folder_is_below_the_configured_one(spark):
     assert first != second
     if base:
         assert first.startswith(base.rstrip("/"))
+
+
+def test_row_numbers_do_not_depend_on_how_files_are_cut(spark, tmp_path):
+    path = tmp_path / "cut.csv"
+    path.write_text("v\n" + "\n".join(str(i) for i in range(60000)) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    try:
+        df = readers.read_csv(spark, str(path))
+        numbered = readers.with_row_number(df, "n")
+        labelled = readers.label_first_rows(df, 20001)
+        for size, least in (("200000", "3"), ("9000", "20")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.minPartitionNum", least)
+            assert numbered.count() == 60000 and numbered.where("v <> n").count() == 0
+            assert labelled.where("(v < 20001) <> (signal = 1)").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_job_scope_deletes_what_was_staged(spark):
+    import os
+    from urllib.parse import urlsplit
+
+    with job_scope(spark):
+        staged = stage(spark.range(5))
+        folder = os.path.dirname(urlsplit(staged.inputFiles()[0]).path)
+        assert os.path.isdir(folder)
+    assert not os.path.exists(folder)
