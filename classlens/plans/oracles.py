@@ -618,6 +618,33 @@ def oracles() -> dict[str, str]:
     sql["top_correlations_negative"] = top("AND r < 0")
     sql["top_correlations_spearman"] = top(method="spearman")
     tau = "(2 * auc - 1) * n0 * n1 / sqrt(((n0 + n1) * (n0 + n1 - 1) / 2 - tied_pairs) * n0 * n1)"
+    def middle(x: str) -> str:
+        return f"rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0::DOUBLE"
+
+    by_rank = " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, corr(a, b) AS r FROM (SELECT {middle(f)} AS a, {middle('tax')} AS b FROM line)"
+        for f in ("quantity", "price", "discount")
+    )
+    sql["top_correlations_spearman_numeric_target"] = f"WITH {LINE} SELECT feature, {rnd('r', 9)} AS r FROM ({by_rank})"
+    by_cells = " UNION ALL ".join(
+        f"""SELECT '{f}' AS feature, sum(p.n * q.n * sign(p.x - q.x) * sign(p.y - q.y))
+          / sqrt(CAST(sum(p.n * q.n * abs(sign(p.x - q.x))) AS DOUBLE) * sum(p.n * q.n * abs(sign(p.y - q.y)))) AS r
+        FROM cells p JOIN cells q ON p.f = '{f}' AND q.f = '{f}'"""
+        for f in ("quantity", "discount")
+    )
+    tax_cells = " UNION ALL ".join(
+        f"SELECT '{f}' AS f, {f} AS x, tax AS y, count(*)::DOUBLE AS n FROM line GROUP BY {f}, tax" for f in ("quantity", "discount")
+    )
+    sql["top_correlations_kendall_numeric_target"] = (
+        f"WITH {LINE}, cells AS ({tax_cells}) SELECT feature, {rnd('r', 9)} AS r FROM ({by_cells})"
+    )
+    sql["feature_auc_three_class"] = """SELECT feature, CAST(NULL AS DOUBLE) AS auc
+  FROM (SELECT unnest(['tax', 'discount']) AS feature, count(DISTINCT l_returnflag) AS n FROM lineitem) WHERE n = 3"""
+    sql["effect_size_dirty"] = f"""WITH {DIRT}, {dirty}, {dirty_feats}, m AS (
+    SELECT feature, avg(value) FILTER (y = 0) AS m0, avg(value) FILTER (y = 1) AS m1,
+      var_samp(value) FILTER (y = 0) AS v0, var_samp(value) FILTER (y = 1) AS v1 FROM long GROUP BY feature)
+  SELECT feature, {rnd("CASE WHEN v0 + v1 > 0 THEN (m0 - m1) / sqrt((v0 + v1) / 2) END", 9)} AS effect_size
+  FROM feats LEFT JOIN m USING (feature)"""
     sql["top_correlations_kendall"] = f"""WITH {VECS}, {vec_long}, {rank_stats()}, found AS (SELECT feature, {tau} AS r FROM st)
   SELECT feature, {rnd("r", 9)} AS r FROM found ORDER BY abs(r) DESC, feature LIMIT 10"""
     sql["correlation_submatrix"] = submatrix()

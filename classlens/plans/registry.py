@@ -623,6 +623,30 @@ QUERIES["top_correlations_spearman"] = _top(method="spearman")
 QUERIES["top_correlations_kendall"] = _top(method="kendall")
 
 
+@register("top_correlations_spearman_numeric_target")
+def top_correlations_spearman_numeric_target(spark, sf):
+    found = correlation.top_correlations(items(spark, sf), ["quantity", "price", "discount"], "tax", 10, "spearman")
+    return rounded(found, 9)
+
+
+@register("top_correlations_kendall_numeric_target")
+def top_correlations_kendall_numeric_target(spark, sf):
+    found = correlation.top_correlations(items(spark, sf), ["quantity", "discount"], "tax", 10, "kendall")
+    return rounded(found, 9)
+
+
+@register("feature_auc_three_class")
+def feature_auc_three_class(spark, sf):
+    status = F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 2).otherwise(0)
+    rows = table(spark, sf, "lineitem").select(status.alias("y"), F.col("l_tax").alias("tax"), F.col("l_discount").alias("discount"))
+    return twoclass.feature_auc(rows, ["tax", "discount"], "y").select("feature", "auc")
+
+
+@register("effect_size_dirty")
+def effect_size_dirty(spark, sf):
+    return rounded(twoclass.effect_size(dirty_items(spark, sf), DIRTY, "y"), 9)
+
+
 @register("correlation_submatrix")
 def correlation_submatrix(spark, sf):
     return rounded(correlation.correlation_submatrix(vectors(spark, sf), VECTOR_FEATURES, "y", 10), 9)
