@@ -139,15 +139,18 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, ste
     return p[:n_features], cuts
 
 
-def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: str = "doc_id", sample: int = SAMPLE) -> Model | None:
+def fit(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE
+) -> Model | None:
     """Fit on at most ``sample`` toxic and as many other documents, first by a hash of the key.
 
-    Only counts per hashed feature and the chosen features of the sample reach the driver. None unless both classes occur.
+    Keys alone are joined and ranked; texts are read for the sample, whose keys are broadcast. Only counts per hashed feature and the chosen features of the sample reach the driver. None unless both classes occur.
     """
-    ids = labelled.select(F.col(key).alias("key"), F.col(toxic).cast("int").alias("toxic")).where("toxic IN (0, 1)")
+    ids = labels.select(F.col(key).alias("key"), F.col(toxic).cast("int").alias("toxic")).where("toxic IN (0, 1)")
+    ids = ids.join(docs.select(F.col(key).alias("key")), "key", "left_semi")
     picked = [ids.where(f"toxic = {c}").orderBy(F.xxhash64("key"), "key").limit(sample) for c in (0, 1)]
     picked = stage(picked[0].unionByName(picked[1]), "picked")
-    texts = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     train = stage(texts.join(F.broadcast(picked), "key").select("text", "toxic"), "train")  # 2 * sample rows
     sizes = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
@@ -208,4 +211,4 @@ def severity(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return severity(docs, fit(docs.join(labels, "doc_id")))
+    return severity(docs, fit(docs, labels))

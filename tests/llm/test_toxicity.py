@@ -27,11 +27,10 @@ def test_fit_recovers_ordered_grades():
 
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    labelled = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
     held = F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(4)) == 0
-    model = fit(labelled.where(~held))
-    truth = labels.select("doc_id", F.col("toxic").alias("y"))
-    rows = severity(labelled.where(held), model).join(truth, "doc_id").collect()
+    model = fit(docs, labels.where(~held))
+    truth = labels.where(held).select("doc_id", F.col("toxic").alias("y"))
+    rows = severity(docs, model).join(truth, "doc_id").collect()
     bad = [r for r in rows if r["y"] == 1]
     clean = [r for r in rows if r["y"] == 0]
     assert len(bad) > 60 and len(clean) > 500
@@ -47,7 +46,7 @@ def test_grades_rise_with_the_share_of_bad_words(spark):
             words[: 1 + i % 9] = [rnd.choice(["awful", "nasty", "rotten", "vilest"]) for _ in range(1 + i % 9)]
         rows.append((i, " ".join(words), int(i % 3 == 0), "x", 1))
     df = spark.createDataFrame(rows, SCHEMA)
-    model = fit(df)
+    model = fit(df, df)
     texts = ["wab wcd", "awful wab", "awful nasty rotten vilest", None, "", "é" * 10_000 + " awful"]
     odd = spark.createDataFrame([(i, t, 0, "x", 1) for i, t in enumerate(texts)] + [(1, texts[1], 0, "x", 1)], SCHEMA)
     got = sorted((r["doc_id"], r["expected_severity"], r["toxic"]) for r in severity(odd, model).collect())
@@ -59,6 +58,6 @@ def test_grades_rise_with_the_share_of_bad_words(spark):
 
 def test_without_labels(spark):
     df = spark.createDataFrame([(1, "a b", 0, "x", 1), (2, None, None, "x", 1)], SCHEMA)
-    assert fit(df) is None and fit(df.limit(0)) is None
+    assert fit(df, df) is None and fit(df, df.limit(0)) is None and fit(df.limit(0), df) is None
     assert [r["expected_severity"] for r in severity(df, None).collect()] == [0.0, 0.0]
     assert severity(df.limit(0), None).collect() == []
