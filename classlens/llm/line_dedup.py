@@ -6,13 +6,14 @@ substrings that can match at its own and the slightly shorter lengths. Lines tha
 bit-parallel edit distance, and lines that are linked, directly or through others, form a class of which the
 first in the corpus stays. Everything is a DataFrame expression.
 
-Equal lines are collapsed by digest first. Under each key the holders are compared with the first one; only keys
-that still span several classes afterwards are looked at pair by pair, between classes.
+Equal lines are collapsed by digest first. A line is first compared with the one that it meets most often among the
+first holders of its keys; only keys that still span several classes afterwards are looked at pair by pair, between
+classes and where counts of common letters, which an edit changes by two at most, allow a link.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from classlens.llm.components import components
@@ -25,6 +26,8 @@ MIN_CHARS = 20
 HOT_SHARE = 1e-5
 #: Tables of 64-bit ids are broadcast up to so many rows (about 16 MB), else joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Letters that are counted to rule out pairs.
+LETTERS = "aeinorst"
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -36,7 +39,7 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     split = docs.select(
         F.col(key).alias("key"), F.xxhash64(text).alias("t"), F.posexplode(F.split(F.col(text), "\n")).alias("no", "line")
     )
-    word = F.col("line").rlike(r"[^\x20\x09-\x0D]")
+    word = F.ltrim("line", F.lit(" \t\n\x0b\x0c\r")) != ""
     return split.withColumn("d", F.when(word, F.xxhash64("line"))).withColumn("e", F.when(word, F.xxhash64(F.lit(1), F.col("line"))))
 
 
@@ -65,10 +68,18 @@ def segment_keys(line: Column, chars: Column, edits: int, least: int) -> Column:
 
 
 def edits_within(a: Column, b: Column, edits: int) -> Column:
-    """Whether two arrays of characters are within so many edits, by banded bit-parallel recurrence.
+    """Whether two texts of at least ``edits`` characters are within so many edits.
 
-    Bit t of the band stands for place i + t - edits of the longer array when place i of the shorter one is read. Both
-    have to be columns. Lengths at least ``edits``.
+    The characters are bound once by folding over one element, wherever the optimiser puts the expression.
+    """
+    texts = F.struct(F.split(a, "").alias("p"), F.split(b, "").alias("q"))
+    return F.transform(F.array(texts), lambda x: _within(x["p"], x["q"], edits))[0]
+
+
+def _within(a: Column, b: Column, edits: int) -> Column:
+    """The same for arrays of characters, by the banded bit-parallel recurrence.
+
+    Bit t of the band stands for place i + t - edits of the longer array when place i of the shorter one is read.
     """
     width = 2 * edits + 1
     mask, top = (1 << width) - 1, 1 << (width - 1)
@@ -132,11 +143,22 @@ def edits_within(a: Column, b: Column, edits: int) -> Column:
     return F.aggregate(places, start, step, lambda s: s["dist"] <= edits)
 
 
+def _counts(line: Column) -> list[Column]:
+    """How often a line holds each of the common letters."""
+    return [(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x)))).alias(f"n_{x}") for x in LETTERS]
+
+
+def _apart(a: str, b: str) -> Column:
+    """Sum of the differences of letter counts."""
+    return sum((F.abs(F.col(f"{a}.n_{x}") - F.col(f"{b}.n_{x}")) for x in LETTERS), F.lit(0))
+
+
 def _links(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
-    """Pairs of line ids ``(x, y)`` to links between line nodes ``(a, b)``."""
-    left = texts.select(F.col("d").alias("x"), F.col("node").alias("a"), F.col("chars").alias("p"))
-    right = texts.select(F.col("d").alias("y"), F.col("node").alias("b"), F.col("chars").alias("q"))
-    both = pairs.join(left, "x").join(right, "y").where(F.abs(F.size("p") - F.size("q")) <= edits)
+    """Pairs of line nodes ``(a, b)`` that are within so many edits."""
+    left = texts.select(F.col("node").alias("a"), F.col("line").alias("p"), F.col("chars").alias("m"), F.col("counts").alias("u"))
+    right = texts.select(F.col("node").alias("b"), F.col("line").alias("q"), F.col("chars").alias("n"), F.col("counts").alias("v"))
+    close = (F.abs(F.col("m") - F.col("n")) <= edits) & (_apart("u", "v") <= 2 * edits)
+    both = pairs.join(left, "a").join(right, "b").where(close)
     return stage(both.where(edits_within(F.col("p"), F.col("q"), edits)).select("a", "b"), "links")
 
 
@@ -152,30 +174,36 @@ def _near_classes(docs: DataFrame, key: str, text: str, at: DataFrame, edits: in
         F.col("first").isNull() | F.struct("key", "no").eqNullSafe(F.col("first"))
     )
     keys = fresh.select("d", F.inline(segment_keys(F.col("line"), F.col("chars"), edits, least)))
-    met = keys.where("k IS NOT NULL").repartition("k").groupBy("k", "d").agg(F.max("own").alias("own"))
-    of_key = Window.partitionBy("k")
-    met = met.withColumn("lo", F.min("d").over(of_key)).withColumn("hi", F.max("d").over(of_key))
-    met = stage(met.where("lo <> hi").select("k", "d", "own"), "met")
+    keys = keys.where("k IS NOT NULL").repartition("k")
+    several = keys.groupBy("k").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.max("own").alias("some"))
+    several = several.where("some AND lo <> hi").select("k")  # from the same exchange as the rows themselves
+    # Few keys are held by several lines: a hash table of them per partition spares the sort of all rows.
+    met = keys.join(several.hint("shuffle_hash"), "k").groupBy("k", "d").agg(F.max("own").alias("own"))
+    met = stage(met, "met")
 
     wanted = stage(met.select("d").distinct(), "wanted")
     texts = lines.join(_sized(wanted), "d", "left_semi").select("d", "e", "line").groupBy("d", "e").agg(F.min("line").alias("line"))
-    texts = texts.withColumn("chars", F.split("line", "")).drop("line")
+    texts = texts.select("d", "e", "line", F.char_length("line").alias("chars"), F.struct(*_counts(F.col("line"))).alias("counts"))
     texts = stage(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
 
-    ends = met.groupBy("k").agg(F.min(F.when(F.col("own"), F.col("d"))).alias("o"), F.min("d").alias("p"))
-    starred = met.join(ends.where("o IS NOT NULL"), "k")
-    pairs = starred.select(F.col("o").alias("x"), F.col("d").alias("y")).unionByName(
-        starred.where("own").select(F.col("d").alias("x"), F.col("p").alias("y"))
+    held = stage(met.join(texts.select("d", "node", "chars", "counts"), "d").drop("d"), "held")
+    ends = held.groupBy("k").agg(F.min(F.when(F.col("own"), F.col("node"))).alias("o"), F.min("node").alias("p"))
+    starred = held.join(ends.where("o IS NOT NULL"), "k")
+    pairs = starred.select(F.col("node").alias("a"), F.col("o").alias("b")).unionByName(
+        starred.where("own").select(F.col("node").alias("a"), F.col("p").alias("b"))
     )
-    first = _links(_distinct(pairs), texts, edits)
+    pairs = pairs.where("a <> b").groupBy("a", "b").count().groupBy("a").agg(F.max(F.struct("count", -F.col("b"))).alias("m"))
+    first = _links(pairs.select("a", (-F.col("m.col2")).alias("b")), texts, edits)
     near = stage(components(first), "near")
-    labelled = texts.select("d", "node").join(near, "node", "left").select("d", F.coalesce("component", "node").alias("c"))
-    held = met.join(labelled, "d")
-    split = held.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("own").alias("some"))
-    open_ = stage(held.join(split.where("some AND lo <> hi").select("k"), "k").distinct(), "open")
-    own = open_.where("own").select("k", F.col("d").alias("x"), F.col("c").alias("g"))
-    other = open_.select("k", F.col("d").alias("y"), F.col("c").alias("h"))
-    second = _links(_distinct(own.join(other, "k").where("g <> h").select("x", "y")), texts, edits)
+    named = held.join(near, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    named = stage(named, "grouped")
+    split = named.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("own").alias("some"))
+    open_ = stage(named.join(split.where("some AND lo <> hi").select("k"), "k"), "open")
+    own = open_.where("own").select("k", F.col("node").alias("a"), F.col("c").alias("g"), F.col("chars").alias("m"), F.col("counts").alias("u"))
+    other = open_.select("k", F.col("node").alias("b"), F.col("c").alias("h"), F.col("chars").alias("n"), F.col("counts").alias("v"))
+    allowed = (own["k"] == other["k"]) & (F.col("g") != F.col("h")) & (F.abs(F.col("m") - F.col("n")) <= edits)
+    pairs = own.join(other, allowed & (_apart("u", "v") <= 2 * edits)).select("a", "b")
+    second = _links(_distinct(pairs), texts, edits)
 
     found = stage(components(first.unionByName(second)), "classes")
     named = texts.select("d", "e", "node").join(found, "node")
@@ -184,7 +212,7 @@ def _near_classes(docs: DataFrame, key: str, text: str, at: DataFrame, edits: in
 
 
 def _distinct(pairs: DataFrame) -> DataFrame:
-    return pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def line_classes(
