@@ -22,6 +22,8 @@ from classlens.sources.workdir import shared_folder, stage
 DATE = "2024-06-01T00:00:00Z"
 MIN_PAYLOAD = 100
 CHUNK = 1 << 20
+#: Repeated payloads are broadcast up to so many (about 100 bytes each), else joined by shuffle.
+BROADCAST_DIGESTS = 100_000
 _END = "\r\n\r\n"
 _ID = "urn:x-page:"
 
@@ -45,6 +47,9 @@ def records(pages: DataFrame, key: str, url: str, html: str, min_payload: int =
         .agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
     )
+    first = stage(first, "first")
+    if first.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:
+        first = F.broadcast(first)  # else pages are shuffled by digest
     rows = rows.join(first, "digest", "left")
     again = F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
     uri = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")

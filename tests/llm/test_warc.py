@@ -9,6 +9,7 @@ from hashlib import sha256
 
 import pytest
 
+from classlens.llm import warc
 from classlens.llm.warc import (
     _inflated,
     archive_pages,
@@ -40,7 +41,9 @@ def brute(rows):
     return sorted(out, key=repr)
 
 
-def test_round_trip(spark):
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_round_trip(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", most)
     rows = [(i, f"http://x/{i}", LONG if i % 3 else f"page {i} " * (i % 30)) for i in range(50, 0, -1)]
     rows += [(100, None, None), (101, "http://a b\r\nc", ""), (102, "u", "x" * 99), (103, "u", "x" * 99), (104, "u", "y" * 100)]
     rows += [(105, "u", "y" * 100), (106, "u", "z" * 3_000_000), (None, "u", LONG), (None, "u", "w" * 200), (1, "u", LONG)]
