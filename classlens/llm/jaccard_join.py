@@ -30,6 +30,8 @@ SHINGLE = 5
 NUM, DEN = 3, 4
 #: Groups beyond the least number, so that few sets have too few filled cells.
 SLACK = 1.1
+#: Signatures per set and band of the first round, the smallest ones; the second round takes all.
+FIRST = 16
 #: Holders of one signature that are compared in one unit of work.
 BLOCK = 4096
 _SHIFT, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
@@ -161,8 +163,8 @@ def signatures(hashes: np.ndarray, bands: Bands) -> list[tuple[int, np.ndarray]]
 _ENTRY = np.dtype([("sig", "<u4"), ("group", "<i8"), ("rep", "<i8")])
 
 
-def _sign(parts: int, num: int, den: int):
-    """Blobs of (signature, component, set) by part, of an Arrow batch of sets."""
+def _sign(parts: int, num: int, den: int, first: int | None = None):
+    """Blobs of (signature, component, set) by part, of an Arrow batch of sets; of the ``first`` smallest or all."""
 
     def sign(batches):
         bands = Bands(num, den)
@@ -171,7 +173,7 @@ def _sign(parts: int, num: int, den: int):
                 part = batch.slice(a, 2000)
                 entries, to = [], []
                 for rep, group, blob in zip(*(part.column(c).to_pylist() for c in ("rep", "group", "set"))):
-                    sigs = np.concatenate([s for _, s in signatures(np.frombuffer(blob, np.uint64), bands)])
+                    sigs = np.concatenate([s[:first] for _, s in signatures(np.frombuffer(blob, np.uint64), bands)])
                     e = np.empty(len(sigs), _ENTRY)
                     e["sig"], e["group"], e["rep"] = sigs & _LOW, group, rep
                     entries.append(e)
@@ -271,13 +273,24 @@ def _units(holders: DataFrame) -> DataFrame:
 
 def _compared(num: int, den: int):
     def compared(batches):
-        """The pairs that link."""
+        """The pairs that link, without those that close a circle in their task."""
+        head: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            while head.get(i, i) != i:
+                head[i] = head.get(head[i], head[i])
+                i = head[i]
+            return i
+
         for batch in batches:
             a, b = [], []
             for i, j, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                if root(i) == root(j):
+                    continue
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = int(in_sorted(x, y).sum())
                 if den * both >= num * (len(x) + len(y) - both):
+                    head[root(i)] = root(j)
                     a.append(i)
                     b.append(j)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -324,7 +337,8 @@ def join_components(
     classes = stage(some.groupBy(*digest).agg(F.min("row").alias("rep"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")), "classes")
     sets = stage(some.select("row", "set").join(classes.select(F.col("rep").alias("row")), "row").select(F.col("row").alias("rep"), "set"), "reps")
 
-    signed = sets.withColumn("group", F.col("rep")).mapInArrow(_sign(n, num, den), "part int, blob binary")
+    few = _sign(n, num, den, FIRST)
+    signed = sets.withColumn("group", F.col("rep")).mapInArrow(few, "part int, blob binary")
     leaders = signed.groupBy("part").applyInArrow(_leaders, "a long, b long, n long")
     best = leaders.groupBy("a", "b").agg(F.sum("n").alias("n")).groupBy("a").agg(F.max(F.struct("n", -F.col("b"))).alias("m"))
     first = _links(best.select("a", (-F.col("m.col2")).alias("b")), sets, num, den)
