@@ -1,8 +1,9 @@
 """Licence scan: canonical digests of whole texts, joined to the digests of known licences.
 
-A text is made canonical: copyright lines go, case and punctuation go, equivalent spellings become one, blanks are
-single. Its digest is looked up among those of known licences and licence notices, which pass through the
-same expression. The same is done with every line of a document, since notices often stand alone in one. The
+A text is made canonical: copyright notices go, case and punctuation go, equivalent spellings become one, blanks are
+single, so wrapping does not count. A notice is one line, or the rest of its paragraph where it is wrapped; a text has
+a form for either, and both are looked up among the digests of known licences and licence notices, which pass through
+the same expression. The same is done with every line of a document, since notices often stand alone in one. The
 table of known texts is a parameter; it is joined by hash, and broadcast while it has at most so many rows.
 """
 
@@ -124,18 +125,27 @@ KNOWN = [
 ]
 #: Known texts are broadcast up to so many rows (about 60 bytes each), else joined by shuffle.
 BROADCAST_TEXTS = 100_000
+#: Lines left out of the digest that is returned (not of those that find a licence): any that begin like a notice.
 COPYRIGHT_LINE = r"(?im)^[^\p{L}\p{N}©(]*(?:copyright\b|\(c\)|©|all rights reserved).*$"
+#: Beginning of a notice: copyright with a sign, a year, "by" or a name; a sign with a year; or the reservation alone.
+#: A line of a licence that happens to begin with "copyright holders" or "copyright notice" is none.
+_NOTICE = (
+    r"(?m)^[^\p{L}\p{N}©(\n]*(?:(?i:(?:portions )?copyright)[ \t:,]*(?:©|(?i:\(c\))|(?:19|20)\d\d\b|(?i:by )"
+    r"|(?<=Copyright )(?!(?i:holder|owner|notice|law|licen[cs]e)s?\b)\p{Lu}\p{Ll}*)"
+    r"|(?i:\(c\))[ \t]*(?:copyright[ \t]*)?(?:19|20)\d\d\b|©"
+)
+_RESERVED = r"|(?i:all rights reserved)[^\p{L}\p{N}\n]*$)"
+NOTICE_LINE = _NOTICE + _RESERVED + r".*$"
+#: The same with the lines that follow, up to one without a letter or digit.
+NOTICE_PARAGRAPH = _NOTICE + _RESERVED + r".*(?:\n(?=.*[\p{L}\p{N}]).*)*"
+MARKS = r"(?i)copyright|\(c\)|©|all rights"
 OTHER = r"[^\p{L}\p{N}]+"
 
 
 def canonical(texts: Column) -> Column:
-    """An array of texts without copyright lines, case, punctuation and variant spellings, words joined by one blank."""
+    """An array of texts without case, punctuation and variant spellings, words joined by one blank."""
     variants = " (?:" + "|".join(v for v, _ in SPELLINGS) + ") "
 
-    def without_notices(x: Column) -> Column:
-        marked = x.rlike(r"(?i)copyright|\(c\)|©|all rights")
-        return F.when(marked, F.regexp_replace(x, COPYRIGHT_LINE, " ")).otherwise(x)
-
     def plain(x: Column) -> Column:
         return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(x), OTHER, " ")), F.lit(" "))
 
@@ -145,7 +155,24 @@ def canonical(texts: Column) -> Column:
             y = F.replace(y, F.lit(f" {variant} "), F.lit(f" {word} "))
         return F.trim(F.when(x.rlike(variants), y).otherwise(x))
 
-    return F.transform(F.transform(F.transform(texts, without_notices), plain), spelt)
+    return F.transform(F.transform(texts, plain), spelt)
+
+
+def forms(text: Column) -> Column:
+    """Canonical forms of a text: without copyright lines, then without notices by line and by paragraph.
+
+    Only the first one if nothing looks like a notice, for then all are equal.
+    """
+    cut = [F.regexp_replace(text, x, " ") for x in (COPYRIGHT_LINE, NOTICE_LINE, NOTICE_PARAGRAPH)]
+    return canonical(F.when(text.rlike(MARKS), F.array(*cut)).otherwise(F.array(text)))
+
+
+def _without_notices(forms_: Column) -> Column:
+    return F.when(F.size(forms_) > 1, F.array_distinct(F.slice(forms_, 2, 2))).otherwise(forms_)
+
+
+def _digests(texts: Column) -> Column:
+    return F.transform(texts, lambda x: F.struct(F.sha2(x, 256).alias("digest"), F.char_length(x).alias("chars")))
 
 
 def known_texts(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -156,39 +183,44 @@ def known_texts(spark: SparkSession, known: list[tuple[str, str]] | None = None)
 def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, digest, license, line_licenses, n_license_lines)`` per row.
 
-    ``digest`` is that of the whole canonical text, ``license`` the known licence with the same digest (the first by name
-    if several share it) or null; ``line_licenses`` are the distinct licences of its lines, joined by commas, empty
+    ``digest`` is that of the whole canonical text without any line that begins like a copyright notice. ``license`` is
+    the known licence that equals the text once real notices are gone, each as a line or as a paragraph (the first by name
+    if several do), or null; ``line_licenses`` are the distinct licences of its lines, joined by commas, empty
     if none. A null text counts as empty and matches nothing. Rows are numbered, so repeated rows and keys
     keep their own results. Other columns are ignored. Empty in, empty out.
     """
-    known = known.select("license", canonical(F.array("text"))[0].alias("c")).where("c <> ''")
+    known = known.select("license", F.explode(_without_notices(forms(F.col("text")))).alias("c")).where("c <> ''")
     known = known.select(F.sha2("c", 256).alias("digest"), F.char_length("c").alias("chars"), "license")
     known = stage(known.groupBy("digest", "chars").agg(F.min("license").alias("license")), "known")
     few = known.count() <= BROADCAST_TEXTS
-    lines = canonical(F.split("text", "\n"))
+    bare = F.transform(
+        F.split("text", "\n"), lambda x: F.when(x.rlike(MARKS), F.regexp_replace(x, NOTICE_LINE, " ")).otherwise(x)
+    )
+    wide = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    wide = wide.select("key", forms(F.col("text")).alias("forms"), canonical(bare).alias("lines"))
+    wholes, lines = _without_notices(F.col("forms")), F.col("lines")
     if few:
         known = F.broadcast(known)
-        # Equal digests have equal lengths, so lines of any other length need no digest.
+        # Equal digests have equal lengths, so texts and lines of any other length need no digest.
         lengths = F.lit(sorted(r["chars"] for r in known.select("chars").distinct().collect()) or [-1])
-        lines = F.filter(lines, lambda x: F.array_contains(lengths, F.char_length(x)))
-    wide = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    wide = wide.select("key", canonical(F.array("text"))[0].alias("c"), lines.alias("lines"))
-    digest = F.struct(F.sha2("c", 256).alias("digest"), F.char_length("c").alias("chars"))
+        wholes, lines = (F.filter(x, lambda y: F.array_contains(lengths, F.char_length(y))) for x in (wholes, lines))
     rows = wide.select(
         F.monotonically_increasing_id().alias("row"),
         "key",
-        digest.alias("own"),
-        F.transform("lines", lambda x: F.struct(F.sha2(x, 256).alias("digest"), F.char_length(x).alias("chars"))).alias("lines"),
+        F.sha2(F.col("forms")[0], 256).alias("digest"),
+        _digests(wholes).alias("wholes"),
+        _digests(lines).alias("lines"),
     )
     rows = stage(rows, "texts")
-    on = ["digest", "chars"]
-    found = rows.select("row", "key", "own.*").join(known, on, "left")
-    each = rows.select("row", F.inline("lines")).join(known, on).groupBy("row")
-    each = each.agg(
-        F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"),
-        F.count(F.lit(1)).alias("n_license_lines"),
+    parts = rows.select("row", F.lit(True).alias("whole"), F.inline("wholes"))
+    parts = parts.unionByName(rows.select("row", F.lit(False).alias("whole"), F.inline("lines")))
+    line = F.when(~F.col("whole"), F.col("license"))
+    each = parts.join(known, ["digest", "chars"]).groupBy("row").agg(
+        F.min(F.when(F.col("whole"), F.col("license"))).alias("license"),
+        F.array_join(F.array_sort(F.collect_set(line)), ",").alias("line_licenses"),
+        F.count(line).alias("n_license_lines"),
     )
-    return found.join(each, "row", "left").select(
+    return rows.select("row", "key", "digest").join(each, "row", "left").select(
         F.col("key").alias(key),
         "digest",
         "license",

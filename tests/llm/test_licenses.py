@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import textwrap
+
 import pytest
 
 from classlens.llm.licenses import KNOWN, SPELLINGS, known_texts, scan
@@ -51,6 +53,28 @@ def test_spellings_are_words_apart(variant, word):
     assert variant != word and variant == variant.lower()
 
 
+@pytest.mark.parametrize("width", [20, 60, 70, 78, 100, 1_000_000])
+def test_wrapping_does_not_count(spark, width):
+    def wrapped(text, mark=""):
+        whole = dict(break_long_words=False, break_on_hyphens=False, initial_indent=mark, subsequent_indent=mark)
+        return "\n\n".join(textwrap.fill(" ".join(p.split()), width, **whole) for p in text.split("\n\n"))
+
+    notice = "Copyright (c) 2019-2021 Some Body with a Long Name and Others <a@b.c>. All rights reserved."
+    texts = [wrapped(t) for _, t in KNOWN] + [wrapped(f"{notice}\n\n{t}") for _, t in KNOWN]
+    texts += [wrapped(t, " * ").replace("\n\n", "\n *\n") for _, t in KNOWN]
+    assert [g[1] for g in run(spark, texts)] == [n for n, _ in KNOWN] * 3
+
+
+def test_only_real_notices_go(spark):
+    end = "\nCOPYRIGHT HOLDERS"
+    head = ["Copyright 2020 A", "copyright © B", "Copyright The Some Authors.", "COPYRIGHT (C) 2020 A\r", "(c) 2020 C", "# All Rights Reserved.\n"]
+    texts = [f"{x}\n{MIT}" for x in head]
+    texts += [MIT.replace(end, end + " MAY SUE AND"), MIT.replace("COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM", "X")]
+    texts += [MIT + "\n(c) you must pay", MIT + "\ncopyright law of Ruritania applies"]
+    assert end in MIT
+    assert [g[1] for g in run(spark, texts)] == ["MIT"] * 6 + [None] * 4
+
+
 def test_own_table_repeats_and_empty(spark):
     assert run(spark, ["One two.", "one TWO", "one two three"], [("B", "one two"), ("A", "One, two")]) == [
         (0, "A", "A", 1),
