@@ -3,8 +3,8 @@
 Token ids are written once; each task then deals its rows into shards of a bounded number of tokens, without a
 shuffle. A shard builds an inverted index of its documents' token ids with BM25 weights; document frequencies and
 the mean length are those of the whole corpus (one number per vocabulary entry, so bounded whatever the corpus). A
-seed document opens a window; the unused documents that its rarest terms retrieve follow by score until the window is
-full. The last one is cut there and its rest is the next seed, so only the last window of a shard has padding.
+seed document opens a window; the unused documents that share a term with it follow by their BM25 score over all of its
+terms until the window is full. The last one is cut there and its rest is the next seed, so only the last window of a shard has padding.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ LENGTH = 2048
 END = 1
 #: Tokens of a shard: its index takes about twenty times as many bytes.
 SHARD_TOKENS = 3_000_000
-#: Terms of a seed that are looked up: those with the highest weight in it.
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 #: Texts encoded at a time.
 TEXTS = 500
@@ -80,13 +78,15 @@ class _Index:
         self.first = np.searchsorted(term, np.arange(len(idf) + 1))
 
     def terms(self, seed: int) -> np.ndarray:
-        """The seed's terms with the highest weight as a query, ties by id."""
-        term, tf = np.unique(self.docs[seed], return_counts=True)
-        return term[np.argsort(-self.idf[term] * tf / (tf + K1), kind="stable")[:QUERY_TERMS]]
+        """The seed's terms, each once."""
+        return np.unique(self.docs[seed]).astype(np.int64)
 
     def ranked(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with the seed, best first, ties by order."""
-        at = np.concatenate([np.arange(self.first[t], self.first[t + 1]) for t in self.terms(seed)])
+        """Unused documents that share a term, best first, ties by order."""
+        terms = self.terms(seed)
+        sizes = self.first[terms + 1] - self.first[terms]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) + np.repeat(self.first[terms] - ends + sizes, sizes)
         score = np.bincount(self.doc[at], self.weight[at], len(self.docs))
         score[~unused] = 0
         found = np.flatnonzero(score > 0)

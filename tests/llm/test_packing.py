@@ -98,3 +98,21 @@ def test_neighbours_match_brute_force_bm25():
         got = index.ranked(seed, unused)
         assert np.allclose(score[got], score[order])
         assert set(got) == set(order)
+
+
+def test_all_terms_of_a_seed_count():
+    rnd = random.Random(2)
+    # The heaviest 30 terms of each document occur in no other one; the rest decide.
+    docs = [np.array([100 + 30 * i + j for j in range(30)] + [rnd.randint(0, 59) for _ in range(60)], "<u2") for i in range(40)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=100 + 30 * 40)
+    idf = np.log1p((40 - df + 0.5) / (df + 0.5))
+    index = _Index(docs, idf, 90.0)
+    for seed in range(40):
+        unused = np.arange(40) != seed
+        score = np.zeros(40)
+        for t in set(docs[seed].tolist()):
+            tf = np.array([np.sum(d == t) for d in docs])
+            score += idf[t] * tf * 2.2 / (tf + 1.2)  # all documents have the mean length
+        got = index.ranked(seed, unused)
+        assert set(got) == set(np.flatnonzero((score > 0) & unused)) and len(got) == 39
+        assert np.allclose(score[got], np.sort(score[unused])[::-1])
