@@ -1,7 +1,8 @@
 """Packing of documents into sequences of fixed length, neighbours by BM25 side by side.
 
-Token ids are written once; each task then deals its rows into shards of a bounded number of tokens, without a
-shuffle. A shard builds an inverted index of its documents' token ids with BM25 weights; document frequencies and
+Token ids are written once and dealt by content: documents go by the heaviest of their terms that many documents share,
+then by a shingle minimum, so that topics and near copies of the whole corpus meet; groups larger than a fraction of a
+shard are split, copies by row. Each task then cuts its rows into shards of a bounded number of tokens. A shard builds an inverted index of its documents' token ids with BM25 weights; document frequencies and
 the mean length are those of the whole corpus (one number per vocabulary entry, so bounded whatever the corpus). A
 seed document opens a window; the unused documents that share a term with it follow by their BM25 score over all of its
 terms until the window is full. The last one is cut there and its rest is the next seed, so only the last window of a shard has padding.
@@ -24,6 +25,14 @@ LENGTH = 2048
 END = 1
 #: Tokens of a shard: its index takes about twenty times as many bytes.
 SHARD_TOKENS = 3_000_000
+#: A document is dealt by its heaviest term that at least so many documents hold.
+SHARED = 100
+#: Groups that are dealt as one have up to this part of a shard's tokens, or so many windows if these are more.
+UNITS = 16
+WINDOWS = 4
+#: Shards that a task gets on average; each task leaves one partly filled.
+SHARDS = 2
+SHINGLE = 5
 K1, B = 1.2, 0.75
 #: Texts encoded at a time.
 TEXTS = 500
@@ -60,6 +69,58 @@ def _frequencies(kind: np.dtype):
     return frequencies
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers, hashed."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _contents(kind: np.dtype, df: np.ndarray, idf: np.ndarray):
+    def group(ids: np.ndarray) -> int:
+        """The heaviest of the terms that many documents hold, -1 if there is none."""
+        term, tf = np.unique(ids, return_counts=True)
+        weight = np.where(df[term] >= SHARED, idf[term] * tf / (tf + K1), -1)
+        best = int(np.argmax(weight))
+        return int(term[best]) if weight[best] >= 0 else -1
+
+    def least(ids: np.ndarray) -> int:
+        """The smallest hash of the runs of ids, shorter ones for short documents."""
+        run = min(SHINGLE, len(ids))
+        x = np.zeros(len(ids) - run + 1, np.uint64)
+        for j in range(run):
+            x = _mixed(x * np.uint64(31) + ids[j : len(ids) - run + 1 + j] + np.uint64(1))
+        return int(x.min() >> np.uint64(1))
+
+    def contents(batches):
+        """The rows with the group and the place in it that their ids lead to."""
+        for batch in batches:
+            docs = [np.frombuffer(x, kind).astype(np.uint64) for x in batch.column("ids").to_pylist()]
+            docs = [(group(d.astype(np.int64)), least(d)) for d in docs]
+            columns = [pa.array([d[i] for d in docs], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "topic", "least"])
+
+    return contents
+
+
+def _dealt(placed: DataFrame, total: int, shard_tokens: int, length: int) -> DataFrame:
+    """Rows of one topic or of one least shingle together, in tasks of some shards, as far as they fit into a unit."""
+    unit = max(shard_tokens // UNITS, WINDOWS * length)
+    tasks = max(1, total // (SHARDS * shard_tokens))
+    groups = placed.groupBy("topic", "least").agg(F.sum("n").alias("tokens"))
+    parts = F.ceil(F.col("tokens") / unit).cast("bigint")
+    # At most as many rows as there are units in the corpus.
+    copies = F.broadcast(groups.where(F.col("tokens") > unit).select("topic", "least", parts.alias("copies")))
+    topics = groups.groupBy("topic").agg(F.sum("tokens").alias("tokens")).where(F.col("tokens") > unit)
+    topics = F.broadcast(topics.select("topic", parts.alias("parts")))
+    both = placed.join(topics, "topic", "left").join(copies, ["topic", "least"], "left")
+    row = F.xxhash64(F.lit(1), "key", "ids")
+    part = F.pmod(F.xxhash64("least"), F.coalesce("parts", F.lit(1)))
+    copy = F.pmod(row, F.coalesce("copies", F.lit(1)))
+    both = both.select("key", "ids", F.xxhash64("topic", part, copy).alias("unit"), "least", row.alias("row"))
+    return both.repartition(tasks, "unit").sortWithinPartitions("unit", "least", "row").select("key", "ids")
+
+
 class _Index:
     """Inverted index of a shard: postings by term, with their BM25 weights."""
 
@@ -196,7 +257,8 @@ def pack(
     for r in found:
         df[r["term"]] = r["n"]
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    out = tokens.select("key", "ids").mapInArrow(
+    placed = tokens.mapInArrow(_contents(width, df, idf), f"key {kind}, n long, ids binary, topic long, least long")
+    out = _dealt(stage(placed, "placed"), total or 0, shard_tokens, length).mapInArrow(
         _pack(length, width, idf, (total or 0) / max(n, 1), shard_tokens),
         f"key {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long",
     )

@@ -116,3 +116,27 @@ def test_all_terms_of_a_seed_count():
         got = index.ranked(seed, unused)
         assert set(got) == set(np.flatnonzero((score > 0) & unused)) and len(got) == 39
         assert np.allclose(score[got], np.sort(score[unused])[::-1])
+
+
+def test_copies_far_apart_share_a_window(spark):
+    rnd = random.Random(4)
+    docs = [" ".join(rnd.choice("abcdefghijklmnop") + str(rnd.randint(0, 99)) for _ in range(350)) for _ in range(60)]
+    near = [f"{d} {rnd.randint(0, 9)}" for d in docs]
+    data = list(enumerate(docs)) + [(60 + i, near[i]) for i in rnd.sample(range(60), 60)]
+    df = spark.createDataFrame([(k, t, 1, "r") for k, t in data], SCHEMA).coalesce(1)
+    rows = pack(df, shard_tokens=8_000).collect()
+    check(rows, data, 2048)
+    held = defaultdict(set)
+    for r in rows:
+        held[r["doc_id"]].add(r["sequence_id"])
+    assert len({r["sequence_id"] for r in rows}) > 30
+    assert sum(bool(held[i] & held[60 + i]) for i in range(60)) >= 40
+
+
+def test_many_copies_are_split(spark):
+    data = [(i, "the same text of many rows " * 20) for i in range(400)] + [(400 + i, f"text {i}") for i in range(50)]
+    df = spark.createDataFrame([(k, t, 1, "r") for k, t in data], SCHEMA)
+    rows = pack(df, shard_tokens=4_000).collect()
+    check(rows, data, 2048)
+    tasks = Counter(r["sequence_id"] >> 32 for r in rows if r["doc_id"] < 400 and r["start"] == 0)
+    assert max(tasks.values()) < 200
