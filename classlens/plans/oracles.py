@@ -506,6 +506,19 @@ def oracles() -> dict[str, str]:
         "WITH num AS (SELECT *, row_number() OVER () - 1 AS rn FROM lineitem), "
         + digest(["l_orderkey", "l_returnflag", "rn"], "num")
     )
+    whole = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    whole += ["l_returnflag", "l_linestatus", "l_shipdate"]
+    sql["dataset_fingerprint_all"] = "WITH " + digest(whole, "lineitem")
+    sql["lineage_all"] = f"""SELECT fingerprint AS data_hash, n_rows, 'False' AS clean
+  FROM (WITH {digest(whole, "lineitem")})"""
+    sql["dataset_fingerprint_ordered_all"] = (
+        "WITH num AS (SELECT *, row_number() OVER () - 1 AS rn FROM lineitem), " + digest([*whole, "rn"], "num")
+    )
+    sql["dedupe_rows_all"] = f"WITH {LINE} SELECT DISTINCT {names(FEATURES)}, y FROM line"
+    sql["dedupe_keyed_all"] = f"WITH {LINE} SELECT min(k) AS k, {names(FEATURES)}, y FROM line GROUP BY ALL"
+    sql["clean_full_all"] = f"""WITH {DIRT}, uniq AS (SELECT DISTINCT y, {names(DIRTY)} FROM dirt),
+  nulled AS (SELECT y, {", ".join(f"nullif({c}, -999) AS {c}" for c in DIRTY)} FROM uniq),
+  {imputed(DIRTY, keep="y")} SELECT y, {rounded_columns(DIRTY)} FROM imputed"""
 
     sql["prepare_features"] = sql["scan_features"]
     sql["variance_filter"] = f"WITH {DIRT}, {fitted('dirt', DIRTY)} SELECT feature, kept FROM fit"
@@ -609,6 +622,7 @@ def oracles() -> dict[str, str]:
     sql["corr_spearman_nulls"] = f"WITH {DIRT}, {NULLED} {spearman('nulled', ['quantity', 'price', 'discount'])}"
     sql["corr_spearman_target"] = f"""WITH {LINE} SELECT col_a AS feature, r FROM ({spearman("line", [*FEATURES, "y"])}) WHERE col_b = 'y'"""
     sql["corr_kendall"] = f"WITH {LINE} {kendall('line', ['quantity', 'discount', 'tax'])}"
+    sql["corr_kendall_all"] = f"WITH {LINE} {kendall('line', FEATURES)}"
     sql["corr_kendall_target"] = f"""WITH {LINE}, {lines}, {rank_stats()} SELECT feature,
   {rnd("(2 * auc - 1) * n0 * n1 / sqrt(((n0 + n1) * (n0 + n1 - 1) / 2 - tied_pairs) * n0 * n1)", 9)} AS r FROM st"""
     sql["corr_per_class"] = f"""WITH {LINE}, two AS (SELECT *, y AS grp FROM line), pr AS ({pearson("two", [*FEATURES, "y"], "grp")})

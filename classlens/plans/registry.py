@@ -159,6 +159,14 @@ def lineage(spark, sf):
     return loaded.select("data_hash", "n_rows", F.col("facts")["clean"].alias("clean"))
 
 
+@register("lineage_all")
+def lineage_all(spark, sf):
+    row = sinks.lineage(table(spark, sf, "lineitem"), f"{sf}/lineitem.parquet", clean=False)
+    path = sinks.write_lineage(row, shared_folder(spark, "lineage"))
+    loaded = spark.read.schema(row.schema).json(path)
+    return loaded.select("data_hash", "n_rows", F.col("facts")["clean"].alias("clean"))
+
+
 # ---------------------------------------------------------------- cleaning and profiling
 
 
@@ -172,6 +180,16 @@ def dedupe_keyed(spark, sf):
     return cleaning.dedupe(items(spark, sf).select("k", "quantity", "discount", "tax", "y"), "k")
 
 
+@register("dedupe_rows_all")
+def dedupe_rows_all(spark, sf):
+    return cleaning.dedupe(items(spark, sf).select(*FEATURES, "y"))
+
+
+@register("dedupe_keyed_all")
+def dedupe_keyed_all(spark, sf):
+    return cleaning.dedupe(items(spark, sf).select("k", *FEATURES, "y"), "k")
+
+
 @register("sentinel_to_null")
 def sentinel_to_null(spark, sf):
     return cleaning.sentinel_to_null(dirty_items(spark, sf)).select("k", *DIRTY)
@@ -205,6 +223,11 @@ def clean_full(spark, sf):
     return rounded(clean(source, "y"))
 
 
+@register("clean_full_all")
+def clean_full_all(spark, sf):
+    return rounded(clean(dirty_items(spark, sf).select("y", *DIRTY), "y"))
+
+
 @register("profile_features")
 def profile_features(spark, sf):
     source = items(spark, sf).withColumn("balance", F.col("price") - 50000.0)
@@ -263,6 +286,16 @@ def dataset_fingerprint_ordered(spark, sf):
     return fingerprint(numbered, ["l_orderkey", "l_returnflag"], "row_number")
 
 
+@register("dataset_fingerprint_all")
+def dataset_fingerprint_all(spark, sf):
+    return fingerprint(table(spark, sf, "lineitem"))
+
+
+@register("dataset_fingerprint_ordered_all")
+def dataset_fingerprint_ordered_all(spark, sf):
+    return fingerprint(readers.with_row_number(table(spark, sf, "lineitem"), "row_number"), index="row_number")
+
+
 # ---------------------------------------------------------------- preparation
 
 
@@ -596,6 +629,12 @@ def corr_kendall(spark, sf):
     return rounded(correlation.kendall_pairs(items(spark, sf), columns, "k"), 9)
 
 
+@register("corr_kendall_all")
+def corr_kendall_all(spark, sf):
+    columns = FEATURES
+    return rounded(correlation.kendall_pairs(items(spark, sf), columns, "k"), 9)
+
+
 @register("corr_kendall_target")
 def corr_kendall_target(spark, sf):
     return rounded(correlation.kendall_with_label(items(spark, sf), FEATURES, "y"), 9)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from classlens.operators.fingerprint import fingerprint
 from classlens.params import JobParams
+from classlens.plans.registry import QUERIES
 from classlens.sources import readers, sinks
 from classlens.sources.workdir import job_scope, shared_folder, stage
 
@@ -151,3 +152,19 @@ def test_job_scope_deletes_what_was_staged(spark):
         folder = os.path.dirname(urlsplit(staged.inputFiles()[0]).path)
         assert os.path.isdir(folder)
     assert not os.path.exists(folder)
+
+
+@pytest.mark.parametrize("column", ["l_extendedprice", "l_quantity", "l_shipdate", "l_linestatus"])
+def test_registered_hashes_cover_every_column(spark, tmp_path, column):
+    source = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(50).coalesce(1)
+    other = {"l_shipdate": F.expr("l_shipdate + INTERVAL 1 DAY"), "l_linestatus": F.concat("l_linestatus", F.lit("x"))}
+    changed = source.withColumn(column, other.get(column, F.col(column) + 1))
+    for name, df in (("a", source), ("b", changed)):
+        df.write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+    for query, value in (
+        ("dataset_fingerprint_all", "fingerprint"),
+        ("dataset_fingerprint_ordered_all", "fingerprint"),
+        ("lineage_all", "data_hash"),
+    ):
+        a, b = (QUERIES[query](spark, f"{tmp_path}/{x}").first()[value] for x in "ab")
+        assert a != b
