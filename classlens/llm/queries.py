@@ -9,6 +9,9 @@ from classlens.llm.licenses import op5_license_scan
 from classlens.llm.line_dedup import op10_line_dedup
 from classlens.llm.mixing import op6_mixing
 from classlens.llm.packing import op8_packing
+from classlens.llm.periodic_runs import op13_periodic_runs
+from classlens.llm.pii import op12_personal_data
+from classlens.llm.pii_sql import personal_data
 from classlens.llm.quality_rules import op4_quality_rules
 from classlens.llm.substring_dedup import op1_substring_dedup
 from classlens.llm.toxicity import op3_toxicity
@@ -25,6 +28,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_line_dedup": op10_line_dedup,
+    "op12_personal_data": op12_personal_data,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES = {
@@ -35,4 +40,5 @@ ORACLES = {
     "op6_mixing": oracles.MIXING,
     "op7_warc": oracles.WARC,
     "op9_jaccard_join": oracles.JACCARD_JOIN,
+    "op12_personal_data": personal_data(),
 }
