@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from classlens.llm.grams import Words, as_bytes
-from classlens.llm.words import n_words, words
+from classlens.llm.words import words
 
 #: Words at least, and periods at least, of a run.
 MIN_WORDS, MIN_REPEATS = 6, 4
@@ -209,12 +209,17 @@ def periodic_runs(
 def made_periodic(doc_id: Column, text: Column) -> Column:
     """The text, made periodic from a word on for one document in ten, chosen by the CRC-32 of its id."""
     h = F.crc32(doc_id.cast("string"))
-    g, n, w = F.floor(h / 10), n_words(text), words(text)
-    a = (g % n).cast("int")
-    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
-    again = F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p))
-    changed = F.array_join(F.transform(again, lambda i: F.get(w, i)), " ")
-    return F.when((h % 10 == 0) & (n > 0), changed).otherwise(text)
+    g = F.floor(h / 10)
+
+    def changed(w: Column) -> Column:
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        again = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(w, F.lit(1), a), F.slice(again, F.lit(1), n - a)), " ")
+
+    split = F.transform(F.array(words(text)), lambda w: F.when(F.size(w) > 0, changed(w)).otherwise(text))  # split once
+    return F.when(h % 10 == 0, F.get(split, 0)).otherwise(text)
 
 
 def op13_periodic_runs(spark, sf_dir: str) -> DataFrame:
