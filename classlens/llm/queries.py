@@ -13,6 +13,7 @@ from classlens.llm.periodic_runs import op13_periodic_runs
 from classlens.llm.pii import op12_personal_data
 from classlens.llm.pii_sql import personal_data
 from classlens.llm.quality_rules import op4_quality_rules
+from classlens.llm.spelling_variants import op11_spelling_variants
 from classlens.llm.substring_dedup import op1_substring_dedup
 from classlens.llm.toxicity import op3_toxicity
 from classlens.llm.warc import op7_warc
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_line_dedup": op10_line_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_personal_data": op12_personal_data,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -40,5 +42,6 @@ ORACLES = {
     "op6_mixing": oracles.MIXING,
     "op7_warc": oracles.WARC,
     "op9_jaccard_join": oracles.JACCARD_JOIN,
+    "op11_spelling_variants": oracles.SPELLING_VARIANTS,
     "op12_personal_data": personal_data(),
 }
