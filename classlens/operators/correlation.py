@@ -3,36 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from classlens.functions.numeric import clean_double
-from classlens.operators.longform import (
-    every_feature,
-    feature_list,
-    long_form,
-    melt,
-    numeric_columns,
-    validate_frame,
-)
-from classlens.operators.ranked import (
-    bucket_count,
-    bucket_cuts,
-    rank_statistics,
-    ranked_values,
-    running_counts,
-    with_bucket,
-)
+from classlens.operators.longform import every_feature, feature_list, melt, numeric_columns, validate_frame
+from classlens.operators.rank_correlation import kendall_pairs, spearman_pairs
+from classlens.operators.ranked import rank_statistics, ranked_values
 from classlens.sources.workdir import stage
 
 METHODS = ("pearson", "spearman", "kendall")
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
-HOT_SHARE = 1_000
-JOINED_COLUMNS = 3
 CONSTANT = 1e-12
 
 
@@ -90,9 +74,11 @@ def pearson_pairs(
     """
     columns = list(columns)
     wide = df.select(
-        *([F.col(group).cast("int").alias("grp")] if group else []),
+        *([F.col(group).alias("grp")] if group else []),
         *[clean_double(c).alias(c) for c in columns],
     )
+    if group:
+        wide = wide.where(F.col("grp").isNotNull())
     shifted = wide
     if centre:
         means = wide.agg(*[F.avg(c).alias(c) for c in columns]).first()
@@ -100,7 +86,8 @@ def pearson_pairs(
             *(["grp"] if group else []),
             *[(F.col(c) - F.lit(means[c] or 0.0)).alias(c) for c in columns],
         )
-    schema = "grp int, a int, b int, " + ", ".join(f"{s} double" for s in SUMS)
+    kind = df.schema[group].dataType.simpleString() if group else "int"
+    schema = f"grp {kind}, a int, b int, " + ", ".join(f"{s} double" for s in SUMS)
     partial = shifted.mapInPandas(_gram_sums(columns, "grp" if group else None), schema)
     sums = partial.groupBy("grp", "a", "b").agg(*[F.sum(s).alias(s) for s in SUMS])
     names = F.array(*[F.lit(c) for c in columns])
@@ -113,208 +100,17 @@ def pearson_pairs(
     )
 
 
-def value_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(feature, value, t, avg_rank, dense_rank, n)`` of all distinct values."""
-    buckets = bucket_count(df)
-    counts = (
-        long_form(df, columns)
-        .groupBy("feature", "value")
-        .agg(F.count(F.lit(1)).alias("t"))
-        .withColumn("d", F.lit(1).cast("bigint"))
-    )
-    bucketed = with_bucket(counts, bucket_cuts(df, columns, buckets), buckets)
-    ranked = running_counts(bucketed, ["feature"], ["bucket"], ["t", "d"])
-    return ranked.select(
-        "feature",
-        "value",
-        "t",
-        (F.col("before_t") + (F.col("t") + 1) / 2.0).alias("avg_rank"),
-        F.col("before_d").alias("dense_rank"),
-        F.col("total_t").alias("n"),
-    )
-
-
-def _join_rare(wide: DataFrame, rare: DataFrame, column: str, key: str) -> DataFrame:
-    """Fill ``rank_<column>`` from a shuffle join; rows that need no look-up are spread by a salt."""
-    known = F.col(f"rank_{column}").isNotNull() | F.col(column).isNull()
-    salt = F.when(known, 1 + F.pmod(F.xxhash64(key), F.lit(2**30))).otherwise(0)
-    probe = wide.withColumn("_salt", salt).withColumn(
-        "_value", F.when(known, 0.0).otherwise(F.col(column))
-    )
-    table = rare.select(
-        F.lit(0).cast("bigint").alias("_salt"), F.col("value").alias("_value"), "rank"
-    )
-    return (
-        probe.join(table, ["_salt", "_value"], "left")
-        .withColumn(f"rank_{column}", F.coalesce(f"rank_{column}", "rank"))
-        .drop("_salt", "_value", "rank")
-    )
-
-
-def attach_ranks(
-    df: DataFrame, columns: Sequence[str], key: str, rank: str = "avg_rank"
-) -> DataFrame:
-    """``(key, <column> ...)`` with every value replaced by its rank; nulls stay null.
-
-    Values that hold more than a thousandth of a column's rows (fewer than 1,000 per column) are looked up
-    by broadcast, so no join key is hot and a column of few values needs no shuffle at all. The other values
-    meet their rank in a shuffle join: for up to ``JOINED_COLUMNS`` columns whole rows are joined one column
-    after the other, beyond that all values at once, with one aggregation by ``key`` to reassemble the
-    rows. ``key`` must be unique.
-    """
-    ranks = stage(value_ranks(df, columns), "ranks")
-    hot = F.col("t") * HOT_SHARE > F.col("n")
-    rare = ranks.where(~hot).select("feature", "value", F.col(rank).alias("rank"))
-    rare_columns = {r["feature"] for r in rare.select("feature").distinct().collect()}
-    wide = df.select(key, *[clean_double(c).alias(c) for c in columns])
-    for c in columns:
-        frequent = ranks.where(hot & (F.col("feature") == c))
-        found = frequent.select(F.col("value").alias(c), F.col(rank).alias(f"rank_{c}"))
-        wide = wide.join(F.broadcast(found), c, "left")
-    left = [c for c in columns if c in rare_columns]
-    if len(left) <= JOINED_COLUMNS:
-        for c in left:
-            wide = _join_rare(wide, rare.where(F.col("feature") == c), c, key)
-    known = wide.select(key, *[F.col(f"rank_{c}").cast("double").alias(c) for c in columns])
-    if len(left) <= JOINED_COLUMNS:
-        return known
-    unknown = melt(
-        wide.select(key, *[F.when(F.col(f"rank_{c}").isNull(), F.col(c)).alias(c) for c in left]),
-        [key],
-        left,
-    )
-    looked_up = unknown.where(F.col("value").isNotNull()).join(rare, ["feature", "value"])
-    placed = looked_up.select(
-        key,
-        *[F.when(F.col("feature") == c, F.col("rank")).cast("double").alias(c) for c in columns],
-    )
-    return known.unionByName(placed).groupBy(key).agg(*[F.max(c).alias(c) for c in columns])
-
-
-def _has_nulls(df: DataFrame, columns: Sequence[str]) -> bool:
-    counts = df.agg(*[F.count_if(clean_double(c).isNull()).alias(c) for c in columns]).first()
-    return any(counts[c] for c in columns)
-
-
-def spearman_pairs(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
-    """``(col_a, col_b, n, r)``: Pearson's r of average ranks.
-
-    Without nulls each column is ranked once. With nulls each pair is ranked on its own common rows.
-    """
-    columns = list(columns)
-    if not _has_nulls(df, columns):
-        return pearson_pairs(attach_ranks(df, columns, key), columns, centre=False)
-    masked, pairs = [F.col(key)], []
-    for i, a in enumerate(columns):
-        for j in range(i + 1, len(columns)):
-            both = clean_double(a).isNotNull() & clean_double(columns[j]).isNotNull()
-            masked.append(F.when(both, clean_double(a)).alias(f"p{i}_{j}_a"))
-            masked.append(F.when(both, clean_double(columns[j])).alias(f"p{i}_{j}_b"))
-            pairs.append((f"p{i}_{j}_a", f"p{i}_{j}_b", a, columns[j]))
-    wide = df.select(*masked)
-    names = [n for p in pairs for n in p[:2]]
-    found = pearson_pairs(attach_ranks(wide, names, key), names, centre=False)
-    wanted = df.sparkSession.createDataFrame(
-        pairs, "side_a string, side_b string, name_a string, name_b string"
-    )
-    return found.join(
-        F.broadcast(wanted),
-        (F.col("col_a") == F.col("side_a")) & (F.col("col_b") == F.col("side_b")),
-    ).select(F.col("name_a").alias("col_a"), F.col("name_b").alias("col_b"), "n", "r")
-
-
-def kendall_pairs(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
-    """``(col_a, col_b, n, r)``: exact tau-b of all pairs, without comparing rows pairwise.
-
-    The dense rank of ``col_a`` is read as a binary number. At each of its bits, two rows that agree on all
-    higher bits and differ in this one are ordered by ``col_a``; whether ``col_b`` orders them the same way
-    is a two-class rank count between bit 0 and bit 1. Every untied pair is counted at exactly one bit, so
-    the counts add up to concordant minus discordant. Equal (rank, rank) cells collapse first, and the
-    column with fewer distinct values of a pair is the one that is read bit by bit.
-    """
-    columns = list(columns)
-    pair = ["col_a", "col_b"]
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("col_a"),
-                F.lit(b).alias("col_b"),
-                F.col(a).cast("bigint").alias("ra"),
-                F.col(b).cast("bigint").alias("rb"),
-            )
-            for i, a in enumerate(columns)
-            for b in columns[i + 1 :]
-        ]
-    )
-    cells = stage(
-        attach_ranks(df, columns, key, "dense_rank")
-        .select(F.inline(pairs))
-        .where(F.col("ra").isNotNull() & F.col("rb").isNotNull())
-        .groupBy(*pair, "ra", "rb")
-        .agg(F.count(F.lit(1)).alias("c")),
-        "cells",
-    )
-    sizes = cells.groupBy(*pair).agg(
-        F.sum("c").alias("n"), F.max("ra").alias("top_a"), F.max("rb").alias("top_b")
-    )
-
-    def ties(side: str) -> DataFrame:
-        grouped = cells.groupBy(*pair, side).agg(F.sum("c").cast("double").alias("t"))
-        tied = F.sum(F.col("t") * (F.col("t") - 1.0) / 2.0)
-        return grouped.groupBy(*pair).agg(tied.alias(f"ties_{side}"))
-
-    buckets = bucket_count(df)
-    fewer = F.col("top_a") <= F.col("top_b")
-    oriented = cells.join(F.broadcast(sizes), pair).select(
-        *pair,
-        "c",
-        F.least("top_a", "top_b").alias("top"),
-        F.greatest("top_a", "top_b").alias("top_other"),
-        F.when(fewer, F.col("ra")).otherwise(F.col("rb")).alias("rank"),
-        F.when(fewer, F.col("rb")).otherwise(F.col("ra")).alias("other"),
-    )
-    bits = F.ceil(F.log2(F.col("top") + 1.0)).cast("int")
-    levels = F.when(F.col("top") > 0, F.sequence(F.lit(0), bits - 1))
-    bucket = F.floor(F.col("other") * buckets / (F.col("top_other") + 1.0)).cast("int")
-    group = [*pair, "level", "prefix"]
-    counts = (
-        oriented.select(
-            *pair, "rank", "other", "c", bucket.alias("bucket"), F.explode(levels).alias("level")
-        )
-        .withColumn("bit", F.expr("shiftright(rank, level) & 1"))
-        .withColumn("prefix", F.expr("shiftright(rank, level + 1)"))
-        .groupBy(*group, "bucket", "other")
-        .agg(
-            F.sum(F.when(F.col("bit") == 0, F.col("c")).otherwise(0)).alias("low"),
-            F.sum(F.when(F.col("bit") == 1, F.col("c")).otherwise(0)).alias("high"),
-        )
-    )
-    ranked = running_counts(counts, group, ["bucket"], ["low", "high"], "other")
-    above = F.col("total_low") - F.col("before_low") - F.col("low")
-    score = F.sum(F.col("high").cast("double") * (F.col("before_low") - above).cast("double"))
-    scores = ranked.groupBy(*pair).agg(score.alias("score"))
-    n = F.col("n").cast("double")
-    possible = n * (n - 1.0) / 2.0
-    untied = (possible - F.col("ties_ra")) * (possible - F.col("ties_rb"))
-    out = sizes
-    for part in (ties("ra"), ties("rb"), scores):
-        out = out.join(F.broadcast(part), pair, "left")
-    return out.select(
-        *pair, "n", F.when(untied > 0, F.try_divide(F.col("score"), F.sqrt(untied))).alias("r")
-    )
-
-
 def correlation_pairs(
-    df: DataFrame, columns: Sequence[str], method: str = "pearson", key: str | None = None
+    df: DataFrame, columns: Sequence[str], method: str = "pearson", key: str | None = None, group: str | None = None
 ) -> DataFrame:
-    """``(col_a, col_b, n, r)`` by ``method``; the rank methods need a unique ``key``."""
+    """``([group,] col_a, col_b, n, r)`` by ``method``, inside each class of ``group``; the rank methods need a unique ``key``."""
     if method == "pearson":
-        return pearson_pairs(df, columns)
+        return pearson_pairs(df, columns, group)
     if method not in METHODS:
         raise ValueError(f"unknown method: {method}")
     if key is None:
         raise ValueError(f"{method} needs a unique key column")
-    return (spearman_pairs if method == "spearman" else kendall_pairs)(df, columns, key)
+    return (spearman_pairs if method == "spearman" else kendall_pairs)(df, columns, key, group)
 
 
 def kendall_with_label(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -338,41 +134,70 @@ def spearman_with_label(df: DataFrame, features: Sequence[str], label: str) -> D
     return stats.select("feature", F.when(rank_spread > 0, rho).alias("r"))
 
 
+def _numbered(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns with a row number as key, staged so that every reader sees the same numbers."""
+    chosen = [F.col(f"`{c}`") for c in dict.fromkeys(columns)]
+    return stage(df.select(F.monotonically_increasing_id().alias("_row"), *chosen), "ranked-target")
+
+
+def _classes(df: DataFrame, group: str, features: Sequence[str]) -> DataFrame:
+    """``(class, feature, ordinal)``: every feature in every class; rows without a class make none."""
+    listed = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(i).alias("ordinal")) for i, f in enumerate(features)])
+    found = df.where(F.col(f"`{group}`").isNotNull()).select(F.col(f"`{group}`").alias("class")).distinct()
+    return found.select("class", F.inline(listed))
+
+
 def target_correlations(
-    df: DataFrame, features: Sequence[str], target: str, method: str = "pearson"
+    df: DataFrame, features: Sequence[str], target: str, method: str = "pearson", group: str | None = None
 ) -> DataFrame:
-    """``(feature, r)`` of every feature with the target; no feature pairs are formed.
+    """``([class,] feature, r)`` of every feature with the target; no feature pairs are formed.
 
-    Rank methods use closed forms for a target of 0 and 1; any other numeric target is ranked as well, feature by
-    feature. A feature without a defined correlation gets NULL.
+    Rank methods use closed forms for a target of 0 and 1; any other numeric target is ranked once, together with
+    all features. With ``group`` each class of that column is looked at by itself. A feature without a defined
+    correlation gets NULL; inside a class of the target itself that is every feature.
     """
     if method not in ("pearson", *METHODS):
         raise ValueError(f"unknown method: {method}")
+    if group == target:
+        return _classes(df, group, features).select("class", "feature", F.lit(None).cast("double").alias("r"))
     if method != "pearson":
-        other = df.where(F.col(target).isNotNull() & ~F.col(target).isin(0, 1)).isEmpty()
-        if other:
+        binary = not group and df.where(F.col(target).isNotNull() & ~F.col(target).isin(0, 1)).isEmpty()
+        if binary:
             closed = kendall_with_label if method == "kendall" else spearman_with_label
             return every_feature(df, features, closed(df, features, target))
-        rows = stage(df.select(F.monotonically_increasing_id().alias("_row"), target, *features), "ranked-target")
-        pairs = [correlation_pairs(rows, [f, target], method, "_row") for f in features]
-        found = reduce(DataFrame.unionByName, pairs).select(F.col("col_a").alias("feature"), "r")
-        return every_feature(df, features, found)
-    y = clean_double(target)
-    wide = df.select(y.alias("_y"), *[clean_double(f).alias(f) for f in features])
-    long = melt(wide.where(F.col("_y").isNotNull()), ["_y"], features)
-    sums = (
-        long.where(F.col("value").isNotNull())
-        .groupBy("feature")
-        .agg(
-            F.covar_pop("value", "_y").alias("c"),
-            F.stddev_pop("value").alias("sx"),
-            F.stddev_pop("_y").alias("sy"),
-            (F.max("value") > F.min("value")).alias("vx"),
-            (F.max("_y") > F.min("_y")).alias("vy"),
+        rows = _numbered(df, *features, target, *([group] if group else []))
+        pairs = (spearman_pairs if method == "spearman" else kendall_pairs)(rows, [*features, target], "_row", group, target)
+        found = pairs.withColumnRenamed("col_a", "feature")
+    else:
+        y = clean_double(target)
+        by = ["class"] if group else []
+        own = [F.col(f"`{group}`").alias("class")] if group else []
+        wide = df.select(*own, y.alias("_y"), *[clean_double(f).alias(f) for f in features])
+        long = melt(wide.where(F.col("_y").isNotNull()), [*by, "_y"], features)
+        sums = (
+            long.where(F.col("value").isNotNull())
+            .groupBy(*by, "feature")
+            .agg(
+                F.covar_pop("value", "_y").alias("c"),
+                F.stddev_pop("value").alias("sx"),
+                F.stddev_pop("_y").alias("sy"),
+                (F.max("value") > F.min("value")).alias("vx"),
+                (F.max("_y") > F.min("_y")).alias("vy"),
+            )
         )
-    )
-    r = F.try_divide(F.col("c"), F.col("sx") * F.col("sy"))
-    return every_feature(df, features, sums.select("feature", F.when(F.col("vx") & F.col("vy"), r).alias("r")))
+        r = F.try_divide(F.col("c"), F.col("sx") * F.col("sy"))
+        found = sums.withColumn("r", F.when(F.col("vx") & F.col("vy"), r))
+    if not group:
+        return every_feature(df, features, found.select("feature", "r"))
+    found = found.withColumnRenamed(group, "class").select("class", "feature", "r")
+    return _classes(df, group, features).join(found, ["class", "feature"], "left").select("class", "feature", "r")
+
+
+def _class_column(df: DataFrame, target: str, per_class: bool | str) -> str | None:
+    validate_frame(df, [target, *([per_class] if isinstance(per_class, str) else [])])
+    if target not in numeric_columns(df):
+        raise ValueError(f"target column '{target}' must be numeric")
+    return per_class if isinstance(per_class, str) else target if per_class else None
 
 
 def top_correlations(
@@ -383,17 +208,39 @@ def top_correlations(
     method: str = "pearson",
     positive_only: bool = False,
     negative_only: bool = False,
+    per_class: bool | str = False,
 ) -> DataFrame:
-    """The ``top_n`` features by |r| with the target, sign kept; ties in order of the name."""
-    validate_frame(df, [target])
-    if target not in numeric_columns(df):
-        raise ValueError(f"target column '{target}' must be numeric")
-    found = target_correlations(df, features, target, method).where(F.col("r").isNotNull())
+    """The ``top_n`` features by |r| with the target, sign kept; ties in order of the name.
+
+    With ``per_class`` a table ``(class, feature, r)`` of the top features inside each class: the classes of the target
+    (True) or of another column (its name). Features without a correlation come last there, in their own order; inside
+    a class of the target these are all, as the target is constant.
+    """
+    group = _class_column(df, target, per_class)
+    found = target_correlations(df, features, target, method, group)
     if positive_only:
         found = found.where(F.col("r") > 0)
     elif negative_only:
         found = found.where(F.col("r") < 0)
-    return found.orderBy(F.desc(F.abs("r")), "feature").limit(top_n)
+    if not group:
+        return found.where(F.col("r").isNotNull()).orderBy(F.desc(F.abs("r")), "feature").limit(top_n)
+    order = F.create_map(*[F.lit(x) for pair in zip(features, range(len(features))) for x in pair])
+    late = F.when(F.col("r").isNull(), F.element_at(order, F.col("feature")))
+    best = Window.partitionBy("class").orderBy(F.desc_nulls_last(F.abs("r")), late, "feature")
+    return found.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= top_n).drop("_place")
+
+
+def _with_itself(df: DataFrame, columns: Sequence[str], group: str, method: str) -> DataFrame:
+    """``(class, col_a, col_b, r)`` of each column with itself: 1, for Pearson and Spearman NULL where it is constant."""
+    wide = df.where(F.col(f"`{group}`").isNotNull()).select(
+        F.col(f"`{group}`").alias("class"), *[clean_double(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)]
+    )
+    spans = wide.groupBy("class").agg(
+        *[(F.max(f"c{i}") > F.min(f"c{i}")).alias(f"c{i}") for i in range(len(columns))]
+    )
+    one = lambda i: F.lit(1.0) if method == "kendall" else F.when(F.col(f"c{i}"), 1.0)
+    cells = [F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"), one(i).alias("r")) for i, c in enumerate(columns)]
+    return spans.select("class", F.inline(F.array(*cells)))
 
 
 def correlation_submatrix(
@@ -405,17 +252,38 @@ def correlation_submatrix(
     key: str | None = None,
     positive_only: bool = False,
     negative_only: bool = False,
+    per_class: bool | str = False,
 ) -> DataFrame:
-    """``(col_a, col_b, r)``: full square matrix of the top features and the target."""
-    top = top_correlations(df, features, target, top_n, method, positive_only, negative_only)
-    chosen = {r["feature"] for r in top.select("feature").collect()}
-    columns = [f for f in features if f in chosen] + [target]
-    upper = correlation_pairs(df, columns, method, key).select("col_a", "col_b", "r")
-    lower = upper.select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r")
-    own = feature_list(df, columns).select(
-        F.col("feature").alias("col_a"), F.col("feature").alias("col_b"), F.lit(1.0).alias("r")
-    )
-    return upper.unionByName(lower).unionByName(own)
+    """``([class,] col_a, col_b, r)``: full square matrix of the top features and the target.
+
+    With ``per_class`` one matrix for each class, with the features that ``top_correlations`` gives there; nothing about
+    the classes reaches the driver. Inside a class of the target the columns are the first ``top_n`` features and the
+    target, whose correlations are NULL.
+    """
+    group = _class_column(df, target, per_class)
+    top = top_correlations(df, features, target, top_n, method, positive_only, negative_only, per_class)
+    if not group:
+        chosen = {r["feature"] for r in top.select("feature").collect()}
+        columns = [f for f in features if f in chosen] + [target]
+        upper = correlation_pairs(df, columns, method, key).select("col_a", "col_b", "r")
+        lower = upper.select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r")
+        own = feature_list(df, columns).select(
+            F.col("feature").alias("col_a"), F.col("feature").alias("col_b"), F.lit(1.0).alias("r")
+        )
+        return upper.unionByName(lower).unionByName(own)
+    columns = [*features, target]
+    if group == target:
+        columns = [*([] if positive_only or negative_only else features[:top_n]), target]
+    by_class = df.withColumn("_class", F.col(f"`{group}`"))
+    pairs = correlation_pairs(by_class, columns, method, key, "_class").withColumnRenamed("_class", "class")
+    upper = pairs.select("class", "col_a", "col_b", "r")
+    lower = upper.select("class", F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r")
+    cells = upper.unionByName(lower).unionByName(_with_itself(by_class, columns, "_class", method))
+    if group == target:
+        return cells
+    kept = top.select("class", "feature").unionByName(_classes(by_class, "_class", [target]).select("class", "feature"))
+    left, right = kept.withColumnRenamed("feature", "col_a"), kept.withColumnRenamed("feature", "col_b")
+    return cells.join(left, ["class", "col_a"]).join(right, ["class", "col_b"]).select("class", "col_a", "col_b", "r")
 
 
 def redundant_pairs(df: DataFrame, columns: Sequence[str], threshold: float = 0.9) -> DataFrame:

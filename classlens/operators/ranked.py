@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from classlens.functions.numeric import clean_double
@@ -26,24 +26,33 @@ def bucket_count(df: DataFrame) -> int:
     return min(MAX_BUCKETS, 1 << max(0, (partitions - 1).bit_length()))
 
 
+def cut_columns(features: Sequence[str], buckets: int) -> list[Column]:
+    """Aggregates, one per feature and named like it, that give ``buckets - 1`` ascending cuts."""
+    probs = [i / buckets for i in range(1, buckets)]
+    size = max(200, 4 * buckets)
+
+    def quantiles(feature: str) -> Column:
+        if not probs:
+            return F.max(F.lit(None).cast("array<double>")).alias(feature)
+        sketch = F.kll_sketch_agg_double(clean_double(feature), F.lit(size))
+        found = F.kll_sketch_get_quantile_double(sketch, F.lit(probs))
+        return F.when(F.count(clean_double(feature)) > 0, found).alias(feature)
+
+    return [quantiles(f) for f in features]
+
+
+def cuts_table(spark: SparkSession, features: Sequence[str], row: Row, buckets: int) -> DataFrame:
+    """Table ``(feature, cuts)`` from the row of ``cut_columns``: one row per feature."""
+    rows = [(f, row[f] or [0.0] * (buckets - 1)) for f in features]
+    return spark.createDataFrame(rows, "feature string, cuts array<double>")
+
+
 def bucket_cuts(df: DataFrame, features: Sequence[str], buckets: int) -> DataFrame:
     """Table ``(feature, cuts)`` with ``buckets - 1`` ascending cuts: one row per feature.
 
     One pass of mergeable sketches; the driver sees ``buckets - 1`` numbers per feature.
     """
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = {f: None for f in features}
-    if probs:
-        size = max(200, 4 * buckets)
-
-        def quantiles(feature: str) -> Column:
-            sketch = F.kll_sketch_agg_double(clean_double(feature), F.lit(size))
-            found = F.kll_sketch_get_quantile_double(sketch, F.lit(probs))
-            return F.when(F.count(clean_double(feature)) > 0, found).alias(feature)
-
-        cuts = df.agg(*[quantiles(f) for f in features]).first().asDict()
-    rows = [(f, cuts[f] or [0.0] * len(probs)) for f in features]
-    return df.sparkSession.createDataFrame(rows, "feature string, cuts array<double>")
+    return cuts_table(df.sparkSession, features, df.agg(*cut_columns(features, buckets)).first(), buckets)
 
 
 def with_bucket(counts: DataFrame, cuts: DataFrame, buckets: int) -> DataFrame:
