@@ -1,13 +1,16 @@
 """Multiple-testing correction of a table of p-values (one row per test).
 
 The table has one row per feature, so ordering it inside one window per family is bounded by the width
-of the feature table. NULL p-values stay NULL and are not counted as tests.
+of the feature table; Hommel's procedure takes a family as one group for the same reason. NULL p-values stay NULL and are not counted as tests.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 METHODS = (
     "bonferroni",
@@ -49,24 +52,91 @@ def _sidak(p: Column, tests: Column) -> Column:
     return F.when(p >= 1.0, 1.0).otherwise(-F.expm1(tests * F.log1p(-F.least(p, F.lit(1.0 - 1e-16)))))
 
 
-def _smallest(ps: Column) -> Column:
-    """For j = 1 .. m the least j p_(m-j+k) / k over k = 1 .. j, from the ascending p-values of a family."""
-    m = F.size(ps)
+def _tangents(p: np.ndarray) -> np.ndarray:
+    """For j = 1 .. m the least j p_(m-j+k) / k over k = 1 .. j, of ascending p-values, in O(m log m).
 
-    def least(j: Column) -> Column:
-        return F.array_min(
-            F.transform(F.sequence(F.lit(1), j), lambda k: j.cast("double") * F.element_at(ps, m - j + k) / k)
-        )
-
-    return F.transform(F.sequence(F.lit(1), m), least)
-
-
-def _hommel(own: Column, smallest: Column, i: Column, m: Column) -> Column:
-    """Hommel's closure for one p-value of 1-based rank ``i``."""
-    raised = F.transform(
-        smallest, lambda s, j: F.when(i > m - (j + 1), s).otherwise(F.least((j + 1) * own, s))
-    )
-    return F.greatest(own, F.array_max(raised))
+    ``p_(r) / (r - t)`` with t = m - j is the slope from the point (t, 0) to (r, p_(r)). The least slope touches the lower
+    convex hull of the points to the right of t. Taking t down from m - 1 adds one point at a time on the left, so the
+    hull is a stack, and the touching point is found by bisection: slopes seen from (t, 0) fall up to it and then rise.
+    """
+    m = len(p)
+    y = p.tolist()
+    hull: list[int] = []  # 1-based ranks from right to left
+    out = np.empty(m)
+    for t in range(m - 1, -1, -1):
+        r = t + 1
+        while len(hull) > 1:
+            a, b = hull[-1], hull[-2]
+            if (y[a - 1] - y[r - 1]) * (b - r) >= (y[b - 1] - y[r - 1]) * (a - r):
+                hull.pop()
+            else:
+                break
+        hull.append(r)
+        low, high = 0, len(hull) - 1  # places in the stack: the wanted one is the leftmost minimum of a valley
+        while low < high:
+            mid = (low + high) // 2
+            a, b = hull[mid], hull[mid + 1]
+            if y[a - 1] * (b - t) <= y[b - 1] * (a - t):
+                high = mid
+            else:
+                low = mid + 1
+        out[m - t - 1] = (m - t) * y[hull[low] - 1] / (hull[low] - t)
+    return out
+
+
+def hommel(p: np.ndarray) -> np.ndarray:
+    """Hommel's closed testing procedure for p-values in any order, in O(m log m).
+
+    With s_j from ``_tangents``, the i-th smallest p becomes the largest of p, of s_j over j > m - i, and of
+    min(j p, s_j) over j <= m - i. In the last term s_j may be replaced by its maximum from j to m - i; j p then rises and
+    the other falls, so bisection finds where they cross, with a table of maxima over stretches of doubling length.
+    """
+    m = len(p)
+    if m < 2:
+        return np.minimum(p, 1.0)
+    order = np.argsort(p, kind="stable")
+    y = p[order]
+    s = _tangents(y)
+    tables = [s]
+    while 2 << (len(tables) - 1) <= m:
+        half, last = 1 << (len(tables) - 1), tables[-1]
+        tables.append(np.maximum(last[:-half], last[half:]))
+    width = max(map(len, tables))
+    table = np.stack([np.pad(x, (0, width - len(x))) for x in tables])
+
+    def highest(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Largest s_j for j from ``first`` to ``last``, 0-based and inclusive."""
+        k = np.floor(np.log2(last - first + 1)).astype(int)
+        return np.maximum(table[k, first], table[k, last - (1 << k) + 1])
+
+    i = np.arange(1, m + 1)
+    above = np.maximum.accumulate(s[::-1])[::-1]
+    out = np.maximum(y, above[m - i])
+    some = i < m
+    low, high, own = np.zeros(some.sum(), int), (m - i[some]) - 1, y[some]
+    last = high.copy()
+    while (low < high).any():  # the first j at which j p is no less than the maximum from there on
+        mid = (low + high) // 2
+        crossed = (mid + 1) * own >= highest(mid, last)
+        low, high = np.where(crossed, low, np.minimum(mid + 1, high)), np.where(crossed, mid, high)
+    best = np.minimum((low + 1) * own, highest(low, last))
+    before = np.maximum(low - 1, 0)
+    best = np.maximum(best, np.minimum((before + 1) * own, highest(before, last)))
+    out[some] = np.maximum(out[some], best)
+    result = np.empty(m)
+    result[order] = np.minimum(out, 1.0)
+    return result
+
+
+def _hommel_rows(p: str):
+    def run(rows: pa.Table) -> pa.Table:
+        values = rows.column(p).cast(pa.float64()).to_numpy(zero_copy_only=False)
+        tested = ~np.isnan(values)
+        values = values.copy()
+        values[tested] = hommel(values[tested])
+        return rows.append_column("p_adjusted", pa.array(values, pa.float64(), mask=~tested))
+
+    return run
 
 
 def adjust_pvalues(
@@ -84,6 +154,10 @@ def adjust_pvalues(
     method = ALIASES.get(method, method)
     if method not in METHODS:
         return df.withColumn("p_adjusted", F.col(p)).withColumn("corrected", F.lit(False))
+    if method == "hommel":
+        schema = StructType([*df.schema.fields, StructField("p_adjusted", DoubleType())])
+        families = df.groupBy(*([family] if family else []))
+        return families.applyInArrow(_hommel_rows(p), schema)
     group = F.struct(
         F.col(p).isNotNull().alias("tested"),
         (F.col(family) if family else F.lit(1)).alias("family"),
@@ -113,12 +187,6 @@ def adjust_pvalues(
         adjusted = step_down(_sidak(raw, left))
     elif method == "simes-hochberg":
         adjusted = step_up(raw * left)
-    elif method == "hommel":
-        families = df.where(raw.isNotNull()).groupBy((F.col(family) if family else F.lit(1)).alias("_family"))
-        families = families.agg(F.sort_array(F.collect_list(raw)).alias("_ps"))  # one value per test
-        families = families.select("_family", _smallest(F.col("_ps")).alias("_smallest"))
-        work = work.join(families, group["family"].eqNullSafe(F.col("_family")), "left")
-        adjusted = _hommel(raw, F.col("_smallest"), i, m)
     elif method == "fdr_gbs":
         work = work.withColumn("_q", step_down(F.try_divide(left / i * raw, 1.0 - raw)))
         adjusted = step_up(F.col("_q"))
