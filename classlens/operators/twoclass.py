@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from classlens.functions.tails import kolmogorov_tail, normal_two_sided, student_two_sided
+from classlens.operators.exact_tests import exact_ks, exact_mannwhitney
 from classlens.operators.longform import every_feature, feature_list, long_form
 from classlens.operators.ranked import rank_statistics, ranked_values
 
@@ -104,31 +105,34 @@ def with_ttest(moments: DataFrame, equal_var: bool = False) -> DataFrame:
     )
 
 
-def feature_tests(df: DataFrame, features: Sequence[str], label: str, method: str) -> DataFrame:
-    """``(feature, p_value)`` of one test for every feature with at least one value."""
+def feature_tests(df: DataFrame, features: Sequence[str], label: str, method: str, exact: bool = False) -> DataFrame:
+    """``(feature, p_value)`` of one test for every feature with at least one value; ``exact`` as in ``feature_separation``."""
     if method == "ttest":
         tested = with_ttest(class_moments(df, features, label))
         return tested.select("feature", F.col("p_ttest").alias("p_value"))
     stats = rank_statistics(ranked_values(df, features, label))
     if method == "mannwhitney":
-        return with_mannwhitney(stats).select("feature", F.col("p_mannwhitney").alias("p_value"))
+        tested = exact_mannwhitney(with_mannwhitney(stats)) if exact else with_mannwhitney(stats)
+        return tested.select("feature", F.col("p_mannwhitney").alias("p_value"))
     if method == "ks":
-        return with_ks(stats).select("feature", F.col("p_ks").alias("p_value"))
+        tested = exact_ks(with_ks(stats)) if exact else with_ks(stats)
+        return tested.select("feature", F.col("p_ks").alias("p_value"))
     raise ValueError(f"unknown method: {method}")
 
 
 def feature_separation(
-    df: DataFrame, features: Sequence[str], label: str, method: str = "mannwhitney"
+    df: DataFrame, features: Sequence[str], label: str, method: str = "mannwhitney", exact: bool = False
 ) -> DataFrame:
     """``(feature, p_value, method)``, one row per requested feature.
 
-    A feature without values, and every feature under an unknown method, gets a NULL p-value.
+    A feature without values, and every feature under an unknown method, gets a NULL p-value. ``exact`` takes exact
+    p-values for small classes: Mann-Whitney with at most 8 values in one class and no ties, KS with at most 10,000 in each.
     """
     names = feature_list(df, features)
     if method not in METHODS:
         tested = names.select("feature", F.lit(None).cast("double").alias("p_value"))
     else:
-        tests = feature_tests(df, features, label, method)
+        tests = feature_tests(df, features, label, method, exact)
         tested = names.join(F.broadcast(tests), "feature", "left")
     return tested.select("feature", "p_value", F.lit(method).alias("method"))
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from classlens.operators.exact_tests import exact_ks, exact_mannwhitney
 from classlens.operators.histogram import js_divergence, significance_stars
 from classlens.operators.longform import feature_list, validate_frame
 from classlens.operators.ranked import rank_statistics, ranked_values
@@ -27,6 +28,7 @@ def separation_summary(
     method: str = "mannwhitney",
     bins: int = 50,
     binning: str = "own",
+    exact: bool = False,
 ) -> DataFrame:
     """``(feature, auc, effect_size, p_value, stars, js_divergence)``; constant features are left out.
 
@@ -41,9 +43,11 @@ def separation_summary(
     if method == "ttest":
         moments = with_ttest(moments).withColumnRenamed("p_ttest", "p_value")
     elif method == "ks":
-        ranks = with_ks(ranks).withColumnRenamed("p_ks", "p_value")
+        ranks = exact_ks(with_ks(ranks)) if exact else with_ks(ranks)
+        ranks = ranks.withColumnRenamed("p_ks", "p_value")
     else:
-        ranks = with_mannwhitney(ranks).withColumnRenamed("p_mannwhitney", "p_value")
+        ranks = exact_mannwhitney(with_mannwhitney(ranks)) if exact else with_mannwhitney(ranks)
+        ranks = ranks.withColumnRenamed("p_mannwhitney", "p_value")
     return (
         feature_list(df, features)
         .join(F.broadcast(ranks), "feature")
