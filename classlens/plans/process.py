@@ -88,13 +88,14 @@ def process_cached(
     base: str,
     key: str | None = None,
     clean_first: bool = True,
+    fit_on: str = "all",
 ) -> tuple[DataFrame, DataFrame]:
-    """``process`` with its result stored under ``base``, keyed by parameters and table content."""
+    """``process`` with its result stored under ``base``, keyed by all arguments and the table's content."""
     spark = df.sparkSession
-    entry = sinks.cache_key(df, params)
+    entry = sinks.cache_key(df, params, key=key, clean_first=clean_first, fit_on=fit_on)
     found = sinks.load_from_cache(spark, base, entry) if params.use_cache else None
     if found is None:
-        splits, fitted = process(df, params, key, clean_first)
+        splits, fitted = process(df, params, key, clean_first, fit_on)
         sinks.save_to_cache(base, entry, splits, fitted, params)
         found = sinks.load_from_cache(spark, base, entry)
     return found

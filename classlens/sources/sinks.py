@@ -40,24 +40,31 @@ def read_params(spark: SparkSession, path: str) -> DataFrame:
     return read_parquet(spark, path)
 
 
-def cache_key(df: DataFrame, params: JobParams) -> str:
-    """Key of a cached result: the parameters and the content of the whole input table."""
+def cache_key(df: DataFrame, params: JobParams, **arguments: object) -> str:
+    """Key of a cached result: the parameters, every other argument of the job and the content of the whole input table."""
     content = fingerprint(df).select("fingerprint").first()[0]
-    return hashlib.md5(f"{params.to_json()}|{content}".encode()).hexdigest()
+    given = json.dumps(arguments, sort_keys=True)
+    return hashlib.md5(f"{params.to_json()}|{given}|{content}".encode()).hexdigest()
+
+
+_METADATA = "created_at string, config string, features string"
 
 
 def save_to_cache(
     base: str, key: str, splits: DataFrame, fitted: DataFrame, params: JobParams
 ) -> str:
-    """Write splits, fitted parameters and, last, the metadata that marks the entry as complete."""
+    """Write splits, fitted parameters and, last, the metadata that marks the entry as complete.
+
+    The mark of an older entry goes first, so that a reader never takes a half-written entry for a complete one.
+    """
     path = f"{base.rstrip('/')}/processed_{key}"
     spark = splits.sparkSession
+    spark.createDataFrame([], _METADATA).write.mode("overwrite").json(f"{path}/metadata")
     splits.write.mode("overwrite").partitionBy("split").parquet(f"{path}/splits")
     write_params(fitted, f"{path}/params")
-    features = [r["feature"] for r in fitted.select("feature").collect()]  # one per feature column
+    features = [r["feature"] for r in fitted.where("kept").select("feature").collect()]  # one per feature column
     row = (datetime.now(timezone.utc).isoformat(), params.to_json(), json.dumps(features))
-    metadata = spark.createDataFrame([row], "created_at string, config string, features string")
-    metadata.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+    spark.createDataFrame([row], _METADATA).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
     return path
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -149,6 +150,26 @@ def test_cache(spark, table):
     assert sinks.cache_key(df, params.with_changes(seed=1)) != key
 
 
+def test_cache_knows_every_argument(spark, table):
+    """Results of other arguments are not taken for those asked for, and a half-written entry is none."""
+    df, _, _ = table
+    params, base = JobParams(target="y"), shared_folder(spark, "cache-arguments")
+    doubled = df.drop("k").unionByName(df.drop("k").limit(40))
+    cleaned, _ = process_cached(doubled, params, base)
+    kept, _ = process_cached(doubled, params, base, clean_first=False)
+    assert kept.count() == doubled.count() > cleaned.count()
+    _, everything = process_cached(df, params, base, "k")
+    _, train = process_cached(df, params, base, "k", fit_on="train")
+    assert everything.where("feature = 'a'").first()["center"] != train.where("feature = 'a'").first()["center"]
+    entry = sinks.cache_key(df, params, key="k", clean_first=True, fit_on="all")
+    assert sinks.load_from_cache(spark, base, entry) is not None
+    metadata = spark.read.json(f"{base}/processed_{entry}/metadata").first()
+    fitted = sinks.load_from_cache(spark, base, entry)[1]
+    assert json.loads(metadata["features"]) == [r["feature"] for r in fitted.where("kept").collect()]
+    spark.createDataFrame([], "created_at string").write.mode("overwrite").json(f"{base}/processed_{entry}/metadata")
+    assert sinks.load_from_cache(spark, base, entry) is None
+
+
 def test_params_roundtrip(spark, table):
     df, _, _ = table
     path = shared_folder(spark, "params-test")
