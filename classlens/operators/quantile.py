@@ -19,31 +19,23 @@ EXACT_BELOW = 2 * ACCURACY
 SUB_BUCKETS = 256
 
 
-def exact_quantiles(
-    long: DataFrame,
-    probs: Sequence[float],
-    keys: Sequence[str] = ("feature",),
-    value: str = "value",
-    exact_below: int = EXACT_BELOW,
-    accuracy: int = ACCURACY,
+def _sketched(source: DataFrame, keys: Sequence[str], marks: Sequence[float], accuracy: int) -> DataFrame:
+    return source.groupBy(*keys).agg(
+        F.count("value").alias("n"),
+        F.percentile_approx("value", F.lit(marks), accuracy).alias("marks"),
+    )
+
+
+def _bracketed(
+    source: DataFrame, keys: list[str], ranks: list[float], margin: float, exact_below: int | None, accuracy: int
 ) -> DataFrame:
-    """``(*keys, n, quantiles)`` with ``quantiles`` an array in the order of ``probs``.
+    """``(*keys, n, a0, b0, a1, b1, ...)``: the order statistics on both sides of each rank; NULL where a bracket missed.
 
-    Linear interpolation between order statistics, nulls ignored; there is one result row per key, so the
-    number of keys must be small (features, or features by class). Keys with at most ``exact_below``
-    values keep all of their values; from there on a bracket of twice the sketch's error on each side
-    holds the wanted rank and its neighbour.
+    Without ``exact_below`` every value is kept.
     """
-    keys, probs = list(keys), list(probs)
-    ranks = sorted(set(probs))
-    margin = 2.0 / accuracy
     marks = [min(max(p + s * margin, 0.0), 1.0) for p in ranks for s in (-1, 1)]
-    source = long.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("value"))
-    sketch = source.groupBy(*keys).agg(
-        F.count("value").alias("n"),
-        F.percentile_approx("value", F.lit(marks), accuracy).alias("marks"),
-    )
-    everything = F.col("n") <= exact_below
+    sketch = _sketched(source, keys, marks, accuracy)
+    everything = F.lit(True) if exact_below is None else F.col("n") <= exact_below
 
     band, low, high = F.lit(2 * len(ranks)), F.lit(None).cast("double"), F.lit(None).cast("double")
     for i in reversed(range(len(ranks))):
@@ -52,30 +44,59 @@ def exact_quantiles(
         band = F.when(below, 2 * i).when(inside, 2 * i + 1).otherwise(band)
         low = F.when(below, F.lit(None)).when(inside, lo).otherwise(low)
         high = F.when(below, F.lit(None)).when(inside, hi).otherwise(high)
+    if exact_below is None:  # spread over the whole range, so that no task sorts all values
+        low, high = F.col("marks")[0], F.col("marks")[2 * len(ranks) - 1]
     place = F.floor(F.try_divide(F.col("value") - low, high - low) * SUB_BUCKETS)
+    sub = F.greatest(F.coalesce(F.least(place, F.lit(SUB_BUCKETS - 1)), F.lit(0)), F.lit(0))
     banded = source.join(F.broadcast(sketch), keys).select(
         *keys,
         F.when(everything, 1).otherwise(band).alias("band"),
-        F.when(everything, 0)
-        .otherwise(F.coalesce(F.least(place, F.lit(SUB_BUCKETS - 1)), F.lit(0)))
-        .alias("sub"),
+        (sub if exact_below is None else F.when(everything, 0).otherwise(sub)).alias("sub"),
         F.when(everything | (band % 2 == 1), F.col("value")).alias("value"),
     )
     counts = banded.groupBy(*keys, "band", "sub", "value").agg(F.count(F.lit(1)).alias("c"))
     ranked = running_counts(counts, keys, ["band", "sub"], ["c"])
 
-    missed = F.raise_error(F.lit("a quantile bracket does not hold its rank"))
-
     def at(rank):
         covers = (F.col("before_c") <= rank) & (rank < F.col("before_c") + F.col("c"))
-        found = F.max(F.when(covers, F.col("value")))
-        return F.when(found.isNull(), missed.cast("double")).otherwise(found)
+        return F.max(F.when(covers, F.col("value")))
 
     picked = []
     for i, p in enumerate(ranks):
         position = (F.col("total_c") - 1).cast("double") * p
         picked += [at(F.floor(position)).alias(f"a{i}"), at(F.ceil(position)).alias(f"b{i}")]
-    found = ranked.groupBy(*keys).agg(F.max("total_c").alias("n"), *picked)
+    return ranked.groupBy(*keys).agg(F.max("total_c").alias("n"), *picked)
+
+
+def exact_quantiles(
+    long: DataFrame,
+    probs: Sequence[float],
+    keys: Sequence[str] = ("feature",),
+    value: str = "value",
+    exact_below: int = EXACT_BELOW,
+    accuracy: int = ACCURACY,
+) -> DataFrame:
+    """``(*keys, n, quantiles)`` with ``quantiles`` an array in the order of ``probs``.
+
+    Linear interpolation between order statistics, nulls ignored; there is one result row per key, so the
+    number of keys must be small (features, or features by class): those rows pass through the driver. Keys with at
+    most ``exact_below`` values keep all of their values; from there on a bracket of twice the sketch's error on each
+    side holds the wanted rank and its neighbour. If one does not, brackets are widened eightfold and the values counted
+    again, in the end with all values inside, so that the result is exact whatever the sketch returns.
+    """
+    keys, probs = list(keys), list(probs)
+    ranks = sorted(set(probs))
+    source = long.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("value"))
+    margin = 2.0 / accuracy
+    while True:
+        found = _bracketed(source, keys, ranks, margin, exact_below if margin < 1.0 else None, accuracy)
+        rows = found.collect()
+        if all(r[f"{side}{i}"] is not None for r in rows for i in range(len(ranks)) for side in "ab"):
+            break
+        if margin >= 1.0:
+            raise AssertionError("a rank is missing among all values")
+        margin *= 8.0
+    found = long.sparkSession.createDataFrame(rows, found.schema)
 
     def interpolate(i: int):
         position = (F.col("n") - 1).cast("double") * ranks[i]

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from classlens.operators import ranked, twoclass
+from classlens.operators import quantile, ranked, twoclass
 from classlens.operators.quantile import exact_quantiles, values_at_ranks
 from classlens.operators.longform import long_form
 
@@ -125,6 +125,27 @@ def test_exact_quantiles(spark, exact_below, accuracy):
         assert r["quantiles"] == pytest.approx(want.tolist(), rel=1e-12, abs=1e-12)
 
 
+@pytest.mark.parametrize("wrong", ["shifted", "narrow", "far"])
+def test_wrong_brackets_are_widened(spark, monkeypatch, wrong):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=3000), np.full(1500, 0.25)])
+    long = spark.createDataFrame([("a", float(v)) for v in x] + [("b", 1.0), ("b", 2.0)], "feature string, value double")
+    tries = []
+
+    def sketch(source, keys, marks, accuracy):
+        tries.append(marks)
+        low = {"shifted": 0.7, "narrow": 0.25, "far": 1e6}[wrong] if len(tries) < 3 else None
+        exact = source.groupBy(*keys).agg(F.count("value").alias("n"), F.percentile_approx("value", F.lit(marks), 10_000).alias("marks"))
+        if wrong != "far" and low is None:
+            return exact
+        return exact.withColumn("marks", F.array(*[F.lit(float(low or 1e6) + i * 1e-9) for i in range(len(marks))]))
+
+    monkeypatch.setattr(quantile, "_sketched", sketch)
+    found = {r["feature"]: r["quantiles"] for r in exact_quantiles(long, [0.1, 0.9], exact_below=0).collect()}
+    assert found["a"] == pytest.approx(np.quantile(x, [0.1, 0.9]).tolist()) and found["b"] == pytest.approx([1.1, 1.9])
+    assert len(tries) > 1
+
+
 def test_small_groups_have_exact_quantiles(spark):
     rows = [("a", 0, 1.0), ("a", 1, 2.0), ("a", 1, 5.0), ("b", 0, None)]
     long = spark.createDataFrame(rows, "feature string, label int, value double")
