@@ -5,20 +5,21 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator, Sequence
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from classlens.functions.numeric import clean_double, hash_digits
-from classlens.operators.longform import every_feature, long_form, melt, spread
+from classlens.operators.longform import every_feature, long_form
 from classlens.operators.quantile import values_at_ranks
 from classlens.operators.ranked import bucket_count, bucket_cuts, running_counts, with_bucket
 
 STATS = ("count", "percent")
 PRIME = 2**31 - 1
-MAX_WEIGHT = 12
 
 
 def _stat_checked(stat: str) -> str:
@@ -81,62 +82,99 @@ def bootstrap_error_simulated(
     return _label_counts(df, column).mapInPandas(draw, "label string, n bigint, error double")
 
 
-def poisson_weight(draw: Column) -> Column:
-    """Poisson(1) weight from a uniform integer in [0, PRIME), by inverting the distribution."""
-    cdf, weight = 0.0, None
-    for k in range(MAX_WEIGHT):
-        cdf += math.exp(-1.0) / math.factorial(k)
-        limit = int(cdf * PRIME)
-        weight = F.when(draw < limit, k) if weight is None else weight.when(draw < limit, k)
-    return weight.otherwise(MAX_WEIGHT)
+#: Counts are split into powers of two; beyond this one a power is drawn from the expansion for large means.
+TABLED_BITS = 16
+#: Weights that a task holds at a time.
+DRAWS = 1 << 19
 
 
-def replicate_draw(coefficients: Sequence[Column], b: Column) -> Column:
-    """Cubic polynomial in the replicate number modulo a prime.
+def poisson_limits(mean: float) -> np.ndarray:
+    """Ascending limits: a uniform integer in [0, PRIME) stands for the Poisson weight that is the number of limits up to it."""
+    reach = 12.0 * math.sqrt(mean) + 30.0
+    first = max(0, math.floor(mean - reach))
+    weights = np.arange(first, math.ceil(mean + reach) + 1)
+    logs = weights * math.log(mean) - mean - np.array([math.lgamma(w + 1.0) for w in weights])
+    cdf = np.minimum(np.cumsum(np.exp(logs)), 1.0)
+    return np.concatenate([np.zeros(first, np.int64), np.floor(cdf * PRIME).astype(np.int64)])
 
-    With coefficients from a row's digest the draws of a row are 4-wise independent over replicates, at
-    the price of one digest per row instead of one per draw.
-    """
-    value = coefficients[0]
-    for c in coefficients[1:]:
-        value = (value * b + c) % PRIME
-    return value
+
+def _large_poisson(mean: float, u: np.ndarray) -> np.ndarray:
+    """Cornish-Fisher inversion for a mean of 2 ** 17 or more, where its error is far below one."""
+    normal = NormalDist()
+    grid = np.linspace(-6.5, 6.5, 4097)
+    z = np.interp((u + 0.5) / PRIME, np.array([normal.cdf(x) for x in grid]), grid)
+    return np.maximum(np.rint(mean + math.sqrt(mean) * z + (z * z - 1.0) / 6.0), 0.0)
+
+
+def _weighted_sums(n_boot: int):
+    """Per task: the weighted sum and the sum of weights of every feature and replicate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, np.ndarray] = {}
+        totals: dict[str, np.ndarray] = {}
+        replicate = np.arange(n_boot, dtype=np.int64)
+        step = max(1, DRAWS // max(n_boot, 1))
+
+        def draws(h: np.ndarray, bit: int) -> np.ndarray:
+            x = replicate + bit * n_boot
+            u = h[:, :1]
+            for i in range(1, 4):
+                u = (u * x + h[:, i : i + 1]) % PRIME
+            if bit > TABLED_BITS:
+                return _large_poisson(2.0**bit, u)
+            if bit not in tables:
+                tables[bit] = poisson_limits(2.0**bit)
+            return np.searchsorted(tables[bit], u, side="right").astype(np.float64)
+
+        for batch in batches:
+            names = batch.column("feature").to_pylist()
+            value, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("value", "c"))
+            h = np.stack([batch.column(f"h{i}").to_numpy(zero_copy_only=False) for i in range(4)], axis=1)
+            feature = np.array(names)
+            for name in dict.fromkeys(names):
+                total = totals.setdefault(name, np.zeros((2, n_boot)))
+                own = np.flatnonzero(feature == name)
+                for bit in range(int(c[own].max()).bit_length()):
+                    some = own[(c[own] >> bit) & 1 == 1]
+                    for at in range(0, len(some), step):
+                        rows = some[at : at + step]
+                        w = draws(h[rows], bit)
+                        total[0] += value[rows] @ w
+                        total[1] += w.sum(axis=0)
+        for name, total in totals.items():
+            columns = [pa.array([name] * n_boot), pa.array(replicate), pa.array(total[0]), pa.array(total[1])]
+            yield pa.RecordBatch.from_arrays(columns, names=["feature", "b", "total", "n"])
+
+    return run
 
 
 def bootstrap_ci_mean(
     df: DataFrame,
     features: Sequence[str],
-    key: str,
+    key: str | None = None,
     n_boot: int = 1000,
     ci: float = 95.0,
     seed: int = 42,
 ) -> DataFrame:
     """``(feature, lower, upper)``: percentile interval of the mean by Poisson bootstrap.
 
-    Every row gets a Poisson(1) weight per replicate, a function of its key, so a lost task recomputes the
-    same weights. Sums collapse per replicate on the map side; the shuffle carries ``n_boot`` rows per
-    task, whatever the number of rows.
+    The rows that share a value get the sum of their Poisson(1) weights at once: Poisson(c) for c rows, drawn as a sum
+    over the powers of two of which c consists. So the work grows with the distinct values, whatever the number of
+    rows. Weights are functions of the feature and of the number of smaller values, so a lost task recomputes the same
+    ones: the digest of both gives a cubic polynomial modulo a prime, whose values at the replicates (and powers) are
+    4-wise independent. A task's replicates are one matrix product; the shuffle carries ``n_boot`` rows per task and
+    feature. ``key`` is not needed and kept for older callers. A feature without values has no row.
     """
-    digest = [(hash_digits(F.col(key), seed, part) % PRIME) for part in range(4)]
-    rows = spread(
-        df.select(
-            *[d.alias(f"_h{i}") for i, d in enumerate(digest)],
-            *[clean_double(f).alias(f) for f in features],
-        )
-    ).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-    draw = replicate_draw([F.col(f"_h{i}") for i in range(4)], F.col("b"))
-    drawn = rows.select("b", *features, draw.alias("u")).select(
-        "b", *features, poisson_weight(F.col("u")).alias("w")
-    )
-    sums = (
-        drawn.groupBy("b")
-        .agg(
-            *[F.sum(F.col(f) * F.col("w")).alias(f"sum_{f}") for f in features],
-            *[F.sum(F.when(F.col(f).isNotNull(), F.col("w"))).alias(f"n_{f}") for f in features],
-        )
+    place = F.concat_ws("|", "feature", F.col("before").cast("string"))
+    rows = _ranked_positions(df, features).select(
+        "feature",
+        "value",
+        (F.col("after") - F.col("before")).alias("c"),
+        *[(hash_digits(place, seed, part) % PRIME).alias(f"h{part}") for part in range(4)],
     )
-    means = sums.select(*[F.try_divide(F.col(f"sum_{f}"), F.col(f"n_{f}")).alias(f) for f in features])
-    return _interval(melt(means, [], features).withColumnRenamed("value", "stat"), ci)
+    partial = rows.mapInArrow(_weighted_sums(n_boot), "feature string, b bigint, total double, n double")
+    sums = partial.groupBy("feature", "b").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return _interval(sums.select("feature", F.try_divide("total", "n").alias("stat")), ci)
 
 
 def _interval(replicates: DataFrame, ci: float) -> DataFrame:

@@ -216,6 +216,49 @@ def kendall(source: str, columns) -> str:
     return " UNION ALL ".join(rows)
 
 
+def class_pairs(source: str, columns, method: str, group: str = "y") -> str:
+    """``(class, col_a, col_b, n, r)`` for every pair inside each class, rows with nulls in a pair left out."""
+    rows = []
+    for a, b in pairs(columns):
+        kept = f"(SELECT {group} AS class, CAST({a} AS DOUBLE) AS a, CAST({b} AS DOUBLE) AS b FROM {source} WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+        head = f"SELECT class, '{a}' AS col_a, '{b}' AS col_b"
+        if method == "kendall":
+            cells = f"(SELECT class, a, b, CAST(count(*) AS DOUBLE) AS c FROM {kept} GROUP BY ALL)"
+            rows.append(
+                f"""SELECT p.class, '{a}' AS col_a, '{b}' AS col_b,
+  CAST(sqrt(sum(p.c * q.c)) AS BIGINT) AS n,
+  CASE WHEN sum(p.c * q.c * abs(sign(p.a - q.a))) > 0 AND sum(p.c * q.c * abs(sign(p.b - q.b))) > 0 THEN
+    sum(p.c * q.c * sign(p.a - q.a) * sign(p.b - q.b))
+    / (sqrt(sum(p.c * q.c * abs(sign(p.a - q.a)))) * sqrt(sum(p.c * q.c * abs(sign(p.b - q.b))))) END AS r
+  FROM {cells} p JOIN {cells} q ON p.class = q.class GROUP BY p.class"""
+            )
+            continue
+        if method == "spearman":
+            ranks = ", ".join(
+                f"rank() OVER (PARTITION BY class ORDER BY {c}) + (count(*) OVER (PARTITION BY class, {c}) - 1) / 2.0::DOUBLE AS {c}"
+                for c in "ab"
+            )
+            kept = f"(SELECT class, {ranks} FROM {kept})"
+        varies = "max(a) > min(a) AND max(b) > min(b)"
+        r = f"CASE WHEN {varies} THEN covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) END"
+        rows.append(f"{head}, count(*) AS n, {r} AS r FROM {kept} GROUP BY class")
+    return " UNION ALL ".join(rows)
+
+
+def by_class(features, method: str, target: str, top_n: int, matrix: bool) -> str:
+    """Top correlations with ``target`` inside each class, or the matrix of those features and the target."""
+    tops = f"""WITH {LINE}, prs AS ({class_pairs("line", [*features, target], method)}),
+  tops AS (SELECT class, col_a AS feature, r FROM prs WHERE col_b = '{target}'
+    QUALIFY row_number() OVER (PARTITION BY class ORDER BY abs(r) DESC, col_a) <= {top_n})"""
+    if not matrix:
+        return f"{tops} SELECT class, feature, {rnd('r', 9)} AS r FROM tops"
+    return f"""{tops}, kept AS (SELECT class, feature FROM tops UNION ALL SELECT DISTINCT class, '{target}' FROM prs),
+  cells AS (SELECT class, col_a, col_b, r FROM prs UNION ALL SELECT class, col_b, col_a, r FROM prs
+    UNION ALL SELECT class, feature, feature, 1.0 FROM kept)
+  SELECT c.class, col_a, col_b, {rnd("r", 9)} AS r FROM cells c
+  JOIN kept a ON a.class = c.class AND a.feature = col_a JOIN kept b ON b.class = c.class AND b.feature = col_b"""
+
+
 def fitted(source: str, columns, where: str = "", robust: bool = False) -> str:
     """Parameter row per feature: name, centre, scale, mean, std, kept."""
     rows = []
@@ -294,27 +337,43 @@ def digest(columns, source: str) -> str:
   SELECT *, md5(concat_ws('|', n_rows, digest_sum, digest_xor)) AS fingerprint FROM sums"""
 
 
-def poisson_case(u: str) -> str:
+def poisson_case(u: str, mean: float) -> str:
+    """The Poisson weight of a uniform integer below the prime, for a small mean."""
     prime, cdf, parts = 2**31 - 1, 0.0, []
-    for k in range(12):
-        cdf += math.exp(-1.0) / math.factorial(k)
-        parts.append(f"WHEN {u} < {int(cdf * prime)} THEN {k}")
-    return f"CASE {' '.join(parts)} ELSE 12 END"
+    for k in range(40):
+        cdf += math.exp(-mean) * mean**k / math.factorial(k)
+        limit = int(min(cdf, 1.0) * prime)
+        parts.append(f"WHEN {u} < {limit} THEN {k}")
+        if limit >= prime:
+            break
+    return f"CASE {' '.join(parts)} END"
 
 
 def bootstrap_mean() -> str:
+    """Weights of the rows that share a value: a Poisson draw for every power of two in their number."""
     p = 2**31 - 1
     h = ", ".join(
-        f"('0x' || substr(md5(k || '|42'), {1 + 8 * i}, 8))::BIGINT % {p} AS h{i}" for i in range(4)
+        f"('0x' || substr(md5(feature || '|' || before || '|42'), {1 + 8 * i}, 8))::BIGINT % {p} AS h{i}" for i in range(4)
     )
-    sums = ", ".join(f"sum(w * {f}) / sum(w) AS {f}" for f in FEATURES)
-    return f"""WITH {LINE}, hs AS (SELECT *, {h} FROM line),
-  dr AS (SELECT b, {names(FEATURES)}, (((((h0 * b + h1) % {p}) * b + h2) % {p}) * b + h3) % {p} AS u
-    FROM hs, (SELECT unnest(range(1000)) AS b)),
-  wt AS (SELECT b, {names(FEATURES)}, {poisson_case("u")} AS w FROM dr),
-  mn AS (SELECT b, {sums} FROM wt GROUP BY b), {long("mn", FEATURES, keep="")}
+    return f"""WITH {LINE}, {long("line", FEATURES, keep="")},
+  vc AS (SELECT feature, value, count(*) AS c FROM long GROUP BY ALL),
+  ps AS (SELECT *, CAST(sum(c) OVER (PARTITION BY feature ORDER BY value) - c AS BIGINT) AS before FROM vc),
+  hs AS (SELECT feature, value, c, {h} FROM ps),
+  bt AS (SELECT hs.*, bit FROM hs, (SELECT unnest(range(17)) AS bit) WHERE (c >> bit) & 1 = 1),
+  dr AS (SELECT feature, value, bit, b,
+    (((((h0 * (b + 1000 * bit) + h1) % {p}) * (b + 1000 * bit) + h2) % {p}) * (b + 1000 * bit) + h3) % {p} AS u
+    FROM bt, (SELECT unnest(range(1000)) AS b)),
+  me AS (SELECT bit, pow(2.0, bit) AS l, unnest(range(CAST(greatest(0, floor(pow(2.0, bit) - 12 * sqrt(pow(2.0, bit)) - 30)) AS BIGINT),
+    CAST(ceil(pow(2.0, bit) + 12 * sqrt(pow(2.0, bit)) + 30) AS BIGINT) + 1)) AS w FROM (SELECT unnest(range(2, 17)) AS bit)),
+  li AS (SELECT bit, max(w) + 1 AS w, lim FROM (SELECT bit, w, CAST(floor(least(sum(exp(w * ln(l) - l - lgamma(w + 1)))
+    OVER (PARTITION BY bit ORDER BY w), 1.0) * {p}) AS BIGINT) AS lim FROM me) GROUP BY bit, lim),
+  wt AS (SELECT feature, value, b, CASE WHEN bit = 0 THEN {poisson_case("u", 1.0)} ELSE {poisson_case("u", 2.0)} END AS w
+    FROM dr WHERE bit < 2
+    UNION ALL SELECT feature, value, b, coalesce(w, 0) FROM (SELECT * FROM dr WHERE bit > 1) d
+      ASOF LEFT JOIN li ON d.bit = li.bit AND d.u >= li.lim),
+  mn AS (SELECT feature, b, sum(w * value) / sum(w) AS value FROM wt GROUP BY feature, b)
   SELECT feature, {rnd("quantile_cont(value, 0.025)")} AS lower, {rnd("quantile_cont(value, 0.975)")} AS upper
-  FROM long GROUP BY feature"""
+  FROM mn GROUP BY feature"""
 
 
 def bootstrap_median() -> str:
@@ -616,6 +675,28 @@ def oracles() -> dict[str, str]:
   {rnd("median(value)", 7)} AS median FROM long GROUP BY feature, y"""
     sql["significance_stars"] = f"""WITH {VECS}, {long("vecs", VECTOR_FEATURES)}, {rank_stats()}
   SELECT feature, {rnd("p_mw", 8)} AS p_value, {STARS.format(p="p_mw")} AS stars FROM mwp"""
+    sql["feature_separation_ks_exact"] = f"""WITH RECURSIVE x AS (
+    SELECT n_chars AS v, quality AS y FROM documents JOIN labels USING (doc_id) WHERE quality IN (0, 1)),
+  z AS (SELECT count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1 FROM x),
+  cum AS (SELECT sum(count(*) FILTER (y = 0)) OVER (ORDER BY v) AS s0, sum(count(*) FILTER (y = 1)) OVER (ORDER BY v) AS s1
+    FROM x GROUP BY v),
+  far AS (SELECT n0, n1, max(abs(s0 * n1 - s1 * n0)) AS h FROM cum, z GROUP BY n0, n1),
+  path AS (SELECT 0 AS k, list_transform(range(0, n0 + 1), lambda i: 0.0::DOUBLE) AS q FROM z UNION ALL
+    SELECT k + 1, list_transform(range(0, n0 + 1), lambda i: CASE WHEN i > k + 1 OR k + 1 - i > n1 THEN 0.0::DOUBLE
+      WHEN abs(i * n1 - (k + 1 - i) * n0) >= h THEN 1.0::DOUBLE
+      ELSE (CASE WHEN i > 0 THEN q[i] ELSE 0 END) * i / (k + 1) + q[i + 1] * (k + 1 - i) / (k + 1) END)
+    FROM path, far WHERE k < n0 + n1)
+  SELECT 'n_chars' AS feature, {rnd("least(q[n0 + 1], 1.0)", 9)} AS p_value, 'ks' AS method FROM path, z WHERE k = n0 + n1"""
+    sql["feature_separation_mannwhitney_exact"] = f"""WITH RECURSIVE x AS (
+    SELECT s_acctbal AS v, s_nationkey = 3 AS y, rank() OVER (ORDER BY s_acctbal) AS r FROM supplier),
+  z AS (SELECT count(*) FILTER (NOT y) AS n, count(*) FILTER (y) AS m,
+    CAST(sum(r) FILTER (y) AS BIGINT) - m * (m + 1) // 2 AS u FROM x),
+  ways AS (SELECT 0 AS i, list_transform(range(0, n * m + 1), lambda x: CASE WHEN x = 0 THEN 1::HUGEINT ELSE 0 END) AS a FROM z
+    UNION ALL SELECT i + 1, list_transform(range(0, n * m + 1), lambda x: CAST(list_sum(list_transform(range(0, x // (i + 1) + 1),
+      lambda t: a[x - t * (i + 1) + 1] - (CASE WHEN x - t * (i + 1) >= n + i + 1 THEN a[x - t * (i + 1) - n - i] ELSE 0 END))) AS HUGEINT))
+    FROM ways, z WHERE i < m)
+  SELECT 's_acctbal' AS feature, {rnd("CASE WHEN m > 0 THEN least(1.0::DOUBLE, 2 * list_sum(a[1:n * m - greatest(u, n * m - u) + 1])::DOUBLE / list_sum(a)::DOUBLE) END", 9)} AS p_value,
+    'mannwhitney' AS method FROM ways, z WHERE i = m"""
     sql["corr_pearson"] = f"WITH {LINE} {pearson('line', [*FEATURES, 'y'])}"
     sql["corr_pearson_nulls"] = f"WITH {DIRT}, {NULLED} {pearson('nulled', DIRTY)}"
     sql["corr_spearman"] = f"WITH {LINE} {spearman('line', [*FEATURES, 'y'])}"
@@ -652,6 +733,39 @@ def oracles() -> dict[str, str]:
     sql["top_correlations_kendall_numeric_target"] = (
         f"WITH {LINE}, cells AS ({tax_cells}) SELECT feature, {rnd('r', 9)} AS r FROM ({by_cells})"
     )
+    tied = ["quantity", "discount", "tax"]
+    for method, columns in (("spearman", FEATURES), ("kendall", tied)):
+        sql[f"corr_{method}_per_class"] = f"""WITH {LINE} SELECT class AS y, col_a, col_b, n, {rnd("r", 9)} AS r
+  FROM ({class_pairs("line", columns, method)})"""
+    sql["corr_kendall_nulls"] = f"""WITH {DIRT}, {NULLED} SELECT col_a, col_b, n, {rnd("r", 9)} AS r
+  FROM ({class_pairs("nulled", tied, "kendall", "1")})"""
+    holed = ", ".join(
+        f"CASE WHEN vec_id % {7 + i % 6} <> 0 THEN {f} END AS {f}" if i % 6 < 5 else f for i, f in enumerate(VECTOR_FEATURES)
+    )
+    sql["corr_spearman_vectors_nulls"] = f"""WITH {VECS}, holed AS (SELECT vec_id, {holed} FROM vecs),
+  {long("holed", VECTOR_FEATURES, keep="vec_id")},
+  named AS (SELECT vec_id, feature, CAST(split_part(feature, '_', 2) AS INTEGER) AS i, value FROM long),
+  joint AS (SELECT a.feature AS col_a, b.feature AS col_b, a.value AS va, b.value AS vb
+    FROM named a JOIN named b ON a.vec_id = b.vec_id AND a.i < b.i),
+  ranked AS (SELECT col_a, col_b,
+    rank() OVER (PARTITION BY col_a, col_b ORDER BY va) + (count(*) OVER (PARTITION BY col_a, col_b, va) - 1) / 2.0::DOUBLE AS ra,
+    rank() OVER (PARTITION BY col_a, col_b ORDER BY vb) + (count(*) OVER (PARTITION BY col_a, col_b, vb) - 1) / 2.0::DOUBLE AS rb
+    FROM joint)
+  SELECT col_a, col_b, count(*) AS n, {rnd("corr(ra, rb)", 9)} AS r FROM ranked GROUP BY col_a, col_b"""
+    firsts = ", ".join(f"'{f}'" for f in VECTOR_FEATURES[:5])
+    sql["top_correlations_per_class"] = f"""SELECT class, unnest([{firsts}]) AS feature, CAST(NULL AS DOUBLE) AS r
+  FROM (SELECT DISTINCT CAST(label % 2 AS INTEGER) AS class FROM embeddings)"""
+    for method in ("pearson", "spearman", "kendall"):
+        features = ["quantity", "discount"] if method == "kendall" else ["quantity", "price", "discount"]
+        for name, matrix in (("top_correlations", False), ("correlation_submatrix", True)):
+            sql[f"{name}_by_class_{method}"] = by_class(features, method, "tax", 2, matrix)
+        columns = tied[:2] if method == "kendall" else FEATURES[:3]
+        itself = ", ".join(f"('{c}', 1.0)" for c in columns) + f", ('y', {'1.0' if method == 'kendall' else 'NULL'})"
+        empty = " UNION ALL ".join(f"SELECT class, '{c}' AS col_a, 'y' AS col_b, NULL AS r FROM classes" for c in columns)
+        sql[f"correlation_submatrix_per_class_{method}"] = f"""WITH {LINE}, classes AS (SELECT DISTINCT y AS class FROM line),
+  prs AS (SELECT class, col_a, col_b, r FROM ({class_pairs("line", columns, method)}) UNION ALL {empty})
+  SELECT class, col_a, col_b, {rnd("CAST(r AS DOUBLE)", 9)} AS r FROM (SELECT * FROM prs UNION ALL SELECT class, col_b, col_a, r FROM prs
+    UNION ALL SELECT class, c, c, v FROM classes, (VALUES {itself}) t(c, v))"""
     sql["feature_auc_three_class"] = """SELECT feature, CAST(NULL AS DOUBLE) AS auc
   FROM (SELECT unnest(['tax', 'discount']) AS feature, count(DISTINCT l_returnflag) AS n FROM lineitem) WHERE n = 3"""
     sql["effect_size_dirty"] = f"""WITH {DIRT}, {dirty}, {dirty_feats}, m AS (

@@ -595,6 +595,20 @@ def significance_stars(spark, sf):
     return rounded(tests.select("feature", "p_value", stars), 8)
 
 
+@register("feature_separation_ks_exact")
+def feature_separation_ks_exact(spark, sf):
+    """Document lengths by quality label: a few hundred rows."""
+    tests = twoclass.feature_separation(labelled_documents(spark, sf), ["n_chars"], "y", "ks", exact=True)
+    return rounded(tests, 9)
+
+
+@register("feature_separation_mannwhitney_exact")
+def feature_separation_mannwhitney_exact(spark, sf):
+    """Balances of the suppliers of one nation, a handful, against those of all others."""
+    rows = table(spark, sf, "supplier").select("s_acctbal", (F.col("s_nationkey") == 3).cast("int").alias("y"))
+    return rounded(twoclass.feature_separation(rows, ["s_acctbal"], "y", exact=True), 9)
+
+
 @register("corr_pearson")
 def corr_pearson(spark, sf):
     return rounded(correlation.pearson_pairs(items(spark, sf), [*FEATURES, "y"]), 9)
@@ -674,6 +688,72 @@ def top_correlations_kendall_numeric_target(spark, sf):
     return rounded(found, 9)
 
 
+TIED = ["quantity", "discount", "tax"]
+
+
+@register("corr_spearman_per_class")
+def corr_spearman_per_class(spark, sf):
+    return rounded(correlation.correlation_pairs(items(spark, sf), FEATURES, "spearman", "k", "y"), 9)
+
+
+@register("corr_kendall_per_class")
+def corr_kendall_per_class(spark, sf):
+    return rounded(correlation.correlation_pairs(items(spark, sf), TIED, "kendall", "k", "y"), 9)
+
+
+@register("corr_kendall_nulls")
+def corr_kendall_nulls(spark, sf):
+    source = cleaning.sentinel_to_null(dirty_items(spark, sf))
+    return rounded(correlation.kendall_pairs(source, TIED, "k"), 9)
+
+
+@register("corr_spearman_vectors_nulls")
+def corr_spearman_vectors_nulls(spark, sf):
+    """64 features with six patterns of missing values, one of which is none."""
+    rows = vectors(spark, sf)
+    holed = [
+        (F.when(F.col("vec_id") % (7 + i % 6) != 0, F.col(f)) if i % 6 < 5 else F.col(f)).alias(f)
+        for i, f in enumerate(VECTOR_FEATURES)
+    ]
+    return rounded(correlation.spearman_pairs(rows.select("vec_id", *holed), VECTOR_FEATURES, "vec_id"), 9)
+
+
+@register("top_correlations_per_class")
+def top_correlations_per_class(spark, sf):
+    return correlation.top_correlations(vectors(spark, sf), VECTOR_FEATURES, "y", 5, per_class=True)
+
+
+def _by_class(method: str) -> tuple[Query, Query]:
+    """Top correlations with the tax and their matrix, inside each class."""
+    features = ["quantity", "discount"] if method == "kendall" else ["quantity", "price", "discount"]
+
+    def tops(spark, sf):
+        return rounded(correlation.top_correlations(items(spark, sf), features, "tax", 2, method, per_class="y"), 9)
+
+    def matrix(spark, sf):
+        rows = items(spark, sf)
+        return rounded(correlation.correlation_submatrix(rows, features, "tax", 2, method, "k", per_class="y"), 9)
+
+    return tops, matrix
+
+
+for _method in correlation.METHODS:
+    QUERIES[f"top_correlations_by_class_{_method}"], QUERIES[f"correlation_submatrix_by_class_{_method}"] = _by_class(_method)
+
+
+def _submatrix_per_class(method: str) -> Query:
+    def run(spark, sf):
+        columns = TIED[:2] if method == "kendall" else FEATURES
+        found = correlation.correlation_submatrix(items(spark, sf), columns, "y", 3, method, "k", per_class=True)
+        return rounded(found, 9)
+
+    return run
+
+
+for _method in correlation.METHODS:
+    QUERIES[f"correlation_submatrix_per_class_{_method}"] = _submatrix_per_class(_method)
+
+
 @register("feature_auc_three_class")
 def feature_auc_three_class(spark, sf):
     status = F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 2).otherwise(0)

@@ -134,11 +134,32 @@ def test_bootstrap_error(spark):
         resampling.bootstrap_error(df, "label", "mean")
 
 
-def test_poisson_weights(spark):
-    p = resampling.PRIME
-    df = spark.range(0, 200000).selectExpr(f"CAST((id + 0.5) / 200000 * {p} AS BIGINT) AS u")
-    row = df.select(resampling.poisson_weight(F.col("u")).alias("w")).agg(F.avg("w"), F.var_pop("w")).first()
-    assert row[0] == pytest.approx(1.0, abs=1e-3) and row[1] == pytest.approx(1.0, abs=5e-3)
+@pytest.mark.parametrize("mean", [1.0, 2.0, 64.0, 65536.0, 2.0**17, 2.0**30])
+def test_poisson_weights(mean):
+    u = (np.arange(400_000) * (resampling.PRIME / 400_000) + resampling.PRIME / 800_000).astype(np.int64)
+    if mean <= 2.0**resampling.TABLED_BITS:
+        w = np.searchsorted(resampling.poisson_limits(mean), u, side="right")
+    else:
+        w = resampling._large_poisson(mean, u)
+    assert w.mean() == pytest.approx(mean, rel=1e-3 / math.sqrt(mean)) and w.var() == pytest.approx(mean, rel=5e-3)
+    skewness = ((w - w.mean()) ** 3).mean() / w.std() ** 3
+    assert skewness == pytest.approx(1.0 / math.sqrt(mean), abs=0.02)
+
+
+def test_bootstrap_mean_of_tied_values(spark):
+    """The weights of equal rows are drawn together: the interval is as wide as with rows of their own."""
+    rng = np.random.default_rng(12)
+    x = rng.integers(0, 5, 5000) * 1.0
+    df = spark.createDataFrame([(i, float(v), None) for i, v in enumerate(x)], "k long, v double, void double")
+    found = resampling.bootstrap_ci_mean(df, ["v", "void"], n_boot=2000)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(sequence" not in plan
+    (row,) = found.collect()
+    error = x.std() / math.sqrt(5000)
+    assert row["lower"] == pytest.approx(x.mean() - 1.96 * error, abs=0.25 * error)
+    assert row["upper"] == pytest.approx(x.mean() + 1.96 * error, abs=0.25 * error)
+    assert found.collect() == [row]
+    assert resampling.bootstrap_ci_mean(df.limit(0), ["v"]).collect() == []
 
 
 def test_bootstrap_mean_interval(sample):
