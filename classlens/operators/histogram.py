@@ -108,8 +108,13 @@ def js_divergence(
             F.max(F.when(F.col("label") == 0, F.col("d"))).alias("p"),
             F.max(F.when(F.col("label") == 1, F.col("d"))).alias("q"),
         )
-        .withColumn("m", F.zip_with("p", "q", lambda a, b: (a + b) / 2.0))
     )
+    return every_feature(df, features, with_divergence(both).select("feature", "js_divergence"))
+
+
+def with_divergence(densities: DataFrame) -> DataFrame:
+    """Add ``js_divergence`` of the density arrays ``p`` and ``q``; NULL if one is NULL."""
+    both = densities.withColumn("m", F.zip_with("p", "q", lambda a, b: (a + b) / 2.0))
 
     def total(column: str) -> Column:
         return F.aggregate(column, F.lit(0.0), lambda acc, v: acc + v)
@@ -123,8 +128,7 @@ def js_divergence(
     summed = both.withColumn("sm", total("m"))
     with_p = summed.withColumn("s", total("p")).withColumn("ep", entropy("p"))
     with_q = with_p.withColumn("s", total("q")).withColumn("eq", entropy("q"))
-    found = with_q.select("feature", ((F.col("ep") + F.col("eq")) / 2.0).alias("js_divergence"))
-    return every_feature(df, features, found)
+    return with_q.withColumn("js_divergence", (F.col("ep") + F.col("eq")) / 2.0)
 
 
 def trim_percentiles(

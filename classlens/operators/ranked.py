@@ -112,12 +112,12 @@ def value_counts(long: DataFrame) -> DataFrame:
 
 
 def ranked_values(
-    df: DataFrame, features: Sequence[str], label: str, buckets: int | None = None
+    df: DataFrame, features: Sequence[str], label: str, buckets: int | None = None, cuts: DataFrame | None = None
 ) -> DataFrame:
     """Ranked value table of all features: class counts, counts before each value, class totals."""
     buckets = buckets or bucket_count(df)
     counts = value_counts(long_form(df, features, label))
-    bucketed = with_bucket(counts, bucket_cuts(df, features, buckets), buckets)
+    bucketed = with_bucket(counts, bucket_cuts(df, features, buckets) if cuts is None else cuts, buckets)
     return running_counts(bucketed, ["feature"], ["bucket"], ["n0", "n1"]).drop("bucket")
 
 
@@ -126,13 +126,22 @@ def rank_statistics(ranked: DataFrame) -> DataFrame:
 
     Products of counts are taken in double because they exceed a bigint on large tables.
     """
+    return with_auc(ranked.groupBy("feature").agg(*rank_sums()))
+
+
+#: How the columns of ``rank_sums`` of parts of a feature are put together.
+MERGED = {"n_background": F.max, "n_signal": F.max, "n_distinct": F.sum, "u_signal": F.sum, "tie_term": F.sum, "tied_pairs": F.sum, "ks_d": F.max}
+
+
+def rank_sums() -> list[Column]:
+    """Aggregates over ranked values; they can be taken over parts of a feature and merged."""
     n0, n1 = F.col("n0").cast("double"), F.col("n1").cast("double")
     t = n0 + n1
     total0, total1 = F.col("total_n0"), F.col("total_n1")
     below = F.col("before_n0").cast("double")
     step0 = F.try_divide(F.col("before_n0") + F.col("n0"), total0)
     step1 = F.try_divide(F.col("before_n1") + F.col("n1"), total1)
-    sums = ranked.groupBy("feature").agg(
+    return [
         F.max(total0).alias("n_background"),
         F.max(total1).alias("n_signal"),
         F.count(F.lit(1)).alias("n_distinct"),
@@ -140,6 +149,9 @@ def rank_statistics(ranked: DataFrame) -> DataFrame:
         F.sum(t * t * t - t).alias("tie_term"),
         F.sum(t * (t - 1.0) / 2.0).alias("tied_pairs"),
         F.max(F.abs(step0 - step1)).alias("ks_d"),
-    )
+    ]
+
+
+def with_auc(sums: DataFrame) -> DataFrame:
     pairs = F.col("n_background").cast("double") * F.col("n_signal").cast("double")
     return sums.withColumn("auc", F.try_divide(F.col("u_signal"), pairs))

@@ -669,6 +669,8 @@ def oracles() -> dict[str, str]:
     sql["distribution_histogram"] = f"WITH {values}, {histogram('long', 'feature')} SELECT feature, {hist_columns} FROM hist"
     kde_columns = f"point, {rnd('x')} AS x, {rnd('density * step', 10)} AS mass"
     sql["class_kde"] = f"WITH {LINE}, {lines}, {kde('long', 'feature, y')} SELECT feature, y AS label, {kde_columns} FROM kd"
+    sql["class_kde_binned"] = f"""WITH {LINE}, {lines}, {kde('long', 'feature, y')}
+  SELECT feature, y AS label, point, {rnd("density * step", 7)} AS mass FROM kd"""
     sql["distribution_kde"] = f"WITH {values}, {kde('long', 'feature')} SELECT feature, {kde_columns} FROM kd"
     sql["class_kde_vectors"] = f"WITH {VECS}, {vec_long}, {kde('long', 'feature, y')} SELECT feature, y AS label, {kde_columns} FROM kd"
     sql["class_location"] = f"""WITH {LINE}, {lines} SELECT feature, y AS label, {rnd("avg(value)", 7)} AS mean,

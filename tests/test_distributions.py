@@ -100,6 +100,30 @@ def test_trim_and_location(sample):
             assert places[f, c]["median"] == pytest.approx(np.median(x[f][y == c]))
 
 
+@pytest.mark.parametrize("tolerance", [1e-2, 1e-4, 1e-6])
+def test_binned_density_keeps_its_bound(sample, tolerance):
+    df, _, _ = sample
+    exact = {(r["feature"], r["label"], r["point"]): r for r in density.kernel_density(df, ["n", "t", "flat"], "y").collect()}
+    shapes = {(r["feature"], r["label"]): r for r in density.grid_shape(df, ["n", "t", "flat"], "y").collect()}
+    binned = density.kernel_density(df, ["n", "t", "flat"], "y", method="binned", tolerance=tolerance).collect()
+    assert len(binned) == len(exact) == 200 * len(shapes)
+    for r in binned:
+        height = 1.0 / (shapes[r["feature"], r["label"]]["bw"] * math.sqrt(2 * math.pi))
+        assert abs(r["density"] - exact[r["feature"], r["label"], r["point"]]["density"]) <= tolerance * height + 1e-12
+    with pytest.raises(ValueError):
+        density.kernel_density(df, ["n"], method="fast")
+
+
+def test_density_in_a_gap_is_not_zero(spark):
+    """Every grid point sums every value: far from all of them the density is tiny, not missing."""
+    df = spark.createDataFrame([(float(v),) for v in [0.0] * 40 + [1.0] * 40 + [30.0]], "v double")
+    rows = density.kernel_density(df, ["v"]).collect()
+    x = np.array([0.0] * 40 + [1.0] * 40 + [30.0])
+    bw = x.std(ddof=1) * len(x) ** -0.2
+    want = [np.exp(-0.5 * ((r["x"] - x) / bw) ** 2).sum() / (len(x) * bw * math.sqrt(2 * math.pi)) for r in rows]
+    assert [r["density"] for r in rows] == pytest.approx(want, rel=1e-9) and min(want) > 0
+
+
 def test_stars(spark):
     df = spark.createDataFrame([(0.0005,), (0.001,), (0.02,), (0.05,), (None,)], "p double")
     stars = [r[0] for r in df.select(histogram.significance_stars(F.col("p"))).collect()]

@@ -60,6 +60,24 @@ def test_summary_joins_are_broadcasts_of_feature_rows(table):
     assert plan.count("FileScan") <= 4
 
 
+@pytest.mark.parametrize("method", ["mannwhitney", "ks", "ttest"])
+def test_summary_reads_the_table_twice(spark, table, method, monkeypatch):
+    """Once for the profile, which is done when the plan is made, and once for the values."""
+    from classlens.plans import separation
+
+    scans = []
+    profile = separation.class_profile
+
+    def counted(*args):
+        found = profile(*args)
+        scans.append("profile")
+        return found
+
+    monkeypatch.setattr(separation, "class_profile", counted)
+    plan = final_plan(separation_summary(table, FEATURES, "y", method))
+    assert plan.count("FileScan") == 1 and scans == ["profile"]
+
+
 def test_hot_value_is_one_row_after_the_first_shuffle(spark):
     df = spark.range(20000).selectExpr(
         "CAST(id % 2 AS INT) AS y", "IF(id % 3 = 0, 7.0D, CAST(id AS DOUBLE)) AS v"
