@@ -26,8 +26,8 @@ MIN_CHARS = 20
 HOT_SHARE = 1e-5
 #: Tables of 64-bit ids are broadcast up to so many rows (about 16 MB), else joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Letters that are counted to rule out pairs.
-LETTERS = "aeinorst"
+#: Letters that are counted to rule out pairs: an edit changes two counts by one at most.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def _sized(df: DataFrame) -> DataFrame:
