@@ -51,20 +51,38 @@ def segment_keys(line: Column, chars: Column, edits: int, least: int) -> Column:
     For each length up to ``edits`` less and each segment, a substring starts where at most as many edits as there
     are segments before it, and at most as many as there are after it, have shifted it.
     """
-    parts, out = edits + 1, []
-    for shorter in range(edits + 1):
-        length = chars - shorter
-        base, more = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-        for i in range(1, parts + 1):
-            extra = F.greatest(more - (parts - i), F.lit(0))  # longer segments stand last
-            size = base + F.when(extra > 0, 1).otherwise(0)
-            begin = 1 + base * (i - 1) + F.greatest(extra - 1, F.lit(0))
-            for shift in range(max(1 - i, shorter - (parts - i)), min(i - 1, shorter + parts - i) + 1):
-                at = begin + shift
-                piece = F.xxhash64(length, F.lit(i), F.substring(line, at, size))
-                valid = (length >= least) & (at >= 1) & (at + size - 1 <= chars)
-                out.append(F.struct(F.when(valid, piece).alias("k"), F.lit(shorter == 0 and shift == 0).alias("own")))
-    return F.array(*out)
+    parts = edits + 1
+    probes = [
+        (shorter, i, shift)
+        for shorter in range(edits + 1)
+        for i in range(1, parts + 1)
+        for shift in range(max(1 - i, shorter - (parts - i)), min(i - 1, shorter + parts - i) + 1)
+    ]
+    ascii_only, data = F.octet_length(line) == chars, line.cast("binary")  # then places are bytes and found at once
+
+    # One small expression for all probes: written out, they make a method that is too large to be compiled.
+    def key(p: Column) -> Column:
+        length, i = chars - p["shorter"], p["i"]
+        more = length % parts
+        base = ((length - more) / parts).cast("int")
+        extra = F.greatest(more - (parts - i), F.lit(0))  # longer segments stand last
+        size = base + F.least(extra, F.lit(1))
+        at = 1 + base * (i - 1) + F.greatest(extra - 1, F.lit(0)) + p["shift"]
+
+        def piece(x: Column) -> Column:
+            n, begin, width = x["length"], x["at"], x["size"]
+            own = F.when(ascii_only, F.xxhash64(n, i, F.substring(data, begin, width)))
+            found = own.otherwise(F.xxhash64(n, i, F.substring(line, begin, width)))
+            return F.when((n >= least) & (begin >= 1) & (begin + width - 1 <= chars), found)
+
+        places = F.struct(length.alias("length"), at.alias("at"), size.alias("size"))
+        return F.struct(
+            F.transform(F.array(places), piece)[0].alias("k"), ((p["shorter"] == 0) & (p["shift"] == 0)).alias("own")
+        )
+
+    names = ("shorter", "i", "shift")
+    listed = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, probe)]) for probe in probes])
+    return F.transform(listed, key)
 
 
 def edits_within(a: Column, b: Column, edits: int) -> Column:
