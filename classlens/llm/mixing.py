@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Each source gets a target number of words. A document is taken in as many whole copies as its source's target
-holds the source in full; the rest of the target is a Pareto sample of fixed size: documents are ranked by the odds of
-a random number over the odds of their inclusion, and the first ones that fill the rest are taken. The random number
-is a digest of key and seed, so reruns agree. Where the ranking is cut is found from sums per rank bucket, and only the
+holds the source in full; the rest of the target is a Pareto sample of fixed size with unequal inclusion: a document's
+probability grows with its words, so that the expected words are the rest; documents that would pass one are
+certain, and the others share what is left. Documents are ranked by the odds of a random number over the odds of their
+inclusion, and the first ones that fill the rest are taken. The random number is a digest of key and seed, so reruns agree. Where the ranking is cut is found from sums per rank bucket, and only the
 bucket that holds the cut is ranked row by row; the outcome is one row per source, joined to the documents.
 """
 
@@ -59,13 +60,13 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_copies: in
 def _cut_points(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Per source: whole copies and the last place of the ranking that is taken once more.
 
-    ``rows``: ``(key, source, size, u)``. Places are compared as (bucket, odds, key); rows of one key are taken
+    ``rows``: ``(key, source, size, u)``. Places are compared as (bucket, odds, key); rows of one key and size are taken
     together, and a unit is taken while more than half of it is needed.
     """
     small = plan.withColumnRenamed("source", "_source")
     same = F.col("source").eqNullSafe(F.col("_source"))
     placed = rows.join(_sized(small), same).where("rest > 0")
-    placed = placed.withColumn("odds", pareto_odds(F.col("u"), _inclusion())).withColumn("bucket", bucket(F.col("odds")))
+    placed = placed.withColumn("odds", pareto_odds(F.col("u"), _inclusion(F.col("size")))).withColumn("bucket", bucket(F.col("odds")))
     sums = placed.groupBy("source", "rest", "bucket").agg(F.sum("size").alias("size"))
     upto = Window.partitionBy("source").orderBy("bucket")
     reached = stage(
@@ -85,9 +86,32 @@ def _cut_points(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return out.withColumnRenamed("_bucket", "cut")
 
 
-def _inclusion() -> Column:
-    """What is left of the target after whole copies, as a share of the source."""
-    return F.col("rest") / F.greatest(F.col("source_size"), F.lit(1))
+def _scales(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``plan`` with ``scale``, the inclusion probability per word, so that ``min(1, scale * size) * size`` sums to the rest.
+
+    Ordered by size, the largest documents are certain as long as the scale that the others would need takes them beyond
+    one. Rows of one size collapse first; a source has no more of them than its longest document has words.
+    """
+    counts = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("m")).where("size > 0")
+    larger = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    others = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(0, Window.unboundedFollowing)
+    words, squares = F.col("m") * F.col("size"), (F.col("m") * F.col("size")).cast("decimal(38,0)") * F.col("size")
+    sums = counts.select(
+        F.col("source").alias("_source"),
+        "size",
+        F.coalesce(F.sum(words).over(larger), F.lit(0)).alias("certain"),
+        F.sum(squares).over(others).cast("double").alias("squares"),
+    )
+    need = (F.col("rest") - F.col("certain")) / F.col("squares")
+    known = plan.join(sums, F.col("source").eqNullSafe(F.col("_source"))).where("rest > 0")
+    known = known.withColumn("need", need).where(F.col("need") * F.col("size") <= 1)
+    scale = known.groupBy("_source").agg(F.max(F.struct("size", "need"))["need"].alias("scale"))
+    out = plan.join(scale, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    return out.withColumn("scale", F.coalesce("scale", F.lit(1.0)))
+
+
+def _inclusion(size: Column) -> Column:
+    return F.least(F.col("scale") * size, F.lit(1.0))
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -119,8 +143,7 @@ def mix(
 
     Returns one row per row: ``doc`` (the row as it came), ``size``, ``source_size``, ``target`` and ``copies``
     (0 to ``max_copies``). A null or blank text has size 0; a null source is a source of its own, the last one. Rows that
-    share a key share their fate. A document without words is taken like any other but adds nothing. An empty table gives
-    no rows.
+    share key and size share their fate. A document without words is never sampled. An empty table gives no rows.
     """
     whole = docs.select(F.struct(*docs.columns).alias("doc"))
     rows = whole.select(
@@ -132,10 +155,11 @@ def mix(
     plan = targets(sizes, weights, max_copies).withColumn("whole", F.floor(copies).cast("int"))
     rest = F.least(F.col("target") - F.col("whole") * F.col("source_size"), F.col("source_size"))
     plan = stage(plan.withColumn("rest", rest), "targets")
+    plan = stage(_scales(rows, plan), "scales")
     cuts = stage(_cut_points(rows, plan), "cuts").withColumnRenamed("source", "_source")
     same = F.col(f"doc.{source}").eqNullSafe(F.col("_source"))
-    out = whole.join(_sized(cuts), same).withColumn("u", uniform(F.col(f"doc.{key}"), seed))
-    out = out.withColumn("odds", pareto_odds(F.col("u"), _inclusion()))
+    out = whole.join(_sized(cuts), same).withColumn("u", uniform(F.col(f"doc.{key}"), seed)).withColumn("size", size("doc"))
+    out = out.withColumn("odds", pareto_odds(F.col("u"), _inclusion(F.col("size"))))
     place = F.struct(F.col("odds"), F.col(f"doc.{key}").alias("key"))
     at = bucket(F.col("odds"))
     more = F.when(F.col("cut").isNull() | (F.col("rest") <= 0), False).otherwise(
@@ -143,7 +167,7 @@ def mix(
     )
     return out.select(
         "doc",
-        size("doc").alias("size"),
+        "size",
         "source_size",
         "target",
         (F.col("whole") + more.cast("int")).alias("copies"),

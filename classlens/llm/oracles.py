@@ -99,10 +99,20 @@ aimed AS (
 plan AS (
     SELECT *, CAST(floor(target / greatest(source_size, 1)) AS BIGINT) AS whole,
         least(target - floor(target / greatest(source_size, 1)) * source_size, source_size) AS rest FROM aimed),
-placed AS (
-    SELECT d.doc_id, d.size, p.*, (u / (1 - u)) / (least(greatest(rest / greatest(source_size, 1), 1e-12), 1 - 1e-12)
-        / (1 - least(greatest(rest / greatest(source_size, 1), 1e-12), 1 - 1e-12))) AS odds
-    FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
+counted AS (SELECT source, size, count(*) AS m FROM docs WHERE size > 0 GROUP BY source, size),
+summed AS (
+    SELECT source, size, coalesce(sum(m * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS certain,
+        sum(m * size * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS squares
+    FROM counted),
+scaled AS (
+    SELECT p.source, arg_max((rest - certain::DOUBLE) / squares, s.size) AS scale
+    FROM plan p JOIN summed s ON p.source IS NOT DISTINCT FROM s.source
+    WHERE rest > 0 AND (rest - certain::DOUBLE) / squares * s.size <= 1 GROUP BY p.source),
+included AS (
+    SELECT d.doc_id, d.size, d.u, p.*, least(greatest(least(coalesce(scale, 1.0::DOUBLE) * d.size, 1.0::DOUBLE), 1e-12::DOUBLE), 1 - 1e-12::DOUBLE) AS inside
+    FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
+    LEFT JOIN scaled s ON s.source IS NOT DISTINCT FROM d.source),
+placed AS (SELECT *, (u / (1 - u)) / (inside / (1 - inside)) AS odds FROM included),
 ranked AS (
     SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id) - size / 2 AS half FROM placed)
 SELECT doc_id, size, source_size, target,

@@ -31,7 +31,26 @@ def uniform(key):
     return (int(digest[:13], 16) + 0.5) / 2**52
 
 
-def brute(rows):
+def inclusion(sizes, rest):
+    """Probability per word: the largest documents are certain until the others need no more than one each."""
+    left, certain = sorted(sizes, reverse=True), 0
+    while left:
+        scale = (rest - certain) / sum(n * n for n in left)
+        if scale * left[0] <= 1:
+            return scale
+        largest = left[0]
+        certain += sum(n for n in left if n == largest)
+        left = [n for n in left if n != largest]
+    return 1.0
+
+
+def odds(key, size, scale):
+    p = min(max(min(scale * size, 1.0), 1e-12), 1 - 1e-12)
+    u = uniform(key)
+    return (u / (1 - u)) / (p / (1 - p))
+
+
+def brute(rows, ranked=odds):
     size = [len((t or "").encode().split()) for _, t, _ in rows]
     sizes = defaultdict(int)
     for (_, _, s), n in zip(rows, size):
@@ -43,18 +62,29 @@ def brute(rows):
         units = defaultdict(int)
         for (d, _, own), n in zip(rows, size):
             if own == s:
-                units[d] += n
+                units[d, n] += n
+        scale = inclusion([n for (_, _, own), n in zip(rows, size) if own == s and n], rest) if rest > 0 else 1.0
         before, more = 0, set()
-        for d in sorted(units, key=lambda d: (uniform(d), d is not None, d or 0)):
-            if rest > 1e-9 and before + units[d] / 2 <= rest:
-                more.add(d)
-            before += units[d]
+        for d, n in sorted(units, key=lambda x: (ranked(x[0], x[1], scale), x[0] is not None, x[0] or 0)):
+            if rest > 1e-9 and before + units[d, n] / 2 <= rest:
+                more.add((d, n))
+            before += units[d, n]
         for (d, _, own), n in zip(rows, size):
             if own == s:
-                out.append((d, n, sizes[s], round(target[s], 6), whole + (d in more)))
+                out.append((d, n, sizes[s], round(target[s], 6), whole + ((d, n) in more)))
     return sorted(out, key=repr)
 
 
+def test_inclusion_decides(spark):
+    """Ranking by the random number alone gives another sample, and long documents are taken more often."""
+    rows = documents()
+    plain = brute(rows, lambda d, n, scale: uniform(d))
+    got = run(spark, rows)
+    assert got == brute(rows) != plain
+    more = {n: [x[4] - min(y[4] for y in got if y[2] == x[2]) for x in got if x[1] == n] for n in (1, 200)}
+    assert sum(more[200]) / len(more[200]) > sum(more[1]) / len(more[1])
+
+
 def run(spark, rows):
     got = mix(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)).collect()
     return sorted(
