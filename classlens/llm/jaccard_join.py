@@ -34,6 +34,8 @@ SLACK = 1.1
 FIRST = 16
 #: Holders of one signature that are compared in one unit of work.
 BLOCK = 4096
+#: The longest parity sketch; it rules pairs out and never decides that sets link.
+SKETCH_BITS = 1 << 15
 _SHIFT, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
@@ -216,29 +218,62 @@ def _conflicts(key, table):
 
 
 def _sketch(batches):
-    """Parity bits of a set: each shingle flips one of 512."""
+    """Parity bits of a set: each shingle flips one of 512 bits or of the power of two above eight times the set."""
     for batch in batches:
-        out = []
+        out, sizes = [], []
         for blob in batch.column("set").to_pylist():
-            bits = np.bincount((mix(np.frombuffer(blob, np.uint64)) >> np.uint64(55)).astype(np.int64), minlength=512) & 1
-            out.append(np.packbits(bits.astype(np.uint8)).tobytes())
+            h = np.frombuffer(blob, np.uint64)
+            size = min(max(512, 1 << (8 * len(h) - 1).bit_length()), SKETCH_BITS)
+            bits = np.bincount((mix(h) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+            out.append(np.packbits(bits.astype(np.uint8), bitorder="little").tobytes())
+            sizes.append(len(h))
         columns = [batch.column(c) for c in ("rep", "group")]
-        n = pa.array([len(x) // 8 for x in batch.column("set").to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([*columns, n, pa.array(out, pa.binary())], ["rep", "group", "n", "sketch"])
+        names = ["rep", "group", "n", "sketch"]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names)
+
+
+class _Sketches:
+    """Sketches of several lengths. Halves that are laid over each other by XOR give the sketch of half the length."""
+
+    def __init__(self, blobs: list[bytes]):
+        words = np.array([len(x) // 8 for x in blobs])
+        self.level = np.round(np.log2(np.maximum(words, 8) // 8)).astype(np.int64)
+        self.place, self.rows = [], []
+        for level in range(int(self.level.max(initial=0)) + 1):
+            width, members = 8 << level, np.flatnonzero(self.level >= level)
+            place = np.full(len(blobs), -1)
+            place[members] = np.arange(len(members))
+            rows = np.empty((len(members), width), np.uint64)
+            for own in np.unique(words[members]):
+                same = members[words[members] == own]
+                full = np.frombuffer(b"".join(blobs[i] for i in same), np.uint64).reshape(len(same), -1, width)
+                rows[place[same]] = np.bitwise_xor.reduce(full, axis=1)
+            self.place.append(place)
+            self.rows.append(rows)
+
+    def apart(self, i: np.ndarray, j: np.ndarray, level: int) -> np.ndarray:
+        """Bits in which sketches differ, at most the number of shingles in which the sets differ."""
+        rows, place = self.rows[level], self.place[level]
+        return np.bitwise_count(rows[place[i]] ^ rows[place[j]]).sum(axis=1, dtype=np.int64)
 
 
 def _admitted(num: int, den: int):
     def admitted(key, table):
         """Pairs of different components whose sizes and sketches allow a link.
 
-        Holders stand sorted by signature; pairs at growing distance are looked at for all signatures at once. A unit of
-        two blocks of one signature pairs the blocks only.
+        Holders stand sorted by signature; pairs at growing distance are looked at for all signatures at once, first by
+        512 bits, and where these allow it by the longest sketch that both have. A unit of two blocks of one signature
+        pairs the blocks only.
         """
         table = table.sort_by([("sig", "ascending"), ("rep", "ascending")])
         sig, rep, group, n, block = (table.column(c).to_numpy() for c in ("sig", "rep", "group", "n", "block"))
-        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, 8)
+        sketches = _Sketches(table.column("sketch").to_pylist())
         across = key[1].as_py() != key[2].as_py()
         found, at, lag = [np.zeros((0, 2), np.int64)], np.arange(len(sig)), 0
+
+        def allowed(i: np.ndarray, j: np.ndarray, level: int) -> np.ndarray:
+            return sketches.apart(i, j, level) * (den + num) <= (den - num) * (n[i] + n[j])
+
         while len(at):
             lag += 1
             at = at[at + lag < len(sig)]
@@ -250,8 +285,13 @@ def _admitted(num: int, den: int):
             i, j = at[some], to[some]
             some = den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])
             i, j = i[some], j[some]
-            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1)
-            some = apart * (den + num) <= (den - num) * (n[i] + n[j])
+            some = allowed(i, j, 0)
+            i, j = i[some], j[some]
+            both = np.minimum(sketches.level[i], sketches.level[j])
+            some = both == 0
+            for level in np.unique(both[~some]):
+                own = np.flatnonzero(both == level)
+                some[own] = allowed(i[own], j[own], level)
             if some.any():
                 found.append(np.unique(np.stack([rep[i[some]], rep[j[some]]], axis=1), axis=0))
         pairs = np.unique(np.concatenate(found), axis=0)
