@@ -13,6 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from classlens.sources.workdir import stage
 
 #: Text bytes of a batch; its work arrays are about eight times as large. Executors with more memory take more,
 #: which keeps the number of blobs (batches times parts) low for very large corpora.
@@ -44,8 +47,14 @@ def batch_number(docs: DataFrame, key: str, n: int) -> Column:
 
 
 def dealt(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """``(batch, id, text)``, one shuffle partition per batch on average."""
-    chosen = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    """``(batch, id, text)``, one shuffle partition per batch on average.
+
+    Numbers are cut at quantiles. Keys of other types have none; they are dealt by range and staged with their batch.
+    """
+    chosen = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    if n > 1 and not isinstance(chosen.schema["id"].dataType, NumericType):
+        ranged = chosen.repartitionByRange(n, F.col("id").asc_nulls_first())
+        return stage(ranged.withColumn("batch", F.spark_partition_id()), "ranged").repartition(n, "batch")
     return chosen.withColumn("batch", batch_number(chosen, "id", n)).repartition(n, "batch")
 
 

@@ -403,10 +403,24 @@ def join_components(
 
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose key is the smallest of their component; rows without a key stay."""
-    found = join_components(docs, key, text, **options)
-    gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    return docs.join(stage(gone, "gone"), key, "left_anti").select(*docs.columns)
+    """One row of each component of ``docs``: the one with the smallest key (nulls last), of several the first as stored.
+
+    Rows without shingles (null, empty or blank text) stay. Where keys repeat, each row is judged by itself; to that end
+    the rows are staged with a number, which is not needed where keys are unique and not null. Empty in, empty out.
+    """
+    name = F.col(f"`{key}`")
+    unclear = not docs.groupBy(name.alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR k IS NULL").isEmpty()
+    if not unclear:
+        found = join_components(docs, key, text, **options)
+        gone = found.where(F.col(f"`{key}`") != F.col("component_id")).select(F.col(f"`{key}`").alias("_gone"))
+        return docs.join(stage(gone, "gone"), name == F.col("_gone"), "left_anti")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    rows = stage(whole.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    flat = rows.select("row", F.col(f"doc.`{key}`").alias("key"), F.col(f"doc.`{text}`").alias("text"))
+    found = stage(join_components(flat.select("row", "text"), "row", "text", **options), "components-of-rows")
+    place = F.struct(F.col("key").isNull().alias("last"), F.col("key"), F.col("row"))
+    heads = found.join(flat.select("row", "key"), "row").groupBy("component_id").agg(F.min(place)["row"].alias("row"))
+    return rows.join(stage(heads.select("row"), "heads"), "row", "left_semi").select("doc.*")
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:

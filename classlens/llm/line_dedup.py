@@ -278,7 +278,7 @@ def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **optio
         F.transform("marks", lambda m: m["stays"]).alias("stays"),
     )
     marks = stage(marks.withColumn("stays", F.when(F.col("n_removed") > 0, F.col("stays"))), "marks")
-    whole = docs.select(F.struct(*docs.columns).alias("doc")).withColumn("t", F.xxhash64(f"doc.{text}"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).withColumn("t", F.xxhash64(f"doc.{text}"))
     joined = whole.join(marks, F.col(f"doc.{key}").eqNullSafe(F.col("_key")) & (F.col("t") == F.col("_t")), "left")
     kept = F.array_join(F.filter(F.split(f"doc.{text}", "\n"), lambda x, i: F.get(F.col("stays"), i)), "\n")
     return joined.select(

@@ -145,7 +145,7 @@ def mix(
     (0 to ``max_copies``). A null or blank text has size 0; a null source is a source of its own, the last one. Rows that
     share key and size share their fate. A document without words is never sampled. An empty table gives no rows.
     """
-    whole = docs.select(F.struct(*docs.columns).alias("doc"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     rows = whole.select(
         F.col(f"doc.{key}").alias("key"), F.col(f"doc.{source}").alias("source"), size("doc").alias("size")
     )

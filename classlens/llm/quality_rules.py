@@ -80,7 +80,7 @@ def measured(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
     whole = F.coalesce(F.col(f"doc.{text}"), F.lit(""))
     lines = F.col("_lines")
     out = (
-        docs.select(F.struct(*docs.columns).alias("doc"))
+        docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
         .withColumn("_words", words(F.col(f"doc.{text}")))
         .withColumn("_lines", _lines(whole))
         .withColumn("_hashes", _window_hashes(F.col("_words")))

@@ -165,12 +165,10 @@ def _first(key, table):
     return pa.table(rows, schema=_REPEATS)
 
 
-def _cut(window: int, kind: pa.DataType):
-    schema = pa.schema(
-        [("id", kind), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())]
-    )
-
+def _cut(window: int):
     def cut(key, docs, repeats):
+        kind = docs.schema.field("id").type
+        schema = pa.schema([("id", kind), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
         if docs.num_rows == 0:
             return schema.empty_table()
         docs = in_order(docs)
@@ -214,7 +212,6 @@ def remove_repeats(
         raise ValueError("a window has at least two words")
     block = (window + 1) // 2
     n = batch_count(docs, text, batch_bytes)
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[docs.schema[key].dataType.simpleString()]
     batches = dealt(docs, key, text, n)
     sent = batches.groupBy("batch").applyInArrow(
         _send(n, block), "part int, batch int, index binary, known binary, probes binary"
@@ -230,7 +227,7 @@ def remove_repeats(
         batches.groupBy("batch")
         .cogroup(repeats.groupBy("batch"))
         .applyInArrow(
-            _cut(window, kind),
+            _cut(window),
             f"id {docs.schema[key].dataType.simpleString()}, n_words bigint, n_removed bigint, kept_text string",
         )
     )

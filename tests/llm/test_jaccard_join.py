@@ -6,10 +6,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from classlens.llm import jaccard_join
 from classlens.llm.components import components
 from classlens.llm.jaccard_join import Bands, first_of_each, join_components, signatures
+from classlens.llm.substring_dedup import remove_repeats
 
 SCHEMA = "doc_id long, text string, id int, row string, n long"
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -133,3 +135,30 @@ def test_components(spark):
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert sorted(map(tuple, got)) == sorted(group.items())
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_first_of_each_judges_rows(spark):
+    """A key that repeats keeps its other texts, and copies under one key leave one row."""
+    a, b, c = ("a b c d e f g h " * 3, "p q r s t u v w " * 3, "1 2 3 4 5 6 7 8 " * 3)
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (5, a, "x"), (7, c, "x"), (7, c, "y"), (None, b, "x"), (None, "", "x"), (8, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")
+    got = sorted(((r[0], r[1]) for r in first_of_each(docs).collect()), key=repr)
+    assert got == sorted([(1, a), (2, b), (7, c), (None, ""), (8, "")], key=repr)
+    assert first_of_each(docs.limit(0)).collect() == []
+    once = docs.where("doc_id IN (1, 5, 8)")
+    assert sorted(r[0] for r in first_of_each(once).collect()) == [1, 8]
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(20,2)", "smallint", "date"])
+def test_other_keys_over_several_batches(spark, kind):
+    base = [" ".join(f"w{(i * 7 + j) % 50}" for j in range(30)) for i in range(12)]
+    rows = [(100 + i, base[i % 12] + (" more" if i % 3 == 0 else "")) for i in range(60)] + [(None, base[0]), (90, None)]
+    docs = spark.createDataFrame(rows, "n int, text string")
+    cast = F.date_add(F.lit("2020-01-01").cast("date"), F.col("n")) if kind == "date" else F.col("n").cast(kind)
+    docs = docs.select(cast.alias("k"), F.col("n"), "text")
+    names = {r.k: r.n for r in docs.collect()}
+    want = {r.n: r.component_id for r in join_components(docs, "n", batch_bytes=600).collect()}
+    got = {names[r.k]: names[r.component_id] for r in join_components(docs, "k", batch_bytes=600).collect()}
+    assert got == want and len(set(want.values())) < 30
+    removed = {r.n: r.kept_text for r in remove_repeats(docs, "n", window=6, batch_bytes=600).collect()}
+    assert {names[r.k]: r.kept_text for r in remove_repeats(docs, "k", window=6, batch_bytes=600).collect()} == removed
