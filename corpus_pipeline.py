@@ -22,7 +22,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that (nearly) equal an earlier one; those of which no line is left go."""
     lines = drop_lines(docs).where("n_lines = 0 OR n_removed < n_lines")
     changed = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)}
-    return lines.select(*[changed.get(c, F.col(f"doc.{c}")).alias(c) for c in docs.columns])
+    return lines.select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
