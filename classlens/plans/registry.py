@@ -581,7 +581,7 @@ def class_kde(spark, sf):
 @register("class_kde_binned")
 def class_kde_binned(spark, sf):
     """The binned form, with an error far below the digits that are kept."""
-    curve = density.kernel_density(items(spark, sf), FEATURES, "y", method="binned", tolerance=1e-9)
+    curve = density.kernel_density(items(spark, sf), FEATURES, "y", method="binned", tolerance=1e-12)
     return rounded(curve.select("feature", "label", "point", (F.col("density") * F.col("step")).alias("mass")), 6, mass=7)
 
 
