@@ -5,6 +5,10 @@ both columns are present, so a value has one rank per set of present rows: colum
 one, and a complete column adds none. The ranks meet the rows in one look-up on (class, column, value); frequent values
 are looked up by broadcast, the others by one shuffle. The input is read three times: for the bucket cuts and the
 null patterns, for the counts of the values, and for the look-up.
+
+A few columns of which every pair has a side with few values need no ranks of the rows: equal rows are counted, the other
+side is cut into stretches of its values, a task counts the table of one stretch, and the tables are put together from
+their totals. Keys take no part in that, and what is shuffled are the distinct rows.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import functions as F
 
 from classlens.functions.numeric import clean_double
 from classlens.operators.longform import melt
-from classlens.operators.ranked import bucket_count, cut_columns, cuts_table, running_counts, with_bucket
+from classlens.operators.ranked import MAX_BUCKETS, bucket_count, cut_columns, cuts_table, running_counts, with_bucket
 from classlens.sources.workdir import stage
 
 #: A value that holds more than one in so many of a column's rows is looked up by broadcast: fewer than that per column.
@@ -28,6 +32,10 @@ HOT_SHARE = 1_000
 JOINED_COLUMNS, RARE_COLUMNS = 8, 3
 #: Bytes of the rank matrix that a task holds at a time.
 SLICE_BYTES = 32 << 20
+#: A column with at most so many values has few of them; a number below 2**CODE_BITS stands for each in a row's code, 0 for none.
+FEW, CODE_BITS = 127, 7
+#: Rows of a stretch of values that are counted in one task.
+STRETCH_ROWS = 250_000
 
 
 def _paired(n: int, against: int | None) -> list[tuple[int, int]]:
@@ -248,6 +256,181 @@ def _cross_products(slot_of: list[int], slots: list[list[int]], pairs: list[tupl
     return run
 
 
+def _stretch_sums(sides: list[tuple[int, list[int]]], sizes: dict[int, int], grouped: bool):
+    """Counts of one stretch of values against each column of few values, one row per pair.
+
+    ``n`` are the rows per value of the few, ``l`` the sums of the ranks inside the stretch, less their mean, ``s1`` and ``s2``
+    the sums of these ranks and of their squares, ``ties`` the tied pairs and ``score`` concordant less discordant pairs.
+    """
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        side = key[-2].as_py()
+        f, others = sides[side]
+        known = table.column("value").is_valid().to_numpy(zero_copy_only=False)
+        value = table.column("value").to_numpy(zero_copy_only=False)[known]
+        codes, count = table.column("codes").to_numpy()[known], table.column("c").to_numpy()[known].astype(float)
+        order = np.argsort(value, kind="stable")
+        value, codes, count = value[order], codes[order], count[order]
+        place = np.cumsum(np.concatenate([[0], value[1:] != value[:-1]])).astype(np.int64) if len(value) else np.zeros(0, np.int64)
+        rows = []
+        for j, other in enumerate(others):
+            code = (codes >> (CODE_BITS * j)) & ((1 << CODE_BITS) - 1)
+            both = code > 0
+            at, c, w = place[both], code[both] - 1, count[both]
+            k, n_values = sizes[other], int(place[-1]) + 1 if len(place) else 0
+            t = np.bincount(at, w, n_values)
+            rank = np.cumsum(t) - t + (t - t.sum()) / 2.0
+            n, inner, score = np.zeros(k), np.zeros(k), 0.0
+            step = max(1, SLICE_BYTES // (64 * k))
+            for low in range(0, n_values, step):
+                first, last = np.searchsorted(at, [low, low + step])
+                high = min(low + step, n_values)
+                m = np.bincount((at[first:last] - low) * k + c[first:last], w[first:last], (high - low) * k).reshape(-1, k)
+                score += _score(m, n)
+                n += m.sum(0)
+                inner += rank[low:high] @ m
+            rows.append((side, other, n, inner, float(t @ rank), float(t @ rank**2), float((t * (t - 1.0) / 2.0).sum()), score))
+        columns = [pa.array(x) for x in zip(*rows)] if rows else [[] for _ in range(8)]
+        columns[0], columns[1] = (pa.array([r[i] for r in rows], pa.int32()) for i in (0, 1))
+        columns.insert(2, pa.array([key[-1].as_py()] * len(rows), pa.int32()))
+        names = ["side", "other", "bucket", "n", "l", "s1", "s2", "ties", "score"]
+        if grouped:
+            columns, names = [pa.array([key[0].as_py()] * len(rows), table.schema.field("grp").type), *columns], ["grp", *names]
+        return pa.Table.from_arrays(columns, names=names)
+
+    return run
+
+
+def _score(m: np.ndarray, before: np.ndarray) -> float:
+    """Concordant less discordant pairs of a table of counts, also with the rows ``before`` it."""
+    above = np.cumsum(m, axis=0) - m + before
+    lower = np.cumsum(above, axis=1) - above
+    return float((m * (lower - (above.sum(1, keepdims=True) - lower - above))).sum())
+
+
+def _together(sides: list[tuple[int, list[int]]], pairs: list[tuple[int, int]], grouped: bool):
+    """The sums of all pairs of a class from those of the stretches; a pair without a common row has n = 0."""
+    number = {p: i for i, p in enumerate(pairs)}
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        found = np.zeros((7, len(pairs)))
+        parts: dict[tuple[int, int], list[dict]] = {}
+        for row in table.to_pylist():
+            parts.setdefault((row["side"], row["other"]), []).append(row)
+        for (side, other), stretches in parts.items():
+            stretches.sort(key=lambda r: r["bucket"])
+            f = sides[side][0]
+            n = np.array([r["n"] for r in stretches])
+            size, totals = n.sum(1), n.sum(0)
+            mean = (size.sum() - 1.0) / 2.0
+            rank = np.cumsum(totals) - totals + (totals - 1.0) / 2.0 - mean
+            shift = np.cumsum(size) - size + (size - 1.0) / 2.0 - mean
+            s1, s2, ties, score = (np.array([r[x] for r in stretches]) for x in ("s1", "s2", "ties", "score"))
+            spread = float((s2 + 2.0 * s1 * shift + size * shift**2).sum())
+            cross = float(((n * shift[:, None] + np.array([r["l"] for r in stretches])) @ rank).sum())
+            mine = [spread, float(ties.sum())]
+            theirs = [float(totals @ rank**2), float((totals * (totals - 1.0) / 2.0).sum())]
+            pair = number.get((f, other))
+            if pair is None:
+                pair, mine, theirs = number[other, f], theirs, mine
+            found[:, pair] = [size.sum(), mine[0], theirs[0], cross, mine[1], theirs[1], score.sum() + _score(n, np.zeros(n.shape[1]))]
+        columns = [pa.array([p[i] for p in pairs], pa.int32()) for i in (0, 1)] + [pa.array(x) for x in found]
+        names = ["a", "b", *TOGETHER]
+        if grouped:
+            columns, names = [pa.array([key[0].as_py()] * len(pairs), table.schema.field("grp").type), *columns], ["grp", *names]
+        return pa.Table.from_arrays(columns, names=names)
+
+    return run
+
+
+TOGETHER = ("n", "sxx", "syy", "sxy", "ties_ra", "ties_rb", "score")
+
+
+def _counted(df: DataFrame, columns: Sequence[str], group: str | None, against: str | None) -> DataFrame | None:
+    """``([group,] col_a, col_b, *TOGETHER)`` of all pairs, or None unless each pair of a few columns has a side of few values."""
+    if len(set(columns)) < len(columns):
+        raise ValueError("columns must be distinct")
+    if not 1 < len(columns) <= JOINED_COLUMNS:
+        return None
+    pairs = _paired(len(columns), list(columns).index(against) if against else None)
+    names, by = [f"c{i}" for i in range(len(columns))], ["grp"] if group else []
+    picked = df.where(F.col(f"`{group}`").isNotNull()) if group else df
+    # Adding 0.0 makes one value of both zeros.
+    doubles = [(clean_double(F.col(f"`{c}`")) + F.lit(0.0)).alias(name) for c, name in zip(columns, names)]
+    rows = picked.select(*([F.col(f"`{group}`").alias("grp")] if group else []), *doubles)
+    first = rows.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(n).alias(n) for n in names]).first()
+    few = {i for i, n in enumerate(names) if first[n] <= FEW}
+    if not all(a in few or b in few for a, b in pairs):
+        return None
+    buckets = min(MAX_BUCKETS, 1 << max(0, (first["n"] // STRETCH_ROWS).bit_length()))
+    many = [n for i, n in enumerate(names) if i not in few]
+    lists = [F.array_sort(F.collect_set(names[i])).alias(names[i]) for i in sorted(few)]
+    row = rows.agg(*cut_columns(many, buckets), *lists).first()
+    values = {i: row[names[i]] for i in few}
+    if any(len(v) > FEW for v in values.values()):
+        return None
+    sizes = {i: max(1, len(v)) for i, v in values.items()}
+
+    def code(i: int) -> Column:
+        listed = F.array(*[F.lit(v) for v in values[i]]).cast("array<double>")
+        return F.coalesce(F.array_position(listed, F.col(names[i])), F.lit(0)).cast("bigint")
+
+    sides: list[tuple[int, list[int]]] = []
+    for i in range(len(names)):
+        if i not in few:
+            sides.append((i, [b if a == i else a for a, b in pairs if i in (a, b)]))
+    sides += [(a, [b]) for a, b in pairs if a in few and b in few]
+
+    def cells(chosen: list[int]) -> DataFrame:
+        parts = []
+        for s in chosen:
+            f, others = sides[s]
+            codes = F.lit(0).cast("bigint")
+            for j, other in enumerate(others):
+                codes = codes + F.shiftleft(code(other), CODE_BITS * j)
+            value = F.nullif(code(f), F.lit(0)).cast("double") if f in few else F.col(names[f])
+            parts.append(
+                F.struct(F.lit(s).alias("side"), value.alias("value"), F.when(value.isNull(), 0).otherwise(codes).alias("codes"))
+            )
+        present = rows.where(F.coalesce(*names).isNotNull())
+        long = present.select(*by, F.inline(F.array(*parts)))
+        return long.groupBy(*by, "side", "value", "codes").agg(F.count(F.lit(1)).alias("c"))
+
+    one = F.lit(0).cast("int").alias("bucket")
+    own = [s for s, (f, _) in enumerate(sides) if f not in few]
+    shared = [s for s in range(len(sides)) if s not in own]
+    tables = [cells(shared).select("*", one)] if shared else []
+    if own:
+        cuts = cuts_table(df.sparkSession, many, row, buckets)
+        numbers = F.create_map(*[F.lit(x) for s in own for x in (names[sides[s][0]], s)])
+        cuts = cuts.select(F.element_at(numbers, F.col("feature")).alias("feature"), "cuts")
+        tables.append(with_bucket(cells(own).withColumnRenamed("side", "feature"), cuts, buckets).withColumnRenamed("feature", "side"))
+    table = tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
+    kind = f"grp {df.schema[group].dataType.simpleString()}, " if group else ""
+    stretches = table.groupBy(*by, "side", "bucket").applyInArrow(
+        _stretch_sums(sides, sizes, bool(group)),
+        kind + "side int, other int, bucket int, n array<double>, l array<double>, s1 double, s2 double, ties double, score double",
+    )
+    whole = stretches.groupBy(*(by or [F.lit(0).alias("all")])).applyInArrow(
+        _together(sides, pairs, bool(group)), kind + "a int, b int, " + ", ".join(f"{x} double" for x in TOGETHER)
+    )
+    listed = F.array(*[F.lit(c) for c in columns])
+    head = [F.col("grp").alias(group)] if group else []
+    return whole.select(*head, F.get(listed, F.col("a")).alias("col_a"), F.get(listed, F.col("b")).alias("col_b"), *TOGETHER)
+
+
+def _rho() -> Column:
+    r = F.col("sxy") / (F.sqrt("sxx") * F.sqrt("syy"))
+    return F.when((F.col("sxx") > 0) & (F.col("syy") > 0), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+
+
+def _tau_b() -> Column:
+    n = F.col("n").cast("double")
+    possible = n * (n - 1.0) / 2.0
+    untied = (possible - F.col("ties_ra")) * (possible - F.col("ties_rb"))
+    return F.when(untied > 0, F.try_divide(F.col("score"), F.sqrt(untied)))
+
+
 def spearman_pairs(
     df: DataFrame, columns: Sequence[str], key: str, group: str | None = None, against: str | None = None
 ) -> DataFrame:
@@ -257,6 +440,10 @@ def spearman_pairs(
     classes. r is NULL when a side is constant on those rows. ``key`` must be unique. Rows without a class are left
     out, and a class without any value has no row.
     """
+    head = [F.col(f"`{group}`")] if group else []
+    counted = _counted(df, columns, group, against)
+    if counted is not None:
+        return counted.select(*head, "col_a", "col_b", F.col("n").cast("bigint").alias("n"), _rho().alias("r"))
     ranks = _Ranks(df, columns, key, group, against)
     kind = f"grp {df.schema[group].dataType.simpleString()}, " if group else ""
     partial = ranks.looked_up(ranks.table(dense=False)).drop("key").mapInArrow(
@@ -264,9 +451,7 @@ def spearman_pairs(
         kind + "a int, b int, n double, sxx double, syy double, sxy double",
     )
     sums = partial.groupBy(*ranks.by, "a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sxx", "syy", "sxy")])
-    r = F.col("sxy") / (F.sqrt("sxx") * F.sqrt("syy"))
-    r = F.when((F.col("sxx") > 0) & (F.col("syy") > 0), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
-    return ranks.named(sums, group, F.col("n").cast("bigint").alias("n"), r.alias("r"))
+    return ranks.named(sums, group, F.col("n").cast("bigint").alias("n"), _rho().alias("r"))
 
 
 def _cell_pairs(against: int | None) -> Column:
@@ -301,6 +486,10 @@ def kendall_pairs(
     column with fewer distinct values of a pair is the one that is read bit by bit. Ranks are taken over all classes: the
     order inside a class is the same. Pairs without a common row (in a class) have no row.
     """
+    head = [F.col(f"`{group}`")] if group else []
+    counted = _counted(df, columns, group, against)
+    if counted is not None:
+        return counted.where("n > 0").select(*head, "col_a", "col_b", F.col("n").cast("bigint").alias("n"), _tau_b().alias("r"))
     ranks = _Ranks(df, columns, key, group, against)
     pair = [*ranks.by, "a", "b"]
     wanted = _cell_pairs(ranks.columns.index(against) if against else None)
@@ -353,8 +542,4 @@ def kendall_pairs(
     out = cells.groupBy(*pair).agg(F.sum("c").alias("n"))
     for part in (ties("ra"), ties("rb"), counted.groupBy(*pair).agg(score.alias("score"))):
         out = out.join(part, pair, "left")
-    n = F.col("n").cast("double")
-    possible = n * (n - 1.0) / 2.0
-    untied = (possible - F.col("ties_ra")) * (possible - F.col("ties_rb"))
-    r = F.when(untied > 0, F.try_divide(F.col("score"), F.sqrt(untied)))
-    return ranks.named(out, group, F.col("n"), r.alias("r"))
+    return ranks.named(out, group, F.col("n"), _tau_b().alias("r"))

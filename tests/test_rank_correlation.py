@@ -200,3 +200,22 @@ def test_hommel_families_and_nulls(spark):
     assert got["z", 3] is None and got["x", -1] is None and [got[None, 1], got[None, 2]] == pytest.approx([0.02, 0.02])
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
     assert multitest.adjust_pvalues(df.limit(0), "p", "hommel").collect() == []
+
+
+@pytest.mark.parametrize("method", ["spearman", "kendall"])
+def test_few_values_need_no_rank_of_a_row(spark, monkeypatch, method):
+    """Pairs with a side of few values are counted, over several stretches; rows are not ranked and looked up."""
+    monkeypatch.setattr(rank_correlation, "_Ranks", None)
+    monkeypatch.setattr(rank_correlation, "STRETCH_ROWS", 40)
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"id": np.arange(600), "class": rng.choice(["a", "b"], 600)})
+    pdf["x"] = np.where(rng.random(600) < 0.3, -0.0, rng.normal(size=600))
+    pdf["s"] = np.round(pdf["x"] + rng.normal(size=600))
+    pdf["t"] = np.where(rng.random(600) < 0.1, np.nan, rng.integers(0, 9, 600) - pdf["s"])
+    pdf["flat"] = 3.0
+    pdf.loc[::7, "x"] = np.nan
+    df = spark.createDataFrame(pdf.astype({"class": object}).where(pdf.notna(), None), "id long, class string, x double, s double, t double, flat double")
+    columns = ["x", "s", "t", "flat"]
+    for group in (None, "class"):
+        found = correlation.correlation_pairs(df, columns, method, "id", group)
+        assert compare(found, pdf, columns, method, group=bool(group)) == 6 * (2 if group else 1)
