@@ -217,12 +217,18 @@ def top_correlations(
     a class of the target these are all, as the target is constant.
     """
     group = _class_column(df, target, per_class)
-    found = target_correlations(df, features, target, method, group)
+    return _best(target_correlations(df, features, target, method, group), features, top_n, positive_only, negative_only, bool(group))
+
+
+def _best(
+    found: DataFrame, features: Sequence[str], top_n: int, positive_only: bool, negative_only: bool, grouped: bool
+) -> DataFrame:
+    """The ``top_n`` rows of ``found([class,] feature, r)``, in all or in each class."""
     if positive_only:
         found = found.where(F.col("r") > 0)
     elif negative_only:
         found = found.where(F.col("r") < 0)
-    if not group:
+    if not grouped:
         return found.where(F.col("r").isNotNull()).orderBy(F.desc(F.abs("r")), "feature").limit(top_n)
     order = F.create_map(*[F.lit(x) for pair in zip(features, range(len(features))) for x in pair])
     late = F.when(F.col("r").isNull(), F.element_at(order, F.col("feature")))
@@ -261,8 +267,8 @@ def correlation_submatrix(
     target, whose correlations are NULL.
     """
     group = _class_column(df, target, per_class)
-    top = top_correlations(df, features, target, top_n, method, positive_only, negative_only, per_class)
     if not group:
+        top = top_correlations(df, features, target, top_n, method, positive_only, negative_only)
         chosen = {r["feature"] for r in top.select("feature").collect()}
         columns = [f for f in features if f in chosen] + [target]
         upper = correlation_pairs(df, columns, method, key).select("col_a", "col_b", "r")
@@ -276,11 +282,18 @@ def correlation_submatrix(
         columns = [*([] if positive_only or negative_only else features[:top_n]), target]
     by_class = df.withColumn("_class", F.col(f"`{group}`"))
     pairs = correlation_pairs(by_class, columns, method, key, "_class").withColumnRenamed("_class", "class")
+    pairs = stage(pairs, "pairs")  # a row per class and pair
     upper = pairs.select("class", "col_a", "col_b", "r")
     lower = upper.select("class", F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r")
     cells = upper.unionByName(lower).unionByName(_with_itself(by_class, columns, "_class", method))
     if group == target:
         return cells
+    if method == "pearson":
+        top = top_correlations(df, features, target, top_n, method, positive_only, negative_only, per_class)
+    else:  # the target is the last column of the pairs
+        ranked = upper.where(F.col("col_b") == target).select("class", F.col("col_a").alias("feature"), "r")
+        listed = _classes(by_class, "_class", features).select("class", "feature")
+        top = _best(listed.join(ranked, ["class", "feature"], "left"), features, top_n, positive_only, negative_only, True)
     kept = top.select("class", "feature").unionByName(_classes(by_class, "_class", [target]).select("class", "feature"))
     left, right = kept.withColumnRenamed("feature", "col_a"), kept.withColumnRenamed("feature", "col_b")
     return cells.join(left, ["class", "col_a"]).join(right, ["class", "col_b"]).select("class", "col_a", "col_b", "r")

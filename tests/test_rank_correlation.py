@@ -219,3 +219,17 @@ def test_few_values_need_no_rank_of_a_row(spark, monkeypatch, method):
     for group in (None, "class"):
         found = correlation.correlation_pairs(df, columns, method, "id", group)
         assert compare(found, pdf, columns, method, group=bool(group)) == 6 * (2 if group else 1)
+
+
+def test_matrix_inside_classes_ranks_once(holes, monkeypatch):
+    """The top features of a class are read from the pairs of the matrix."""
+    df, pdf = holes
+    monkeypatch.setattr(correlation, "target_correlations", None)
+    plain = df.select("id", "class", F.col("`f.0`").alias("t"), F.col("`f.3`").alias("f3"), "flat", "hot")
+    rows = correlation.correlation_submatrix(plain, ["f3", "flat", "hot"], "t", 2, "spearman", "id", per_class="class").collect()
+    for name in "abc":
+        part = pdf[pdf["class"] == name].rename(columns={"f.3": "f3", "f.0": "t"})
+        got = {(r["col_a"], r["col_b"]): r["r"] for r in rows if r["class"] == name}
+        assert {a for a, _ in got} == {"f3", "hot", "t"} and len(got) == 9
+        both = part[["f3", "t"]].dropna().to_numpy()
+        assert got["f3", "t"] == got["t", "f3"] == pytest.approx(rho(both[:, 0], both[:, 1]), abs=1e-9)
