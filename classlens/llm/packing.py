@@ -1,7 +1,7 @@
 """Packing of documents into sequences of fixed length, neighbours by BM25 side by side.
 
-Token ids are written once and dealt by content: documents go by the heaviest of their terms that many documents share,
-then by a shingle minimum, so that topics and near copies of the whole corpus meet; groups larger than a fraction of a
+Token ids are written once, with a shingle minimum, and dealt by content: documents go by the heaviest of their terms that many documents share,
+then by that minimum, so that topics and near copies of the whole corpus meet; groups larger than a fraction of a
 shard are split, copies by row. Each task then cuts its rows into shards of a bounded number of tokens. A shard builds an inverted index of its documents' token ids with BM25 weights; document frequencies and
 the mean length are those of the whole corpus (one number per vocabulary entry, so bounded whatever the corpus). A
 seed document opens a window; the unused documents that share a term with it follow by their BM25 score over all of its
@@ -10,7 +10,7 @@ terms until the window is full. The last one is cut there and its rest is the ne
 
 from __future__ import annotations
 
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,35 +34,71 @@ WINDOWS = 4
 SHARDS = 2
 SHINGLE = 5
 K1, B = 1.2, 0.75
-#: Texts encoded at a time.
-TEXTS = 500
+#: Neighbours that are sorted first.
+HEAD = 32
+#: A shard's index is cut down when fewer of its documents are unused.
+KEPT = 0.8
+#: Characters encoded, and ids looked at, at a time; work arrays are about twenty times as large.
+CHARS = 10 << 20
+IDS = 1 << 16
+
+
+def _runs(sizes: list[int], bound: int):
+    """Stretches of rows of about so much in all, at least one row each."""
+    first, size = 0, 0
+    for i, n in enumerate(sizes):
+        size += n
+        if size >= bound:
+            yield first, i + 1
+            first, size = i + 1, 0
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
 def _encode(path: str, ranks: str | None, end: int):
     def encode(batches):
         tokens = encoder(path, ranks)
         for batch in batches:
-            for a in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(a, TEXTS)
-                ids = [tokens.encode(t) if t else [] for t in part.column("text").to_pylist()]
-                blobs = [np.array([*x, end], tokens.kind).tobytes() for x in ids]
-                sizes = [len(x) + 1 for x in ids]
-                columns = [part.column("key"), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "n", "ids"])
+            texts = batch.column("text").to_pylist()
+            for a, b in _runs([len(t or "") + 1 for t in texts], CHARS):
+                blobs = tokens.encode_all(texts[a:b], end)
+                parts = list(_parts(blobs, tokens.kind))
+                columns = [batch.column("key").slice(a, b - a), pa.array(np.concatenate([sizes for _, sizes in parts]))]
+                columns += [pa.array(blobs, pa.binary()), pa.array(np.concatenate([_least(*part) for part in parts]))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "n", "ids", "least"])
 
     return encode
 
 
+def _parts(blobs: list[bytes], kind: np.dtype):
+    """``(ids, sizes)`` of stretches of rows, the ids of their rows one after another."""
+    sizes = [len(x) // kind.itemsize for x in blobs]
+    for a, b in _runs(sizes, IDS):
+        yield np.frombuffer(b"".join(blobs[a:b]), kind), np.array(sizes[a:b])
+
+
+def _terms(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, term, count)`` of the distinct ids of rows that stand one after another."""
+    wide = np.uint32 if len(sizes) <= 1 << 16 and flat.dtype.itemsize == 2 else np.uint64
+    shift = wide(16 if wide is np.uint32 else 32)
+    pairs = np.repeat(np.arange(len(sizes), dtype=wide) << shift, sizes)
+    pairs |= flat
+    pairs.sort()
+    first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+    tf = np.diff(first, append=len(pairs))
+    pairs = pairs[first]
+    return (pairs >> shift).astype(np.int64), (pairs & ((wide(1) << shift) - wide(1))).astype(np.int64), tf
+
+
 def _frequencies(kind: np.dtype):
     def frequencies(batches):
         """Documents that hold each token id, of one task."""
         counts = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for ids in batch.column("ids").to_pylist():
-                own = np.unique(np.frombuffer(ids, kind))
-                if own[-1] >= len(counts):
-                    counts = np.concatenate([counts, np.zeros(int(own[-1]) + 1 - len(counts), np.int64)])
-                counts[own] += 1
+            for part in _parts(batch.column("ids").to_pylist(), kind):
+                own = np.bincount(_terms(*part)[1], minlength=len(counts))
+                own[: len(counts)] += counts
+                counts = own
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["term", "n"])
 
@@ -76,38 +112,53 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _contents(kind: np.dtype, df: np.ndarray, idf: np.ndarray):
-    def group(ids: np.ndarray) -> int:
-        """The heaviest of the terms that many documents hold, -1 if there is none."""
-        term, tf = np.unique(ids, return_counts=True)
-        weight = np.where(df[term] >= SHARED, idf[term] * tf / (tf + K1), -1)
-        best = int(np.argmax(weight))
-        return int(term[best]) if weight[best] >= 0 else -1
-
-    def least(ids: np.ndarray) -> int:
-        """The smallest hash of the runs of ids, shorter ones for short documents."""
-        run = min(SHINGLE, len(ids))
-        x = np.zeros(len(ids) - run + 1, np.uint64)
-        for j in range(run):
-            x = _mixed(x * np.uint64(31) + ids[j : len(ids) - run + 1 + j] + np.uint64(1))
-        return int(x.min() >> np.uint64(1))
-
+def _least(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The smallest hash of each row's runs of ids, shorter ones for short rows."""
+    x = np.zeros(len(flat), np.uint64)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(len(flat)) - np.repeat(first, sizes)
+    left = np.repeat(sizes, sizes) - place
+    least = np.zeros(len(sizes), np.uint64)
+    for run in range(1, SHINGLE + 1):
+        end = len(flat) - run + 1
+        x = _mixed(x[:end] * np.uint64(31) + flat[run - 1 :] + np.uint64(1))
+        mine = sizes == run if run < SHINGLE else sizes >= run
+        if mine.any():
+            whole = np.full(len(flat), np.iinfo(np.uint64).max)
+            whole[:end] = np.where(left[:end] >= run, x, whole[:end])
+            least[mine] = np.minimum.reduceat(whole, first)[mine]
+    return (least >> np.uint64(1)).astype(np.int64)
+
+
+def _topics(flat: np.ndarray, sizes: np.ndarray, df: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The heaviest of the terms of each row that many documents hold, -1 if there is none."""
+    row, term, tf = _terms(flat, sizes)
+    weight = np.where(df[term] >= SHARED, idf[term] * tf / (tf + K1), -1)
+    count = np.bincount(row)
+    best = np.maximum.reduceat(weight, np.cumsum(count) - count)
+    at = np.flatnonzero(weight == np.repeat(best, count))
+    return np.where(best >= 0, term[at[np.searchsorted(row[at], np.arange(len(sizes)))]], -1)
+
+
+def _contents(kind: np.dtype, df: np.ndarray, idf: np.ndarray, kept: list[str]):
     def contents(batches):
-        """The rows with the group and the place in it that their ids lead to."""
+        """The kept columns with the topic that a row's ids lead to."""
         for batch in batches:
-            docs = [np.frombuffer(x, kind).astype(np.uint64) for x in batch.column("ids").to_pylist()]
-            docs = [(group(d.astype(np.int64)), least(d)) for d in docs]
-            columns = [pa.array([d[i] for d in docs], pa.int64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "topic", "least"])
+            topics = [_topics(*part, df, idf) for part in _parts(batch.column("ids").to_pylist(), kind)]
+            topics.append(np.zeros(0, np.int64))
+            columns = [*(batch.column(c) for c in kept), pa.array(np.concatenate(topics))]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "topic"])
 
     return contents
 
 
-def _dealt(placed: DataFrame, total: int, shard_tokens: int, length: int) -> DataFrame:
-    """Rows of one topic or of one least shingle together, in tasks of some shards, as far as they fit into a unit."""
+def _dealt(placed: DataFrame, groups: DataFrame, total: int, shard_tokens: int, length: int) -> DataFrame:
+    """Rows of one topic or of one least shingle together, in tasks of some shards, as far as they fit into a unit.
+
+    ``groups`` has ``(topic, least, tokens)``.
+    """
     unit = max(shard_tokens // UNITS, WINDOWS * length)
     tasks = max(1, total // (SHARDS * shard_tokens))
-    groups = placed.groupBy("topic", "least").agg(F.sum("n").alias("tokens"))
     parts = F.ceil(F.col("tokens") / unit).cast("bigint")
     # At most as many rows as there are units in the corpus.
     copies = F.broadcast(groups.where(F.col("tokens") > unit).select("topic", "least", parts.alias("copies")))
@@ -137,6 +188,14 @@ class _Index:
         term, self.doc = (pairs >> shift).astype(np.int64), (pairs & ((wide(1) << shift) - wide(1))).astype(np.int64)
         self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.n[self.doc] / mean))
         self.first = np.searchsorted(term, np.arange(len(idf) + 1))
+        self.held = len(docs)
+        self.found = np.empty(0, np.int64), np.empty(0)
+
+    def keep(self, unused: np.ndarray) -> None:
+        """Drop the postings of the other documents, which no later seed can take."""
+        left = unused[self.doc]
+        self.first = np.concatenate([[0], np.cumsum(left)])[self.first]
+        self.doc, self.weight, self.held = self.doc[left], self.weight[left], int(unused.sum())
 
     def terms(self, seed: int) -> np.ndarray:
         """The seed's terms, each once."""
@@ -144,14 +203,28 @@ class _Index:
 
     def ranked(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a term, best first, ties by order."""
+        return np.array(list(self.best(seed, unused)), np.int64)
+
+    def best(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """The ranked documents one by one."""
         terms = self.terms(seed)
-        sizes = self.first[terms + 1] - self.first[terms]
-        ends = np.cumsum(sizes)
-        at = np.arange(ends[-1]) + np.repeat(self.first[terms] - ends + sizes, sizes)
-        score = np.bincount(self.doc[at], self.weight[at], len(self.docs))
+        first, end = self.first[terms], self.first[terms + 1]
+        spans, size = [slice(a, b) for a, b in zip(first.tolist(), end.tolist())], int((end - first).sum())
+        if size > len(self.found[0]):
+            self.found = np.empty(2 * size, np.int64), np.empty(2 * size)
+        doc, weight = (x[:size] for x in self.found)
+        np.concatenate([self.doc[s] for s in spans], out=doc)
+        np.concatenate([self.weight[s] for s in spans], out=weight)
+        score = np.bincount(doc, weight, len(self.docs))
         score[~unused] = 0
         found = np.flatnonzero(score > 0)
-        return found[np.argsort(-score[found], kind="stable")]
+        score = score[found]
+        if len(found) > HEAD:
+            # The best are usually enough; ties with the last of them are among them.
+            head = score >= np.partition(score, len(score) - HEAD)[len(score) - HEAD]
+            yield from found[head][np.argsort(-score[head], kind="stable")].tolist()
+            found, score = found[~head], score[~head]
+        yield from found[np.argsort(-score, kind="stable")].tolist()
 
 
 def _order(docs: list[np.ndarray], index: _Index, length: int):
@@ -171,12 +244,14 @@ def _order(docs: list[np.ndarray], index: _Index, length: int):
             fill = (fill + len(docs[seed])) % length
         room, last = length - fill if fill else 0, None
         if room:
-            for d in index.ranked(seed, unused):
+            if unused.sum() < KEPT * index.held:
+                index.keep(unused)
+            for d in index.best(seed, unused):
                 unused[d] = False
-                yield int(d)
+                yield d
                 room -= len(docs[d])
                 if room <= 0:
-                    last = int(d)
+                    last = d
                     break
             fill = (length - room) % length
         seed = last if room < 0 else None
@@ -249,7 +324,8 @@ def pack(
         tokenizer, ranks = default_tokenizer(), default_ranks()
     width = encoder(tokenizer, ranks).kind
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    tokens = stage(rows.mapInArrow(_encode(tokenizer, ranks, end), f"key {kind}, n long, ids binary"), "tokens")
+    encoded = rows.mapInArrow(_encode(tokenizer, ranks, end), f"key {kind}, n long, ids binary, least long")
+    tokens = stage(encoded, "tokens")
     n, total = tokens.agg(F.count(F.lit(1)), F.sum("n")).first()
     counted = tokens.select("ids").mapInArrow(_frequencies(width), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     found = counted.collect()  # a row per vocabulary entry at most
@@ -257,8 +333,12 @@ def pack(
     for r in found:
         df[r["term"]] = r["n"]
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    placed = tokens.mapInArrow(_contents(width, df, idf), f"key {kind}, n long, ids binary, topic long, least long")
-    out = _dealt(stage(placed, "placed"), total or 0, shard_tokens, length).mapInArrow(
+    # The ids are staged once; their topics are found twice, for the sizes of the groups and for the rows.
+    small = tokens.mapInArrow(_contents(width, df, idf, ["n", "least"]), "n long, least long, topic long")
+    groups = stage(small.groupBy("topic", "least").agg(F.sum("n").alias("tokens")), "groups")
+    columns = f"key {kind}, ids binary, least long, topic long"
+    placed = tokens.mapInArrow(_contents(width, df, idf, ["key", "ids", "least"]), columns)
+    out = _dealt(placed, groups, total or 0, shard_tokens, length).mapInArrow(
         _pack(length, width, idf, (total or 0) / max(n, 1), shard_tokens),
         f"key {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long",
     )

@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from classlens.llm.packing import _Index, pack, pieces
+from classlens.llm import packing
+from classlens.llm.packing import _Index, _least, _mixed, _order, _terms, _topics, pack, pieces
 from classlens.llm.tokens import Encoder, default_ranks, default_tokenizer
 
 SCHEMA = "doc_id long, text string, ids int, row string"
@@ -140,3 +141,63 @@ def test_many_copies_are_split(spark):
     check(rows, data, 2048)
     tasks = Counter(r["sequence_id"] >> 32 for r in rows if r["doc_id"] < 400 and r["start"] == 0)
     assert max(tasks.values()) < 200
+
+
+def test_texts_encoded_at_once_have_the_tokenizers_ids():
+    rnd = random.Random(3)
+    signs = ["'", "'s", "'re", "'ll", "'v", "e", "s", "t", "l", "d", "m", " ", "  ", "\n", "\t", "\r", "a", "Z", "é", "½", "3", "²", "!"]
+    signs += ["#", "¡", "ɏ", "ª", "\xad", "×", " the", "漢", "\0", "\x1c", "😀", "<|endoftext|>"]
+    data = ["".join(rnd.choice(signs[: rnd.choice([29, 30, 35])]) for _ in range(rnd.randint(0, 14))) for _ in range(20_000)]
+    data += [*texts(), "", None, " ", "\n", "'", "''s", "x'", "'re", "a'r"]
+    reference = Tokenizer.from_file(default_tokenizer())
+    reference.encode_special_tokens = True
+    want = [np.array([*ids.ids, 1], "<u2").tobytes() for ids in reference.encode_batch([t or "" for t in data], add_special_tokens=False)]
+    for tokens in (Encoder(default_tokenizer(), default_ranks()), Encoder(default_tokenizer(), None)):
+        assert tokens.encode_all(data, 1) == want
+    assert Encoder(default_tokenizer(), default_ranks()).encode_all(["\n \t", " "], 1) == tokens.encode_all(["\n \t", " "], 1)
+    assert tokens.encode_all([], 1) == []
+
+
+def test_topics_and_least_hashes_are_those_of_single_rows():
+    rnd = np.random.default_rng(6)
+    docs = [rnd.integers(0, 300, n).astype("<u2") for n in [1, 2, 3, 4, 5, 6, 1, 40, 900, 4, 5]]
+    df, idf = rnd.integers(0, 200, 300).astype(float), rnd.random(300)
+    flat, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
+    row, term, tf = _terms(flat, sizes)
+    topics, least = _topics(flat, sizes, df, idf), _least(flat, sizes)
+    for i, d in enumerate(docs):
+        own, n = np.unique(d, return_counts=True)
+        assert term[row == i].tolist() == own.tolist() and tf[row == i].tolist() == n.tolist()
+        weight = np.where(df[own] >= packing.SHARED, idf[own] * n / (n + packing.K1), -1)
+        assert topics[i] == (own[np.argmax(weight)] if weight.max() >= 0 else -1)
+        run, hashes = min(packing.SHINGLE, len(d)), []
+        for a in range(len(d) - run + 1):
+            x = np.zeros(1, np.uint64)
+            for j in d[a : a + run].astype(np.uint64):
+                x = _mixed(x * np.uint64(31) + j + np.uint64(1))
+            hashes.append(int(x[0]))
+        assert least[i] == min(hashes) >> 1
+
+
+def test_order_is_that_of_the_whole_index(monkeypatch):
+    rnd = random.Random(7)
+    docs = [np.array([rnd.randint(0, 60) for _ in range(rnd.randint(1, 60))], "<u2") for _ in range(400)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=61)
+    idf, mean = np.log1p((400 - df + 0.5) / (df + 0.5)), np.mean([len(d) for d in docs])
+    got = list(_order(docs, _Index(docs, idf, mean), 100))
+    monkeypatch.setattr(packing, "KEPT", 0)
+    monkeypatch.setattr(packing, "HEAD", 10_000)
+    assert got == list(_order(docs, _Index(docs, idf, mean), 100)) and sorted(got) == list(range(400))
+
+
+def test_ids_are_staged_once(spark, monkeypatch):
+    staged = []
+
+    def stage(df, purpose):
+        staged.append((purpose, "ids" in df.columns))
+        return keep(df, purpose)
+
+    keep = packing.stage
+    monkeypatch.setattr(packing, "stage", stage)
+    pack(spark.createDataFrame([(i, t, 1, "r") for i, t in enumerate(texts())], SCHEMA))
+    assert staged == [("tokens", True), ("groups", False)]
