@@ -68,6 +68,8 @@ def split_limits(df: DataFrame, key: str, label: str, test_size: float, seed: in
         .where((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("c") < F.col("quota")))
         .select(label, "bucket", (F.col("quota") - F.col("upto") + F.col("c")).alias("place"))
     )
+    # One row per class: staged, so that its size is known and all rows are not shuffled to meet it.
+    reached = stage(reached, "reached")
     within = Window.partitionBy(label).orderBy("digest", "key")
     return (
         hashed.join(reached, [label, "bucket"])

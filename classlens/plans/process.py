@@ -73,6 +73,8 @@ def process(
     parted = splitting.stratified_split(
         prepared, key, params.target, params.test_size, params.seed
     )
+    if fit_on == "train":  # read by every pass of the fit; the digests are not computed again for each
+        parted = stage(parted, "parted")
     fitting = parted.where(F.col("split") == "train") if fit_on == "train" else prepared
     fitted = stage(
         preparation.fit(fitting, features, params.scale_method, params.variance_threshold), "fit"

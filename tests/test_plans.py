@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import pytest
 
-from classlens.operators import preparation, ranked, twoclass
+from classlens.operators import preparation, ranked, splitting, twoclass
 from classlens.operators.histogram import class_histogram
+from classlens.params import JobParams
+from classlens.plans import process as process_plan
 from classlens.plans.inputs import FEATURES, items
 from classlens.plans.separation import separation_summary
 from classlens.sources.readers import label_first_rows
@@ -84,3 +86,17 @@ def test_hot_value_is_one_row_after_the_first_shuffle(spark):
     )
     rows = ranked.ranked_values(df, ["v"], "y").where("value = 7").collect()
     assert len(rows) == 1 and rows[0]["n0"] + rows[0]["n1"] == 6668
+
+
+def test_split_limits_shuffle_no_rows_to_meet_their_bucket(table):
+    plan = final_plan(splitting.split_limits(table, "k", "y", 0.2, 42))
+    assert "BroadcastHashJoin [y" in plan
+    assert "SortMergeJoin" not in plan
+    assert "hashpartitioning(y" in plan and not any("hashpartitioning(y" in x and "bucket" in x for x in plan.splitlines())
+
+
+def test_a_fit_on_train_reads_the_split_once_made(table, monkeypatch):
+    plans, fit = [], preparation.fit
+    monkeypatch.setattr(preparation, "fit", lambda df, *rest: plans.append(final_plan(df)) or fit(df, *rest))
+    splits, _ = process_plan.process(table, JobParams(target="y"), "k", False, "train")
+    assert "md5" not in plans[0] and "md5" not in final_plan(splits)
